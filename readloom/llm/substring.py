@@ -141,22 +141,20 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seeds = text.mapInArrow(_seeds(window), "anchor long, context long, doc_id long, pos int")
     by_context = Window.partitionBy("anchor", "context").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_anchor = Window.partitionBy("anchor").orderBy("context")
-    # Sorted by (anchor, context): the next row of another context, or a row before it, tells that the anchor has several.
+    by_anchor = Window.partitionBy("anchor")
     met = (
         seeds.repartition("anchor")
         .withColumn("first_doc", F.first("doc_id").over(by_context))
-        .withColumn("before", F.lag("context").over(by_anchor))
-        .withColumn("after", F.lead("context").over(by_anchor))
-        .where("first_doc < doc_id or before is not null or after is not null")
+        .withColumn("several", F.min("context").over(by_anchor) < F.max("context").over(by_anchor))
+        .where("first_doc < doc_id or several")
     )
     closed = met.where("first_doc < doc_id").select("doc_id", (F.col("pos") - reach).alias("lo"), (F.col("pos") + window).alias("hi"))
-    # A context's first document needs its windows compared where the anchor has other rows at all; those of the same
-    # context and larger documents are decided already, so this asks for little more than the ends of matches.
+    # Only where an anchor has several contexts can a match end inside one; the first document of each gets its windows compared.
     opened = met.where("first_doc = doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("open"))
-    found = text.repartition("doc_id").join(opened, "doc_id").mapInArrow(_windows(window), "anchor long, win long, doc_id long, pos int")
-    least = found.groupBy("anchor", "win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    ended = found.join(least, ["anchor", "win"]).where("least < doc_id").select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + window).alias("hi"))
+    # a left join, as in drop_repeats: with the same rows on the left, both read one shuffle of the texts
+    found = text.repartition("doc_id").join(opened, "doc_id", "left").mapInArrow(_windows(window), "anchor long, win long, doc_id long, pos int")
+    by_window = Window.partitionBy("anchor", "win").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = found.withColumn("least", F.first("doc_id").over(by_window)).where("least < doc_id").select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + window).alias("hi"))
     return closed.unionByName(ended)
 
 
