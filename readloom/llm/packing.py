@@ -17,6 +17,7 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,74 +30,123 @@ from readloom.llm.common import staged
 
 END_ID, SIZE = 1, 2048
 #: Words whose ids a worker remembers (two generations of this many).
-REMEMBERED = 150_000
+REMEMBERED = 800_000
 SLICES = 64
+#: Marks behind a word that the pre-tokenizer takes as one unit.
+MARKS = ".,;:!?*#%&$|"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class _Known(dict):
+    """Ids by word; notes what was asked for in vain."""
+
+    def __init__(self):
+        super().__init__({"": b""})
+        self.missed: set[str] = set()
+
+    def __missing__(self, word: str) -> None:
+        self.missed.add(word)
+
+
 class WordIds:
-    """Ids of whole texts, by remembering those of words: the vocabulary's pre-tokenizer always parts at white space."""
+    """Ids of whole texts, by remembering those of words: the vocabulary's pre-tokenizer always parts at white space.
+
+    New words are mostly letters with marks behind.  Such letters are one unit of the pre-tokenizer, whose last id ends a
+    word, so many of them are encoded as one text whose ids are parted again at these ends.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> None:
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {"": b""}
-        ask = []
-        for x in words:
-            if (ids := self.old.get(x)) is None:
-                ask.append(x)
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
+        self.new, self.old = _Known(), {}
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters."""
+        out: list[bytes] = []
+        for lo in range(0, len(units), 4096):
+            part = units[lo : lo + 4096]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                raise ValueError("this vocabulary doesn't end words as expected")
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _encode(self, words: set[str]) -> None:
+        """Put the ids of words that aren't in ``new`` there."""
+        new, old = self.new, self.old
+        found = {x: old[x] for x in words if x in old}
+        plain: list[tuple[str, str, str]] = []
+        other: list[str] = []
+        for x in words if not found else words - found.keys():
+            body = x.rstrip(MARKS)
+            # characters below U+0250 stay as they are in normal form, and but for one have one lower-case form
+            if body.isalpha() and (body.isascii() or (max(body) < "\u0250" and "\u0130" not in body)):
+                plain.append((x, body.lower(), x[len(body) :]))
+            else:
+                other.append(x)
+        for x, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False) if other else ()):
+            found[x] = np.array(e.ids, "<u4").tobytes()
+        for k in (1, 2):
+            ask = [y for y in {p[k] for p in plain} if y not in new]
+            have = {y: old[y] for y in ask if y in old}
+            ask = [y for y in ask if y not in have]
+            if k == 1:
+                have.update(zip(ask, self._units(ask)))
             else:
-                self.new[x] = ids
-        if ask:
-            # only words of ASCII letters, closing marks aside, are looked up by their stem: lower-casing and parting are certain there
-            stems = {x: self._stem(x) for x in ask}
-            need = sorted({y for s in stems.values() for y in s if y not in self.new and y not in self.old})
-            got = {y: np.array(e.ids, "<u4").tobytes() for y, e in zip(need, self.tok.encode_batch_fast(need, add_special_tokens=False))}
-            look = lambda y: got[y] if y in got else self.new[y] if y in self.new else self.old[y]
-            found = {x: b"".join(map(look, s)) for x, s in stems.items()}
-            self.new |= got
-            self.new |= found
+                have.update((y, np.array(self.tok.encode(y, add_special_tokens=False).ids, "<u4").tobytes()) for y in ask)
+            new.update(have)
+        for x, body, marks in plain:
+            found[x] = new[body] + new[marks] if marks else new[body]
+        new.update(found)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = dict(self.new), _Known()
+        known = self.new
+        get = known.__getitem__
+        rows = [self._plain(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        ids = [list(map(get, r)) for r in rows]
+        if known.missed:
+            missed, known.missed = known.missed, set()
+            self._encode(missed)
+            ids = [[get(w) if x is None else x for w, x in zip(r, out)] if None in out else out for r, out in zip(rows, ids)]
+        return list(map(b"".join, ids))
 
     @staticmethod
-    def _stem(x: str) -> tuple[str, ...]:
-        if x.isascii():
-            body = x.rstrip(".,")
-            if body.isalpha():
-                return (body.lower(), x[len(body) :]) if len(body) < len(x) else (body.lower(),)
-        return (x,)
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        get = self.new.get
-        out = list(map(get, words))
-        if None in out:
-            miss = {w for w, x in zip(words, out) if x is None}
-            self._encode(sorted(miss))
-            out = list(map(self.new.get, words))
-        return b"".join(out)
+    def _plain(text: str) -> str:
+        """In lower case where that is certain, to remember fewer forms; special tokens have none."""
+        return text.lower() if "<|" not in text and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)) else text
+
+
+@lru_cache(maxsize=1)
+def _worker_ids(path: str) -> WordIds:
+    """A worker's tasks share what it has learned of a vocabulary.  (A nested function's globals would be copied for each task.)"""
+    return WordIds(path)
 
 
 def _pieces(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(path)
+        ids_of = _worker_ids(path)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")):
-                ids = ids_of(text.as_py()) + END_ID.to_bytes(4, "little")
-                n = len(ids) // 4
-                for lo in range(0, n, size):
-                    cut = ids[4 * lo : 4 * (lo + size)]
-                    for column, value in zip(rows, (doc, lo, len(cut) // 4, zlib.crc32(cut), n)):
-                        column.append(value)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), ids_of(pc.fill_null(part.column("text"), "").to_pylist())):
+                    ids += END_ID.to_bytes(4, "little")
+                    n = len(ids) // 4
+                    for lo in range(0, n, size):
+                        cut = ids[4 * lo : 4 * (lo + size)]
+                        for column, value in zip(rows, (doc, lo, len(cut) // 4, zlib.crc32(cut), n)):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
