@@ -37,6 +37,18 @@ def _drop(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held several times on its way to Python and back.
+BATCH_ROWS = 1500
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows from here on in this session."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, tag)

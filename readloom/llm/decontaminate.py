@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from readloom.llm.common import staged
+from readloom.llm.common import map_arrow, staged
 from readloom.llm.textnp import ALNUM, U, blocks
 
 #: Bytes of query text in one broadcast part.
@@ -199,8 +198,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) ->
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for part in _parts(items):
         query = spark.sparkContext.broadcast(Query(part, size))
-        index = staged(text.mapInArrow(_index(query), INDEX), "postings")
-        out.append(index.mapInArrow(_search(query, slop), T.StructType.fromDDL("doc_id long, n_words long, hits array<int>, items array<string>")))
+        index = staged(map_arrow(text, _index(query), INDEX), "postings")
+        out.append(map_arrow(index, _search(query, slop), "doc_id long, n_words long, hits array<int>, items array<string>"))
     if len(out) == 1:
         return out[0]
     both = out[0]

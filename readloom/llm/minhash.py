@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import staged
+from readloom.llm.common import map_arrow, staged
 from readloom.llm.components import components
 from readloom.llm.textnp import SPACED, U, Words, blocks, mix, segments
 
@@ -153,7 +153,7 @@ def _finish(k: int, percent: int):
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row for each input row."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = text.mapInArrow(_signatures(k, rows, bands), "doc_id long, n_shingles long, one long, two long, bands array<long>")
+    made = map_arrow(text, _signatures(k, rows, bands), "doc_id long, n_shingles long, one long, two long, bands array<long>")
     sig = staged(made.withColumn("two", F.when(F.col("n_shingles") > 0, F.col("two")).otherwise(F.col("doc_id"))), "minhash")
     same = ["n_shingles", "one", "two"]
     classes = sig.groupBy(*same).agg(F.min("doc_id").alias("rep"))
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     texts = staged(text.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     with_u = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
     both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-    links = staged(both.select("u", "v", "tu", "tv").mapInArrow(_confirm(k, percent), "u long, v long"), "links")
+    links = staged(map_arrow(both.select("u", "v", "tu", "tv"), _confirm(k, percent), "u long, v long"), "links")
     comp = staged(components(links), "components")
 
     # Buckets of three or more whose members are still apart.

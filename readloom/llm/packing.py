@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import staged
+from readloom.llm.common import map_arrow, staged
 
 END_ID, SIZE = 1, 2048
 #: Words whose ids a worker remembers (two generations of this many).
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 SLICES = 64
 #: Marks behind a word that the pre-tokenizer takes as one unit.
 MARKS = ".,;:!?*#%&$|"
@@ -110,7 +110,7 @@ class WordIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.new) > REMEMBERED:
-            self.old, self.new = dict(self.new), _Known()
+            self.old, self.new = self.new, _Known()
         known = self.new
         get = known.__getitem__
         rows = [self._plain(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -155,7 +155,7 @@ def _pieces(path: str, size: int):
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens)``: each document's ids in cuts of at most ``size``."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text.mapInArrow(_pieces(tokenizer, size), PIECES)
+    return map_arrow(text, _pieces(tokenizer, size), PIECES)
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, dict[int, int]]]:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.common import map_arrow
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 MAX_TOKENS, MAX_CHARS = 16, 96
 #: Bounds of the training sample, and of its windows.
@@ -347,7 +349,7 @@ def fit(docs: DataFrame) -> np.ndarray:
     """Train on the windows of ``TRAIN_DOCS`` documents, chosen by a hash of their id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sample, "part string")
+    chosen = map_arrow(rows.join(F.broadcast(ids), "doc_id", "left_semi"), _sample, "part string")
     parts = [r["part"] for r in chosen.orderBy(F.xxhash64("part"), "part").limit(TRAIN_WINDOWS).collect()]
     return train(_made_up() + parts)
 
@@ -414,4 +416,4 @@ def _find(shared):
 def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> counts, digests, spans and the masked text of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if weights is None else weights)  # BUCKETS rows
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find(shared), FOUND)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _find(shared), FOUND)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.common import map_arrow
 from readloom.llm.textnp import SPACED, blocks
 
 #: (bytes below which the row holds, least ratio, largest ratio).  Ratios of prose rise with length, as a compressor learns.
@@ -99,4 +100,4 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row of counts, ratios and verdicts for each input row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rules, COLUMNS)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _rules, COLUMNS)

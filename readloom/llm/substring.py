@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.llm.common import map_arrow
 from readloom.llm.textnp import _MULT, SPACED, U, Words, blocks, mix
 
 #: Words of a seed.
@@ -139,7 +140,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         raise ValueError("window must be 5 to 32 words")
     reach = window - SEED
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds = text.mapInArrow(_seeds(window), "anchor long, context long, doc_id long, pos int")
+    seeds = map_arrow(text, _seeds(window), "anchor long, context long, doc_id long, pos int")
     by_context = Window.partitionBy("anchor", "context").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_anchor = Window.partitionBy("anchor")
     met = (
@@ -152,7 +153,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     # Only where an anchor has several contexts can a match end inside one; the first document of each gets its windows compared.
     opened = met.where("first_doc = doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("open"))
     # a left join, as in drop_repeats: with the same rows on the left, both read one shuffle of the texts
-    found = text.repartition("doc_id").join(opened, "doc_id", "left").mapInArrow(_windows(window), "anchor long, win long, doc_id long, pos int")
+    found = map_arrow(text.repartition("doc_id").join(opened, "doc_id", "left"), _windows(window), "anchor long, win long, doc_id long, pos int")
     by_window = Window.partitionBy("anchor", "win").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = found.withColumn("least", F.first("doc_id").over(by_window)).where("least < doc_id").select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + window).alias("hi"))
     return closed.unionByName(ended)
@@ -163,4 +164,4 @@ def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = repeats(docs, window).groupBy("doc_id").agg(F.collect_list("lo").alias("starts"), F.collect_list("hi").alias("ends"))
     # the ends of a text bound a context's range: words before its start or after its end don't exist
-    return text.repartition("doc_id").join(ranges, "doc_id", "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return map_arrow(text.repartition("doc_id").join(ranges, "doc_id", "left"), _cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
