@@ -124,7 +124,15 @@ class WordIds:
     @staticmethod
     def _plain(text: str) -> str:
         """In lower case where that is certain, to remember fewer forms; special tokens have none."""
-        return text.lower() if "<|" not in text and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)) else text
+        if "<|" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                if max(text) >= "\u0250" or "\u0130" in text:
+                    return text
+        return text.lower()
 
 
 @lru_cache(maxsize=1)
