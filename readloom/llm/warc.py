@@ -178,7 +178,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: _Group) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Group | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no files were planned
+            return
         types = {"payload": pa.binary(), "payload_bytes": pa.int64()}
         fs, _ = _fs(self.path)
         rows: list[dict] = []
