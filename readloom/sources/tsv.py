@@ -18,8 +18,12 @@ from pyspark.sql import types as T
 from readloom.schema import ORDER, PREDICTION, READS, TRUTH, TRUTH_KEYED
 
 
+def _lines_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path)
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    rows = spark.read.text(path).limit(1).collect()
+    rows = _lines_of(spark, path).limit(1).collect()
     line = rows[0][0] if rows else ""
     if line.endswith("\r"):
         raise ValueError(f"{path}: the header ends with a carriage return")
@@ -27,18 +31,19 @@ def header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows with a ``_corrupt`` column that holds lines of another number of fields or of other types."""
-    found = header(spark, path)
-    if found != schema.fieldNames():
-        raise ValueError(f"{path}: header {found} is not {schema.fieldNames()}")
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    return spark.read.schema(wide).options(sep="\t", header=True, quote="", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", emptyValue="", nullValue="\u0000").csv(path)
+    """Rows, with a ``_corrupt`` column that holds lines of another number of fields.
 
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_no, fields)`` of the lines below the header, for strict checks; row_no follows the file order."""
-    lines = spark.read.text(path, wholetext=False).select(F.monotonically_increasing_id().alias("row_no"), F.split("value", "\t", -1).alias("fields"))
-    return lines.where("row_no > 0")
+    Fields are split at tabs and taken as they are: no quotes, and empty fields are empty strings.  Numbers that aren't
+    numbers are null.  A line equal to the header is taken for one.
+    """
+    names = schema.fieldNames()
+    found = header(spark, path)
+    if found != names:
+        raise ValueError(f"{path}: header {found} is not {names}")
+    rows = _lines_of(spark, path).where(F.col("value") != "\t".join(names)).select("value", F.split("value", "\t", -1).alias("f"))
+    fields = [F.expr(f"try_cast(f[{i}] AS {x.dataType.simpleString()})").alias(x.name) for i, x in enumerate(schema.fields)]
+    rows = rows.withColumn("right", F.size("f") == len(names)).withColumn("f", F.when(F.col("right"), F.col("f")).otherwise(F.array_repeat(F.lit(""), len(names))))
+    return rows.select(*fields, F.when(~F.col("right"), F.col("value")).alias("_corrupt"))
 
 
 def read_reads(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
