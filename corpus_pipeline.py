@@ -41,10 +41,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; personal data in their texts gives way to its kind, and n_chars follows."""
-    found = staged(pii.find(docs).where("spans <> ''").select("doc_id", "masked"), "masked")
-    hidden = docs.join(found.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("text", F.coalesce("masked", "text"))
+    new = "_masked"
+    while new in docs.columns:
+        new += "_"
+    found = staged(pii.find(docs).where("spans <> ''").select("doc_id", F.col("masked").alias(new)), "masked")
+    hidden = docs.join(found.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in docs.columns:
-        hidden = hidden.withColumn("n_chars", F.when(F.col("masked").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        hidden = hidden.withColumn("n_chars", F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return hidden.select(*docs.columns)
 
 
