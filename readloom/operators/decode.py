@@ -121,7 +121,11 @@ def _length_model(hist: dict[int, int], cfg: Config):
 
 
 class Beams:
-    """All steps of all clusters of a batch.  ``candidates[c]``: (length, bucket, step, place) of complete paths."""
+    """All steps of all clusters of a batch.
+
+    A cluster's paths stand in the order of their sequences, so a stable sort by score alone breaks ties by sequence.
+    ``complete``: for each length the row of each cluster, and the buckets and scores of its complete paths.
+    """
 
     def __init__(self, e: Evidence, design: list[int], cfg: Config, keep_frontier: bool = False):
         k, B, C = cfg.k, cfg.beam, e.clusters
@@ -147,13 +151,16 @@ class Beams:
         total, kinds = np.bincount(owner, n, C), np.bincount(owner, minlength=C)
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         keep = place < B
-        owner, key, n, place = owner[keep], key[keep], n[keep], place[keep]
+        owner, key, n = owner[keep], key[keep], n[keep]
+        order = np.argsort(key, kind="stable")
+        owner, key, n = owner[order], key[order], n[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         state = np.full((C, B), -1, np.int64)
         cum = np.full((C, B), -np.inf)
         state[owner, place] = np.searchsorted(node, key)
         cum[owner, place] = np.log((n + 1.0) / (total[owner] + np.maximum(1, kinds[owner]))) + 0.15 * np.log1p(n)
-        self.root = np.where(state >= 0, node[state] & 0xFFFFFFFF, 1 << 40) if len(node) else np.full((C, B), 1 << 40)
-        lex = self.root.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+        self.root = np.zeros((C, B), np.int64)
+        self.root[owner, place] = key & 0xFFFFFFFF
 
         models = [_length_model(h, cfg) for h in e.hist]
         soft_lo = np.array([max(k, d - REACH) for d in design])
@@ -162,44 +169,63 @@ class Beams:
         most = np.maximum(a_hi, soft_hi)
         self.window, self.soft = list(zip(a_lo.tolist(), a_hi.tolist())), list(zip(soft_lo.tolist(), soft_hi.tolist()))
         self.back: list[tuple[np.ndarray, np.ndarray]] = []
-        self.candidates: list[list[tuple[int, int, int, float]]] = [[] for _ in range(C)]
-        self.frontier: list[list[tuple[int, int, int, int]]] = [[] for _ in range(C)]
+        self.complete: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.frontier: list[list[tuple[int, int]]] = [[] for _ in range(C)]
+        lowest, highest = np.minimum(a_lo, soft_lo), np.maximum(a_hi, soft_hi)
         live = np.arange(C)
         length = k
         while True:
-            has = state[:, 0] >= 0 if B else np.zeros(len(live), bool)
-            wanted = has & (((length >= a_lo[live]) & (length <= a_hi[live])) | ((length >= soft_lo[live]) & (length <= soft_hi[live])))
-            for r in np.flatnonzero(wanted):
-                c = int(live[r])
-                some = state[r] >= 0
-                score = (cum[r][some] / max(1, length - k + 1) + models[c][1](length)) + bonus[state[r][some]]
-                self.candidates[c] += [(length, int(b), p, float(s)) for b, p, s in zip(buckets(score).tolist(), np.flatnonzero(some).tolist(), score.tolist())]
+            has = state[:, 0] >= 0
+            wanted = np.flatnonzero(has & (length >= lowest[live]) & (length <= highest[live]))
+            if len(wanted):
+                prior = np.array([models[c][1](length) for c in live[wanted].tolist()])
+                some = state[wanted] >= 0
+                score = (cum[wanted] / max(1, length - k + 1) + prior[:, None]) + bonus[state[wanted]]
+                value = np.full(score.shape, np.iinfo(np.int64).min)
+                value[some] = buckets(score[some])
+                row = np.full(C, -1)
+                row[live[wanted]] = np.arange(len(wanted))
+                self.complete[length] = (row, some, value, score)
             go = has & (length < most[live])
             if not go.any():
                 break
             if not go.all():
-                live, state, cum, lex = live[go], state[go], cum[go], lex[go]
-            nxt = succ[state]
+                live, state, cum = live[go], state[go], cum[go]
+            nxt = succ[state].reshape(len(live), 4 * B)
             score = (cum[:, :, None] + gain[state]).reshape(len(live), 4 * B)
-            ok = (nxt >= 0).reshape(len(live), 4 * B) & np.repeat(state >= 0, 4, axis=1)
-            path = (lex[:, :, None] * 4 + np.arange(4)).reshape(len(live), 4 * B)
-            b = np.full(score.shape, np.iinfo(np.int64).min)
-            b[ok] = buckets(score[ok])
-            best = np.lexsort((path, -np.where(ok, b, -(1 << 62)), ~ok), axis=1)[:, :B]
+            ok = (nxt >= 0) & np.repeat(state >= 0, 4, axis=1)
+            worst = np.full(score.shape, np.iinfo(np.int64).max)
+            worst[ok] = -buckets(score[ok])
+            best = worst.argsort(axis=1, kind="stable")[:, :B]
             rows = np.arange(len(live))[:, None]
-            good = ok[rows, best]
-            parent, letter = best // 4, best % 4
-            state = np.where(good, nxt.reshape(len(live), 4 * B)[rows, best], -1)
+            best = np.where(ok[rows, best], best, 4 * B)
+            best.sort(axis=1)
+            good = best < 4 * B
+            best = np.minimum(best, 4 * B - 1)
+            state = np.where(good, nxt[rows, best], -1)
             cum = np.where(good, score[rows, best], -np.inf)
-            lex = np.where(good, path[rows, best], 1 << 40).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
             full_p, full_l = np.full((C, B), -1, np.int8), np.full((C, B), -1, np.int8)
-            full_p[live], full_l[live] = np.where(good, parent, -1), np.where(good, letter, -1)
+            full_p[live], full_l[live] = np.where(good, best // 4, -1), np.where(good, best % 4, -1)
             self.back.append((full_p, full_l))
             length += 1
             if keep_frontier:
-                bb = b[rows, best]
                 for r, c in enumerate(live.tolist()):
-                    self.frontier[c] += [(length, p, int(bb[r, p]), p) for p in np.flatnonzero(good[r]).tolist()]
+                    self.frontier[c] += [(length, p) for p in np.flatnonzero(good[r]).tolist()]
+
+    def candidates(self, c: int, lengths) -> list[tuple[int, int, int, float]]:
+        """``(length, bucket, place, score)`` of a cluster's complete paths of some lengths."""
+        out = []
+        for n in lengths:
+            if n in self.complete:
+                row, some, value, score = self.complete[n]
+                if (r := row[c]) >= 0:
+                    out += [(n, int(value[r, p]), p, float(score[r, p])) for p in np.flatnonzero(some[r]).tolist()]
+        return out
+
+    def all_candidates(self, c: int) -> list[tuple[int, int, int, float]]:
+        """Those near the design length, or of the reads' own lengths."""
+        (a, b), (x, y) = self.window[c], self.soft[c]
+        return self.candidates(c, sorted({*range(a, b + 1), *range(x, y + 1)}))
 
     def sequence(self, c: int, length: int, place: int) -> str:
         tail = []
@@ -212,7 +238,7 @@ class Beams:
 
     def best(self, c: int, lengths) -> tuple[str, float] | None:
         """The best candidate of some lengths; of equal scores the least sequence."""
-        rows = [x for x in self.candidates[c] if x[0] in lengths]
+        rows = self.candidates(c, lengths)
         if not rows:
             return None
         top = max(x[1] for x in rows)
@@ -241,7 +267,7 @@ def _favourites(reads: list[bytes], n: list[int], design: int) -> tuple[str | No
     return top([x for x in rows if len(x[1]) == design]), top(rows)
 
 
-DECODED = "cluster_id string, design_length int, total_reads long, sequence string, family int, score double, candidates int"
+DECODED = "cluster_id string, design_length int, total_reads long, sequence string, family int, score double"
 CANDIDATES = "cluster_id string, length int, place int, sequence string, score double, soft boolean, window boolean"
 FRONTIER = "cluster_id string, length int, place int, sequence string"
 
@@ -272,13 +298,13 @@ def _decode(cfg: Config, what: str, from_ledger: bool):
             favourite = [_favourites(r, m, d) for r, m, d in zip(reads, n, design)]
         beams = Beams(e, design, cfg, what == "frontier")
         if what == "frontier":
-            out = [(ids[c], length, p, beams.sequence(c, length, p)) for c in range(len(ids)) for length, p, _, _ in beams.frontier[c]]
+            out = [(ids[c], length, p, beams.sequence(c, length, p)) for c in range(len(ids)) for length, p in beams.frontier[c]]
             yield _batch(out, FRONTIER)
         elif what == "candidates":
             out = []
             for c in range(len(ids)):
                 by: dict[int, list] = {}
-                for length, b, p, s in beams.candidates[c]:
+                for length, b, p, s in beams.all_candidates(c):
                     by.setdefault(length, []).append((-b, beams.sequence(c, length, p), s))
                 for length, xs in by.items():
                     soft, window = beams.soft[c][0] <= length <= beams.soft[c][1], beams.window[c][0] <= length <= beams.window[c][1]
@@ -288,7 +314,7 @@ def _decode(cfg: Config, what: str, from_ledger: bool):
             out = []
             for c, name in enumerate(ids):
                 seq, family, score = _choose(beams, c, design[c], *favourite[c])
-                out.append((name, design[c], sum(e.hist[c].values()), seq, family, score, len(beams.candidates[c])))
+                out.append((name, design[c], sum(e.hist[c].values()), seq, family, score))
             yield _batch(out, DECODED)
 
     return run
@@ -320,7 +346,8 @@ def _ledgers(mult: DataFrame, k: int) -> DataFrame:
 
 def _run(reads: DataFrame, cfg: Config, what: str, ddl: str, split: int | None) -> DataFrame:
     mult = multiplicity(reads)
-    if split is None:
+    # asks for one answer, yes or no, after partial counts: without large clusters the plan has one branch and one shuffle
+    if split is None or reads.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).isEmpty():
         return _gathered(mult).mapInArrow(_decode(cfg, what, False), ddl)
     big = mult.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > split).select("cluster_id")
     small = _gathered(mult.join(big, "cluster_id", "left_anti")).mapInArrow(_decode(cfg, what, False), ddl)
