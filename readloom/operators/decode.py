@@ -1,7 +1,8 @@
 """Width-bounded beam decoding of clusters, and the choice of one sequence for each.
 
-``reconstruct`` makes one shuffle: equal reads are counted (with partial sums before the shuffle), gathered by cluster and
-decoded many clusters at a time as arrays: all clusters of a batch take a step together.  Clusters with more than
+Equal reads are counted in one shuffle (with partial sums before it, by cluster and sequence, so a hot cluster is spread),
+different ones gathered by cluster in a second one, and decoded many clusters at a time as arrays: all clusters of a batch
+take a step together.  Clusters with more than
 ``SPLIT`` distinct reads are not gathered; their evidence is summed by the cluster as a ledger, whose size is bounded by
 the number of grams (4^(k+1)), and only that ledger is decoded.  Results don't depend on partitions or on read order.
 
