@@ -28,7 +28,7 @@ from readloom.llm.textnp import ALNUM, U, blocks
 #: Bytes of query text in one broadcast part.
 PART_BYTES = 16 << 20
 #: Bytes of document text in one index segment.
-SEGMENT_BYTES = 32 << 20
+SEGMENT_BYTES = 8 << 20
 
 INDEX = "docs array<long>, words array<int>, terms array<int>, offsets array<int>, postings array<int>"
 
@@ -53,10 +53,10 @@ class Query:
     def terms(self, h: np.ndarray) -> np.ndarray:
         """The term number of each hash, -1 for others.  A bitmap over the low bits spares most of the binary searches."""
         if not len(self.vocab):
-            return np.full(len(h), -1)
+            return np.full(len(h), -1, np.int32)
         seen = np.zeros(1 << 18, bool)
         seen[(self.vocab & U(0x3FFFF)).astype(np.int64)] = True
-        out = np.full(len(h), -1)
+        out = np.full(len(h), -1, np.int32)
         at = np.flatnonzero(seen[(h & U(0x3FFFF)).astype(np.int64)])
         i = np.minimum(np.searchsorted(self.vocab, h[at]), len(self.vocab) - 1)
         ok = self.vocab[i] == h[at]
@@ -86,7 +86,7 @@ def _index(query):
                 t = q.terms(w.hash)
                 own = np.flatnonzero(t >= 0)
                 terms.append(t[own])
-                at.append(own + base)
+                at.append((own + base).astype(np.int32))
                 ids += column.slice(block.lo, block.n).to_pylist()
                 counts.append(w.count)
                 base, size = base + len(w.hash), size + len(block.data)
