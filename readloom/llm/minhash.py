@@ -156,11 +156,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     made = map_arrow(text, _signatures(k, rows, bands), "doc_id long, n_shingles long, one long, two long, bands array<long>")
     sig = staged(made.withColumn("two", F.when(F.col("n_shingles") > 0, F.col("two")).otherwise(F.col("doc_id"))), "minhash")
     same = ["n_shingles", "one", "two"]
-    classes = sig.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    member = staged(sig.drop("bands").join(classes, same).select("doc_id", "n_shingles", "rep"), "classes")
+    # Heads of classes and buckets are tables of their own before they are joined back: a join straight on an aggregate
+    # keeps its partitioning, and adaptive execution splits no hot group there.
+    classes = staged(sig.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "heads")
+    member = staged(sig.drop("bands").join(classes, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = sig.join(member.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands").dropDuplicates(["rep"])
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = staged(keyed.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1"), "centers")
     full = staged(keyed.join(buckets, ["band", "key"]), "buckets")
     pairs = full.where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v")).distinct()
     need = full.select(F.col("rep").alias("doc_id")).distinct()
@@ -173,7 +175,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     # Buckets of three or more whose members are still apart.
     placed = full.where("members > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     parts = placed.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).where("parts > 1")
+    largest = staged(parts.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).where("parts > 1"), "parts")
     apart = placed.join(largest, ["band", "key"]).select("band", "key", "rep", "comp", "largest", F.ceil(F.col("all") / BLOCK).cast("int").alias("b0"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("b1"))
     base = apart.select("*", F.lit(0).alias("side"), F.pmod(F.xxhash64("rep"), "b0").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("b1") - 1)).alias("y"))
     ask = apart.where("comp <> largest").select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("b0") - 1)).alias("x"), F.pmod(F.xxhash64("rep", F.lit(1)), "b1").cast("int").alias("y"))
