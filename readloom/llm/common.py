@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,12 +44,28 @@ def _drop(spark: SparkSession, path: str) -> None:
 BATCH_ROWS = 1500
 
 
+def _release() -> None:
+    """Give free memory back to the system: workers outlive their tasks, and later operators' tasks run in them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def _releasing(function):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _release()
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows from here on in this session."""
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows from here on in this session; a task's free memory goes back when it ends."""
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_releasing(function), schema)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
