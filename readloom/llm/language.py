@@ -9,8 +9,8 @@ array of gram hashes with one row of interpolated probabilities, and of context
 
 A text gets the language of the lowest length-normalised cross-entropy; ties go to the language first in order.  ``und``
 with score 0 where the text is null or has no letter, or nothing was learned.  Rows with a null language aren't learned
-from.  ``accepted`` rejects documents whose cross-entropy is far beyond their language's own, as measured over all
-documents.
+from.  ``accepted`` rejects documents whose cross-entropy is far beyond their language's own, as measured over the labelled
+rows that weren't learned from; what else there is to judge, junk and foreign text, has no part in the limits.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from readloom.llm.textnp import U, mix
 ORDER, MAX_GRAMS = 4, 1_500_000
 #: Different words that a worker holds before it sums their grams, and whose scores it remembers.
 WORDS = 150_000
+#: Held-out labelled rows from which a language has a limit of its own.
+LEAST_ROWS = 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MASK = (1 << 64) - 1
 
@@ -177,7 +179,7 @@ class Scorer:
         return out
 
 
-SCORED = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, n_letters long"
+SCORED = "doc_id long, held_out boolean, lang string, lang_pred string, score double, cross_entropy double, n_letters long"
 
 
 def _score(shared):
@@ -200,7 +202,7 @@ def _score(shared):
                     gap = np.partition(each, 1, axis=1)[:, 1] - each.min(axis=1) if each.shape[1] > 1 else np.full(len(some), np.inf)
                     score[some] = 1 - 0.5 * np.exp(-gap * np.sqrt(many[some]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(xent, from_pandas=True), pa.array(many.astype(np.int64))],
+                    [part.column("doc_id"), part.column("held_out"), part.column("lang"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(xent, from_pandas=True), pa.array(many.astype(np.int64))],
                     names=[c.split()[0] for c in SCORED.split(", ")],
                 )
 
@@ -227,22 +229,39 @@ def learn(docs: DataFrame) -> Model | None:
     return Model(names, table.column("gram").to_numpy().view(U), np.searchsorted(names, lang), table.column("n").to_numpy())
 
 
-def predict(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, lang, ...)`` -> ``(doc_id, held_out, lang_pred, score, cross_entropy, n_letters)`` for every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.coalesce(held_out(F.col("doc_id").cast("long")), F.lit(True)).alias("held_out"))
+def _scored(docs: DataFrame) -> DataFrame:
+    """``predict`` with the label ``lang``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.coalesce(held_out(F.col("doc_id").cast("long")), F.lit(True)).alias("held_out"))
     model = learn(rows.where("not held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS rows an order
-    return map_arrow(rows.select("doc_id", "text", "held_out"), _score(shared), SCORED)
+    return map_arrow(rows.select("doc_id", "text", "lang", "held_out"), _score(shared), SCORED)
+
+
+def predict(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, lang, ...)`` -> ``(doc_id, held_out, lang_pred, score, cross_entropy, n_letters)`` for every row."""
+    return _scored(docs).drop("lang")
 
 
-def accepted(docs: DataFrame, width: float = 8.0) -> DataFrame:
+def accepted(docs: DataFrame, width: float = 6.0) -> DataFrame:
     """``predict`` with ``accepted``: has letters, and a cross-entropy within ``width`` times its language's own spread.
 
-    The limit is calibrated on all documents: a language's median plus ``width`` times the distance from the median to
-    the 90th percentile, plus an allowance for short texts that falls with the root of their length.
+    A language's limit is calibrated on the held-out rows that are labelled with it and predicted as it: their median plus
+    ``width`` times the distance from the 10th percentile up to it, plus an allowance for short texts that falls with the
+    root of their length.  Rows without a label never move a limit, however many they are.  Of labelled junk, which lies
+    above the median as long as it is less than half of a language's rows, the spread below it feels little.  A language
+    with fewer than ``LEAST_ROWS`` such rows has the widest limit of the others; where none has that many, the limit of
+    all held-out labelled rows together, and without any of them, none.
     """
-    scored = staged(predict(docs), "languages")
-    at = F.percentile_approx("cross_entropy", F.array(F.lit(0.5), F.lit(0.9)), 10000)
-    limits = scored.where("cross_entropy is not null").groupBy("lang_pred").agg(at.alias("at"))  # a row for each language
-    limit = F.col("at")[0] + width * (F.col("at")[1] - F.col("at")[0]) + 6 / F.sqrt("n_letters")
-    return scored.join(F.broadcast(limits), "lang_pred", "left").withColumn("accepted", F.coalesce(F.col("cross_entropy") <= limit, F.lit(False))).drop("at")
+    scored = staged(_scored(docs), "languages")
+    at = F.percentile_approx("cross_entropy", F.array(F.lit(0.1), F.lit(0.5)), 10000)
+    own = scored.where("held_out and lang = lang_pred and cross_entropy is not null")
+    limits = own.groupBy("lang_pred").agg(at.alias("at"), F.count(F.lit(1)).alias("n"))  # a row for each language
+    limits = limits.select("lang_pred", "n", (F.col("at")[1] + width * (F.col("at")[1] - F.col("at")[0])).alias("limit"))
+    known = {r["lang_pred"]: r["limit"] for r in limits.where(F.col("n") >= LEAST_ROWS).collect()}
+    together = own.agg(at.alias("at")).first()["at"]
+    other = max(known.values()) if known else together[1] + width * (together[1] - together[0]) if together else float("inf")
+    limit = F.lit(other)
+    for lang, value in known.items():
+        limit = F.when(F.col("lang_pred") == lang, value).otherwise(limit)
+    fits = F.col("cross_entropy") <= limit + 6 / F.sqrt("n_letters")
+    return scored.drop("lang").withColumn("accepted", F.coalesce(fits, F.lit(False)))

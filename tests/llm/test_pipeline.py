@@ -1,5 +1,8 @@
 """The pipeline's stages take effect, keep clean documents and the columns of documents."""
 
+import random
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +34,25 @@ def test_language_stage(spark, sf, docs):
     assert kept == ok and not kept & {10**6, 10**6 + 1, 10**6 + 2} and len(kept) >= 0.97 * (docs.count() - 3)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_language_stage_rejects_junk_and_an_unlearned_language(spark, sf, hot):
+    """A third of the rows are random letters, or all rows of one language are in letters that mean something else."""
+    r = random.Random(7)
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    n = own.count()
+    if hot:
+        words = lambda: " ".join("".join(r.choices(string.ascii_lowercase, k=r.randint(2, 9))) for _ in range(r.randint(10, 80)))
+        texts = [words() for _ in range(n // 2)]
+    else:
+        other = str.maketrans(string.ascii_lowercase, "".join(r.sample(string.ascii_lowercase, 26)))
+        texts = [x.text.lower().translate(other) for x in own.where("lang = 'de' and length(text) > 50").collect()]
+    rows = [(10**7 + i, t, None, "hot", len(t)) for i, t in enumerate(texts)]
+    both = own.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = ids(cp.language_id(spark, both, sf))
+    assert len([i for i in kept if i >= 10**7]) <= 0.02 * len(rows)
+    assert len([i for i in kept if i < 10**7]) >= 0.97 * n
+
+
 def test_near_dedup_stage(spark, sf, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     sets = {i: sh(t) for i, t in texts.items()}
