@@ -17,6 +17,7 @@ Null texts count as empty: no spans.  Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -357,24 +358,21 @@ def fit(docs: DataFrame) -> np.ndarray:
 def spans_of(text: str, w: np.ndarray) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with those that the field adds."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [], []  # of base spans in order: their starts, and the furthest end up to each
+    for a, b in sorted((a, b) for _, a, b in base):
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
     added: list[Span] = []
     for lo, hi in windows(text):
         lattice = Lattice(text[lo:hi])
         for k, a, b in lattice.decode(w):
             a, b = a + lo, b + lo
-            if not any(x < b and a < y for x, y in taken[_near(taken, a) : _near(taken, b) + 1]):
+            before = bisect.bisect_left(starts, b)
+            if not before or reach[before - 1] <= a:
                 added.append((k, a, b))
     return base, sorted(base + added)
 
 
-def _near(taken: list[tuple[int, int]], at: int) -> int:
-    """A position in ``taken`` not behind the first span that can reach ``at``: base spans of four kinds overlap little."""
-    import bisect
-
-    return max(0, bisect.bisect_left(taken, (at, at)) - len(KINDS))
-
-
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 

@@ -180,6 +180,20 @@ def test_pii_query_and_added_spans(spark, sf):
     assert "<secret>" in pii.masked(t, all_) and "2019" in pii.masked(t, all_)
 
 
+def test_added_spans_overlap_no_base_span():
+    w = pii.train(pii._made_up())
+    r = random.Random(8)
+    one = ["joe.bloggs@mail.example.com", "10.20.30.40", "4111 1111 1111 1111", "+1 (988) 555-2485", "password=4c8f8006a3af39d897", "some words", "in 2019"]
+    for n in (2, 3, 8, 40):
+        t = ". ".join(r.choice(one) for _ in range(n)) + " joe.b@mail.org and 10.1.2.3 or +1 (988) 555-2485"
+        base, all_ = pii.spans_of(t, w)
+        added = list(all_)
+        for s in base:
+            added.remove(s)
+        assert len(base) > 2 and not [(x, y) for x in added for y in base if x[1] < y[2] and y[1] < x[2]]
+        assert t.count("password=") == sum(k == 4 for k, _, _ in added)
+
+
 def test_segment_program_is_exact():
     """Dynamic programming finds the best of all segmentations, and learning raises the gold one's likelihood."""
     w = pii.train(pii._made_up(10))
