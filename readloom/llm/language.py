@@ -2,10 +2,12 @@
 
 Letters are lower-cased and split to words; each word is a sequence of characters between boundary marks, so a word's
 log-probability never depends on its neighbours and is computed once for each different word.  Character 4-grams are
-counted over all training documents where they lie and summed by language and gram; the table of different grams depends
-on alphabets, not on the corpus' size, and only it reaches the driver (``MAX_GRAMS`` bounds it: beyond that, the least
-count that a gram must have is raised).  The driver turns it into one model for all languages: for each order a sorted
-array of gram hashes with one row of interpolated probabilities, and of context hashes with back-off weights.
+counted over all training documents where they lie and summed by language and gram; every gram takes part, whatever its
+count.  Continuation counts and discounts are sums over the whole table.  The model for all languages has for each order
+a sorted array of gram hashes with one row of interpolated probabilities, and of context hashes with back-off weights.
+It is made and sent out in parts of about ``CELLS`` numbers, by a hash of a gram's two middle characters: all that a
+4-gram backs off to is in its part, with the orders 1 and 2 in each.  The driver makes one part after the other, and a
+worker holds one at a time, so neither needs room for the whole table.  A table of one part is kept in memory.
 
 A text gets the language of the lowest length-normalised cross-entropy; ties go to the language first in order.  ``und``
 with score 0 where the text is null or has no letter, or nothing was learned.  Rows with a null language aren't learned
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from readloom.llm.common import map_arrow, staged
 from readloom.llm.textnp import U, mix
 
-ORDER, MAX_GRAMS = 4, 1_500_000
+ORDER = 4
+#: Numbers (grams times languages) of the highest order in one part of the model.
+CELLS = 6_000_000
 #: Different words that a worker holds before it sums their grams, and whose scores it remembers.
 WORDS = 150_000
 #: Held-out labelled rows from which a language has a limit of its own.
@@ -71,30 +75,46 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def part_of(g: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each gram of order 3 or 4, by the two characters before its last."""
+    return (mix((g >> U(16)) & U(0xFFFFFFFF)) % U(parts)).astype(np.int64)
+
+
+def _dense(gram: np.ndarray, lang: np.ndarray, n: np.ndarray, L: int) -> tuple[np.ndarray, np.ndarray]:
+    u, inverse = np.unique(gram, return_inverse=True)
+    count = np.zeros((len(u), L))
+    np.add.at(count, (inverse, lang), n)
+    return u, count
+
+
+def _discount(one, two):
+    return np.where(one > 0, one / np.maximum(one + 2 * two, 1), 0.5).clip(0.1, 0.9)
+
+
 class Model:
-    """Per order k: ``keys[k]`` sorted gram hashes, ``prob[k]`` (grams x languages), ``ctx[k]`` and ``back[k]`` for contexts."""
+    """Per order k: ``keys[k]`` sorted gram hashes, ``prob[k]`` (grams x languages), ``ctx[k]`` and ``back[k]`` for contexts.
 
-    def __init__(self, langs: list[str], gram: np.ndarray, lang: np.ndarray, n: np.ndarray):
+    Without ``level`` and ``discounts``, which a part of a larger model needs, both come from the 4-grams given.
+    """
+
+    def __init__(self, langs: list[str], gram: np.ndarray, lang: np.ndarray, n: np.ndarray, level: dict | None = None, discounts: dict | None = None):
         self.langs = langs
         L = len(langs)
         self.keys, self.prob, self.ctx, self.back = {}, {}, {}, {}
-        u, inverse = np.unique(gram, return_inverse=True)
-        count = np.zeros((len(u), L))
-        np.add.at(count, (inverse, lang), n)
-        level = {ORDER: (u, count)}
+        level = {**(level or {}), ORDER: _dense(gram, lang, n, L)}
         for k in range(ORDER - 1, 0, -1):  # continuation counts: different characters to the left
-            above, c = level[k + 1]
-            u, inverse = np.unique(above & U((1 << (16 * k)) - 1), return_inverse=True)
-            count = np.zeros((len(u), L))
-            np.add.at(count, inverse, (c > 0).astype(float))
-            level[k] = (u, count)
+            if k not in level:
+                above, c = level[k + 1]
+                u, inverse = np.unique(above & U((1 << (16 * k)) - 1), return_inverse=True)
+                count = np.zeros((len(u), L))
+                np.add.at(count, inverse, (c > 0).astype(float))
+                level[k] = (u, count)
         letters = len(level[1][0]) + 1
         lower = np.full((1, L), 1.0 / letters)
         self.floor = lower[0]
         for k in range(1, ORDER + 1):
             u, c = level[k]
-            one, two = (c == 1).sum(axis=0), (c == 2).sum(axis=0)
-            discount = np.where(one > 0, one / np.maximum(one + 2 * two, 1), 0.5).clip(0.1, 0.9)
+            discount = discounts[k] if discounts else _discount((c == 1).sum(axis=0), (c == 2).sum(axis=0))
             ctx, of = np.unique(u >> U(16), return_inverse=True) if k > 1 else (np.zeros(1, U), np.zeros(len(u), int))
             total, kinds = np.zeros((len(ctx), L)), np.zeros((len(ctx), L))
             np.add.at(total, of, c)
@@ -130,19 +150,38 @@ class Model:
             out[~ok] = back * self.probability(x & U((1 << (16 * (k - 1))) - 1), k - 1)
         return out
 
+    def logs(self, u: np.ndarray) -> np.ndarray:
+        return np.log(self.probability(u))
+
+
+class Parts:
+    """A model in parts: ``part(i)`` gets the i-th; what was got last is dropped before the next."""
+
+    def __init__(self, langs: list[str], parts: list):
+        self.langs, self.parts = langs, parts
+
+    def part(self, i: int) -> Model:
+        shared = self.parts[i]
+        model = shared.value
+        if len(self.parts) > 1 and getattr(shared, "_path", None):  # read again from the worker's disk when it is needed
+            shared.__dict__.pop("_value", None)
+        return model
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed log-probabilities (words x languages) and number of characters, the end mark included."""
         g, many = grams(words)
         u, inverse = np.unique(g, return_inverse=True)
-        logs = np.log(self.probability(u))[inverse]
+        logs, of = np.zeros((len(u), len(self.langs))), part_of(u, len(self.parts))
+        for i in np.unique(of).tolist():
+            logs[of == i] = self.part(i).logs(u[of == i])
         at = np.concatenate([[0], np.cumsum(many)[:-1]])
-        return np.add.reduceat(logs, at, axis=0), many
+        return np.add.reduceat(logs[inverse], at, axis=0), many
 
 
 class Scorer:
     """Sums over the words of whole texts; remembers white-space chunks."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Parts):
         self.model, L = model, len(model.langs)
         self.place: dict[str, int] = {}
         self.rows = np.zeros((0, L + 1))
@@ -182,14 +221,15 @@ class Scorer:
 SCORED = "doc_id long, held_out boolean, lang string, lang_pred string, score double, cross_entropy double, n_letters long"
 
 
-def _score(shared):
+def _score(model: Parts | None):
+    rows = 256 if not model or len(model.parts) == 1 else 1 << 30  # whole batches: fewer reads of parts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         scorer = Scorer(model) if model else None
         names = np.array([*model.langs, "und"]) if model else np.array(["und"])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
                 n, und = part.num_rows, len(names) - 1
                 best, score, xent, many = np.full(n, und), np.zeros(n), np.full(n, np.nan), np.zeros(n)
                 if scorer:
@@ -213,28 +253,54 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def learn(docs: DataFrame) -> Model | None:
+def learn(docs: DataFrame) -> Parts | None:
     """The model of all rows of ``docs(lang, text)`` with a language."""
     counted = map_arrow(docs.where("lang is not null and text is not null").select("lang", "text"), _count, "lang string, gram long, n long")
     summed = staged(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    least, size = 1, summed.count()
-    while size > MAX_GRAMS:
-        least *= 2
-        size = summed.where(F.col("n") >= least).count()
-    table = summed.where(F.col("n") >= least).toArrow()
-    if not table.num_rows:
+    many = {r["lang"]: r["n"] for r in summed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not many:
         return None
-    lang = np.array(table.column("lang").to_pylist())
-    names = sorted(set(lang.tolist()))
-    return Model(names, table.column("gram").to_numpy().view(U), np.searchsorted(names, lang), table.column("n").to_numpy())
+    names = sorted(many)
+    share = summed.sparkSession.sparkContext.broadcast
+    parts = -(-sum(many.values()) * len(names) // CELLS)
+    if parts == 1:
+        return Parts(names, [share(Model(names, *_arrays(summed, names)))])
+    level, discounts = {ORDER: summed}, {}
+    for k in range(ORDER - 1, 0, -1):
+        lower = level[k + 1].select("lang", F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("gram"))
+        level[k] = staged(lower.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), f"grams{k}")
+    for k, of in level.items():
+        ones = {r["lang"]: (r["one"], r["two"]) for r in of.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect()}
+        discounts[k] = _discount(*np.array([ones[x] for x in names]).T)
+    low = {k: _dense(*_arrays(level[k], names), len(names)) for k in (1, 2)}  # pairs of characters
+    # a part's rows lie together
+    split = {k: staged(map_arrow(level[k], _with_part(parts), "lang string, gram long, n long, part long").repartition("part").sortWithinPartitions("part"), f"parts{k}") for k in (3, 4)}
+    shared = []
+    for i in range(parts):
+        third, fourth = (_arrays(split[k].where(F.col("part") == i), names) for k in (3, 4))
+        shared.append(share(Model(names, *fourth, {**low, 3: _dense(*third, len(names))}, discounts)))
+    return Parts(names, shared)
+
+
+def _with_part(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("part", pa.array(part_of(batch.column("gram").to_numpy().view(U), parts)))
+
+    return run
+
+
+def _arrays(table: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    got = table.select("lang", "gram", "n").toArrow()
+    lang = np.searchsorted(names, np.array(got.column("lang").to_pylist(), dtype=str)) if got.num_rows else np.empty(0, np.int64)
+    return got.column("gram").to_numpy().view(U), lang, got.column("n").to_numpy()
 
 
 def _scored(docs: DataFrame) -> DataFrame:
     """``predict`` with the label ``lang``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.coalesce(held_out(F.col("doc_id").cast("long")), F.lit(True)).alias("held_out"))
     model = learn(rows.where("not held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS rows an order
-    return map_arrow(rows.select("doc_id", "text", "lang", "held_out"), _score(shared), SCORED)
+    return map_arrow(rows.select("doc_id", "text", "lang", "held_out"), _score(model), SCORED)
 
 
 def predict(docs: DataFrame) -> DataFrame:

@@ -248,6 +248,21 @@ def test_language_learns_only_from_training_rows(spark):
     assert {r.lang_pred for r in got} <= {"en", "de"}
 
 
+def test_language_keeps_all_grams_whatever_the_table_size(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rare = [(10**6 + i, "qaxu wozzik", "zz") for i in range(3) if zlib.crc32(str(10**6 + i).encode()) % 3 != 1] + [(2 * 10**6, "wozzik", None)]
+    docs = docs.unionByName(spark.createDataFrame(rare, docs.schema))
+    whole = {r.doc_id: r for r in language.predict(docs).collect()}
+    assert whole[2 * 10**6].lang_pred == "zz"
+    monkeypatch.setattr(language, "MAX_GRAMS", 2000, raising=False)
+    monkeypatch.setattr(language, "CELLS", 20_000, raising=False)
+    parts = {r.doc_id: r for r in language.predict(docs).collect()}
+    for i, r in whole.items():
+        assert parts[i].lang_pred == r.lang_pred and parts[i].n_letters == r.n_letters
+        assert parts[i].cross_entropy == pytest.approx(r.cross_entropy, rel=1e-9) and parts[i].score == pytest.approx(r.score, rel=1e-9)
+    assert len(language.learn(docs).parts) > 3
+
+
 def test_quality_against_brute_force(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for g in QUERIES["op9_quality"](spark, sf).collect():
