@@ -2,9 +2,13 @@
 
 A text's units are its lines and, within them, what ". " ends; units that name a licence (``MARK``) are headers.  Each
 header's sparse TF-IDF vector is compared with those of the templates by cosine, through a join on terms; terms that no
-template has count in a header's length with the largest weight.  A document's own licence is the template of its best
-header at ``LEAST`` or more; ties go to the template first in order.  A document is a licence file if the headers that
-match hold at least half of its terms.
+template has count in a header's length with the largest weight.  Notices that wrap are units too: two or three lines of
+which only the last may end a sentence.  A document's own licence is the template of its best header at ``LEAST`` or more;
+ties go to the template first in order.
+
+The whole of each document that names a licence is compared in the same way with whole licence texts (``TEXTS``, with
+weights of their own).  At ``LEAST`` or more the document is a licence file, and the text's licence is its own, whatever
+headers it has.  A document is also a licence file if the headers that match hold at least half of its terms.
 
 A directory's licence is that of its licence files (best cosine, then smallest doc_id).  A document without a licence of
 its own gets that of the nearest directory above it that has one: directories, each once, are joined with those above
@@ -19,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.llm.license_texts import TEXTS
+
 #: Usual one-sentence notices of public licences.
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -53,33 +59,54 @@ def _weighted(units: DataFrame, key: list[str], idf: DataFrame, unknown: float)
     return w.join(norm, key)
 
 
-def headers(docs: DataFrame) -> DataFrame:
-    """``(doc_id, unit_no, n_terms, license, score)``: each header with its best template."""
+def _compared(units: DataFrame, key: list[str], templates: tuple) -> DataFrame:
+    """``(key, license, score)``: each unit with its best template."""
     import math
 
-    spark = docs.sparkSession
-    n = len(TEMPLATES)
-    templates = spark.createDataFrame(list(TEMPLATES), "license string, unit string")
-    df = templates.select("license", F.explode(F.array_distinct(_terms("unit"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))  # under 100 rows
+    n = len(templates)
+    known = units.sparkSession.createDataFrame(list(templates), "license string, unit string")
+    df = known.select("license", F.explode(F.array_distinct(_terms("unit"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))  # terms of the templates
     unknown = math.log(1 + n) + 1
-    t = _weighted(templates, ["license"], idf, unknown).select("license", "term", F.col("w").alias("tw"), F.col("norm").alias("tnorm"))
-    marked = docs.where(F.col("text").rlike(MARK)).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.expr("replace(text, '. ', '.\\n')"), "\n")).alias("unit_no", "unit"))
-    units = marked.where(F.col("unit").rlike(MARK)).withColumn("n_terms", F.size(_terms("unit"))).dropDuplicates(["doc_id", "unit_no"])
-    h = _weighted(units, ["doc_id", "unit_no", "n_terms"], idf, unknown)
-    cos = h.join(F.broadcast(t), "term").groupBy("doc_id", "unit_no", "n_terms", "license").agg((F.sum(F.col("w") * F.col("tw")) / F.first(F.col("norm") * F.col("tnorm"))).alias("score"))
-    best = Window.partitionBy("doc_id", "unit_no").orderBy(F.col("score").desc(), "license")
+    t = _weighted(known, ["license"], idf, unknown).select("license", "term", F.col("w").alias("tw"), F.col("norm").alias("tnorm"))
+    h = _weighted(units, key, idf, unknown)
+    cos = h.join(F.broadcast(t), "term").groupBy(*key, "license").agg((F.sum(F.col("w") * F.col("tw")) / F.first(F.col("norm") * F.col("tnorm"))).alias("score"))
+    best = Window.partitionBy(*key).orderBy(F.col("score").desc(), "license")
     return cos.withColumn("score", F.round("score", 4)).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
+def headers(docs: DataFrame) -> DataFrame:
+    """``(doc_id, unit_no, n_terms, license, score)``: each header with its best template.  Wrapped notices have negative numbers."""
+    marked = docs.where(F.col("text").rlike(MARK)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    single = marked.select("doc_id", F.posexplode(F.split(F.expr("replace(text, '. ', '.\\n')"), "\n")).alias("unit_no", "unit"))
+    # the last sentence of a line that goes on, and the first of the line it ends in
+    lines = marked.withColumn("l", F.split("text", "\r?\n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("l") - 1)))
+    a, b, c = F.expr("element_at(split(l[i], '[.] '), -1)"), F.expr("get(l, i + 1)"), F.expr("get(l, i + 2)")
+    ends, first = "[.!?]\\s*$|^\\W*$", lambda x: F.split(x, "(?<=[.]) ")[0]
+    two = F.when(~a.rlike(ends) & ~b.rlike("^\\W*$"), F.concat_ws(" ", a, first(b)))
+    three = F.when(~a.rlike(ends) & ~b.rlike(ends + "|[.] ") & ~c.rlike("^\\W*$"), F.concat_ws(" ", a, b, first(c)))
+    wrapped = lines.select("doc_id", F.explode(F.array(F.struct((-2 * F.col("i") - 1).alias("unit_no"), two.alias("unit")), F.struct((-2 * F.col("i") - 2).alias("unit_no"), three.alias("unit")))).alias("x")).select("doc_id", "x.*")
+    units = single.unionByName(wrapped).where(F.col("unit").rlike(MARK)).withColumn("n_terms", F.size(_terms("unit"))).dropDuplicates(["doc_id", "unit_no"])
+    return _compared(units, ["doc_id", "unit_no", "n_terms"], TEMPLATES)
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, license, score)``: each document that names a licence with its best whole text."""
+    marked = docs.where(F.col("text").rlike(MARK)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("unit"))
+    return _compared(marked.dropDuplicates(["doc_id"]), ["doc_id"], TEXTS)
+
+
 def scan(files: DataFrame) -> DataFrame:
     """``files(doc_id, path, text)`` -> ``(doc_id, path, own_license, own_score, license_file, license, license_dir)``."""
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "text")
     found = headers(rows).where(F.col("score") >= LEAST)
-    own = found.groupBy("doc_id").agg(F.max_by(F.struct("license", "score"), F.struct("score", -F.col("unit_no"))).alias("best"), F.sum("n_terms").alias("covered"))
+    own = found.groupBy("doc_id").agg(F.max_by(F.struct("license", "score"), F.struct("score", F.col("unit_no") >= 0, -F.abs("unit_no"))).alias("best"), F.greatest(F.sum(F.when(F.col("unit_no") >= 0, F.col("n_terms"))), F.max("n_terms")).alias("covered"))
     # words of the few documents with a header only
     marked = rows.where(F.col("text").rlike(MARK)).select("doc_id", F.size(_terms("text")).alias("terms")).groupBy("doc_id").agg(F.max("terms").alias("terms"))
     own = own.join(marked, "doc_id").select("doc_id", F.col("best.license").alias("own_license"), F.col("best.score").alias("own_score"), (2 * F.col("covered") >= F.col("terms")).alias("license_file"))
+    whole = texts(rows).where(F.col("score") >= LEAST).select("doc_id", F.struct("license", "score").alias("whole"))
+    own = own.join(whole, "doc_id", "full")
+    own = own.select("doc_id", F.coalesce("whole.license", "own_license").alias("own_license"), F.coalesce("whole.score", "own_score").alias("own_score"), (F.col("whole").isNotNull() | F.col("license_file")).alias("license_file"))
     judged = rows.drop("text").join(own, "doc_id", "left").withColumn("license_file", F.coalesce("license_file", F.lit(False)))
     homes = judged.where("license_file and dir is not null").groupBy("dir").agg(F.max_by("own_license", F.struct("own_score", -F.col("doc_id"))).alias("dir_license"))
     dirs = rows.select("dir").where("dir is not null").distinct()

@@ -396,3 +396,20 @@ def test_licenses(spark):
     assert got[4].license is None and got[6].license is None
     assert got[5].license == "Apache-2.0" and not got[5].license_file
     assert (got[7].license, got[7].license_dir) == ("MIT", "/a")
+
+
+def test_whole_licence_files_and_wrapped_notices(spark):
+    from readloom.llm.license_texts import TEXTS
+
+    files = [(i, f"/{name}/LICENSE", "Copyright (c) 2020 A. Body\n\n" + t) for i, (name, t) in enumerate(TEXTS)]
+    files += [(100 + i, f"/{name}/src/x.c", "int main;") for i, (name, _) in enumerate(TEXTS)]
+    files += [(200, "/w/a", "/* This work is licensed under the GNU General Public\n * License, version 2.\n */\n" + "int a b c d e f g h;\n" * 9)]
+    files += [(201, "/w/b", "A tool\n# This work is licensed under\n# the GNU General Public License,\n# version 3. Then other words\n" + "x y z\n" * 30)]
+    files += [(202, "/w/c", "some words of a licence that nobody has seen. " * 40)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    for i, (name, _) in enumerate(TEXTS):
+        assert got[i].license_file and got[i].own_license == name, (name, got[i])
+        assert (got[100 + i].license, got[100 + i].license_dir) == (name, f"/{name}")
+    assert got[200].own_license == "GPL-2.0" and not got[200].license_file
+    assert got[201].own_license == "GPL-3.0" and not got[201].license_file
+    assert got[202].own_license is None and not got[202].license_file
