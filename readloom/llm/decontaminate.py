@@ -111,21 +111,28 @@ def exact(lists: list[np.ndarray]) -> np.ndarray:
     return start
 
 
-def near(lists: list[np.ndarray], reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spans (first and last position) of at most ``reach`` words around the rarest term that hold all terms, in any order."""
-    order = sorted(range(len(lists)), key=lambda j: len(lists[j]))
-    lo = hi = mid = lists[order[0]]
-    for j in order[1:]:
-        if not len(mid):
-            break
-        x = lists[j]
-        i = np.searchsorted(x, mid)
-        left, right = x[np.maximum(i - 1, 0)], x[np.minimum(i, len(x) - 1)]
-        best = np.where(np.abs(left - mid) <= np.abs(right - mid), left, right)
-        lo, hi = np.minimum(lo, best), np.maximum(hi, best)
-        ok = hi - lo < reach
-        lo, hi, mid = lo[ok], hi[ok], mid[ok]
-    return lo, hi
+def near(lists: list[np.ndarray], need: list[int], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions of all minimal spans of at most ``reach`` words that hold ``need[j]`` positions of each lists[j].
+
+    For each position as the end, the latest start is the least of the terms' need-th last positions up to it; of spans with
+    one start, the shortest is minimal.  A span that leaves its document has no other with this end inside the document.
+    """
+    rare = min(lists, key=len)
+
+    def close(x: np.ndarray) -> np.ndarray:  # every span holds a rarest term
+        i = np.searchsorted(rare, x)
+        left, right = x - rare[np.maximum(i - 1, 0)], rare[np.minimum(i, len(rare) - 1)] - x
+        return x[(np.abs(left) < reach) | (np.abs(right) < reach)]
+
+    lists = [close(x) for x in lists]
+    end = np.unique(np.concatenate(lists)).astype(np.int64)
+    start = end.copy()
+    for x, n in zip(lists, need):
+        i = np.searchsorted(x, end, "right") - n
+        ok = i >= 0
+        end, start = end[ok], np.minimum(start[ok], x[i[ok]])
+    ok = (end - start < reach) & (np.diff(start, prepend=-1) > 0)
+    return start[ok], end[ok]
 
 
 def _search(query, slop: int):
@@ -147,11 +154,11 @@ def _search(query, slop: int):
                 found: dict[int, set[str]] = {}
                 for k in np.flatnonzero(many[table].min(axis=1) > 0) if len(table) else ():
                     p = q.phrases[k]
-                    lists = [post[lo[t] : hi[t]] for t in p]
                     if slop:
-                        a, b = near(lists, len(p) + slop)
+                        different, need = np.unique(p, return_counts=True)
+                        a, b = near([post[lo[t] : hi[t]] for t in different], need.tolist(), len(p) + slop)
                     else:
-                        a = exact(lists)
+                        a = exact([post[lo[t] : hi[t]] for t in p])
                         b = a + len(p) - 1
                     if not len(a):
                         continue
@@ -192,7 +199,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) ->
     """``(doc_id, n_words, hits array<int>, items array<string>)``: words of each document inside an item's phrase, and those items.
 
     A phrase is ``size`` consecutive words of an item, or the whole of a shorter one.  ``slop`` > 0: proximity, all words of
-    the phrase in any order within ``size + slop`` words.
+    the phrase, as often as it has them, in any order within as many words as it has and ``slop`` more; hits are the words of
+    the minimal such spans.
     """
     spark, out = docs.sparkSession, []
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

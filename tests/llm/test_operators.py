@@ -301,6 +301,27 @@ def test_decontamination_parts_and_proximity(spark, monkeypatch):
     assert "1" in near[1] and near[3] == []
 
 
+def test_proximity_against_brute_force(spark):
+    r = random.Random(4)
+    texts = ["x x x x x x x x b x a x x b c", "a b", "c a b", "a c x x b a"] + [" ".join(r.choices("abcxyz", k=r.randrange(1, 40))) for _ in range(150)]
+    phrases = ["a b c", "a a b", "c b", "a x a x"]
+    items = spark.createDataFrame(list(enumerate(phrases)), "item_id long, text string")
+    docs = made(spark, list(enumerate(texts)))
+    for slop in (1, 2, 4):
+        got = {x.doc_id: x for x in decontaminate.matches(docs, items, slop=slop).collect()}
+        for d, t in enumerate(texts):
+            w, want, hits = t.split(), set(), set()
+            for i, q in enumerate(phrases):
+                need = Counter(q.split())
+                holds = lambda a, b: not need - Counter(w[a:b])  # noqa: B023, E731
+                for a in range(len(w)):
+                    for b in range(a + 1, min(len(w), a + need.total() + slop) + 1):
+                        if holds(a, b) and not holds(a + 1, b) and not holds(a, b - 1):
+                            want.add(str(i))
+                            hits |= set(range(a, b))
+            assert set(got[d]["items"]) == want and set(got[d].hits) == hits, (slop, t)
+
+
 def test_packing(spark, sf):
     from tokenizers import Tokenizer
 
