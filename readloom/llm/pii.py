@@ -5,12 +5,15 @@ Base spans come from four fixed patterns with validators and always stay.  The f
 
 Field: a text is cut into words and single marks.  A segment of at most ``MAX_TOKENS`` tokens and ``MAX_CHARS``
 characters, holding a digit or @, may be an entity; any token may be outside.  Features look at the whole segment (its
-shape, digits, checksum, marks) and at its neighbours.  Dynamic programming over segment ends picks boundaries and kinds
-together.  Only tokens near a digit or @ can be in a segment, so text between such places is outside for certain and
-leaves the program unchanged: it runs over windows, which is exact for the whole text.
+shape with and without lengths, digits, checksum, marks) and at its neighbours, as arrays over all segments.  Dynamic
+programming over segment ends picks boundaries and kinds together.  Only tokens near a digit or @ can be in a segment, so
+text between such places is outside for certain and leaves the program unchanged: it runs over windows, which is exact
+for the whole text.  It goes through a long window in pieces and keeps what a later segment can reach, so a text of
+numbers alone needs little more memory than the text.
 
-Weights maximise the conditional likelihood (forward-backward over segments) on windows of at most ``TRAIN_DOCS``
-documents, labelled by the patterns and by two patterns for secrets, and on made-up examples of every kind.
+Weights maximise the conditional likelihood (forward-backward over segments) on made-up examples of every kind
+(``examples``) and on windows of at most ``TRAIN_DOCS`` documents, labelled by the patterns and by two patterns for
+secrets; windows of over ``TRAIN_CHARS`` characters aren't learned from.
 
 Null texts count as empty: no spans.  Offsets are code points, ends exclusive.
 """
@@ -30,17 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import map_arrow
+from readloom.llm.textnp import U, mix
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-MAX_TOKENS, MAX_CHARS = 16, 96
-#: Bounds of the training sample, and of its windows.
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BUCKETS = 2000, 1500, 4, 1 << 13
+MAX_TOKENS, MAX_CHARS = 16, 200
+#: Bounds of the training sample (documents, windows of theirs, characters of a window), and rows of the weights.
+TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_CHARS, EPOCHS, BUCKETS = 2000, 1500, 400, 4, 1 << 15
+#: Tokens of one piece of a text, ends of segments taken together, and tokens before them that their features reach.
+PIECE, STEP, KEPT = 16384, 4096, 32
 
 Span = tuple[int, int, int]
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
@@ -94,7 +100,7 @@ _SECRETS = (re.compile(r"(?i)(?:password|passwd|token|secret|api[_-]?key)[ ]?[=:
 
 
 def _labels(text: str) -> list[Span]:
-    """What the field learns from: disjoint base spans and patterns of secrets."""
+    """What the field learns from in documents: disjoint base spans and patterns of secrets."""
     found = base_spans(text) + [(4, *m.span(1)) for p in _SECRETS for m in p.finditer(text) if re.search(r"\d", m[1])]
     kept: list[Span] = []
     for s in sorted(found, key=lambda s: (s[1], s[0])):
@@ -137,240 +143,391 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _hash(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % BUCKETS
-
-
-_known: dict[str, int] = {}
-
-
-def _number(name: str) -> int:
-    if name not in _known:
-        if len(_known) > 200_000:
-            _known.clear()
-        _known[name] = _hash(name)
-    return _known[name]
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 _A, _B, _N = re.compile(r"[A-Z]+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"\d+")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+
+
+def _shape(word: str) -> str:
+    """Runs of capitals, other letters and digits; words of many runs are told apart by their alphabet only."""
+    s = _A.sub("A", _B.sub("a", _N.sub("9", word)))
+    return s if len(s) < 5 else "hex" if _HEX.fullmatch(word) else "mix" + "".join(c for c in "Aa9" if c in s)
+
+
+#: Marks whose numbers segments ask for.
+_AT, _DOT, _PLUS, _DASH, _BRACKET, _WORD = 1, 2, 3, 4, 5, 0
+_MARKS = {"@": _AT, ".": _DOT, "+": _PLUS, "-": _DASH, "(": _BRACKET, ")": _BRACKET}
+_words: dict[str, tuple[int, ...]] = {}
+
+
+def _word(w: str) -> tuple[int, ...]:
+    """A token by itself: hashes of its shape, of shape and length, of its letters and first character, and its properties."""
+    got = _words.get(w)
+    if got is None:
+        if len(_words) > 100_000:
+            _words.clear()
+        digits, shape = sum(c in "0123456789" for c in w), _shape(w)
+        number = digits == len(w)
+        marked = digits > 0 or w == "@"
+        outside = "out:" + ("9" if marked else "a" if w.isalpha() else w) + (str(min(len(w), 9)) if marked else "")
+        kind = _MARKS.get(w, _WORD if w.isalnum() else 6)
+        got = _words[w] = (_hash("shape:" + shape), _hash(f"long:{shape}:{min(len(w), 24)}"), _hash("word:" + w.lower()[:12]), _hash("first:" + w[0]), _hash(outside) % BUCKETS, digits, int(number), int(marked), kind, int(number and len(w) < 4 and int(w) < 256), int(w.isalpha()))
+    return got
+
+
+#: Keeps equal values of different features apart.
+_SEEDS = np.random.Generator(np.random.PCG64(31)).integers(1, 1 << 63, 32, dtype=U)
+
+
+class Tokens:
+    """Tokens of one or more windows, one window behind the other, as arrays.
+
+    ``head`` marks a window's first token.  No segment crosses it, a line's end, or white space of more than one character.
+    """
+
+    def __init__(self, words: list[str], start: list[int], end: list[int], head: list[bool]):
+        self.n = n = len(words)
+        self.start, self.end = np.array(start, np.int64), np.array(end, np.int64)
+        rows = np.array([_word(w) for w in words], dtype=object).reshape(n, 11)
+        self.shape, self.long, self.word, self.initial = (rows[:, c].astype(np.uint64) for c in range(4))
+        self.outside, digits, self.number, marked, self.kind, self.octet, alpha = (rows[:, c].astype(np.int64) for c in range(4, 11))
+        head = np.array(head, bool)
+        gap = np.zeros(n, np.int64)  # before each token
+        gap[1:] = self.start[1:] - self.end[:-1]
+        self.head, self.gap = head, gap
+        total = lambda x: np.concatenate([[0], np.cumsum(x)])
+        self.c_marked, self.c_digits, self.c_number = total(marked), total(digits), total(self.number)
+        self.c_mark = {k: total(self.kind == k) for k in (_AT, _DOT, _DASH, _BRACKET, _PLUS)}
+        self.c_space, self.c_word = total(gap > 0), total(self.kind == _WORD)
+        # Luhn sums of any range of digits, from sums over even and odd places of digits as they are and doubled
+        flat = np.frombuffer("".join(w if w.isdecimal() and w.isascii() else "".join(c for c in w if c in "0123456789") for w in words).encode(), np.uint8).astype(np.int64) - 48
+        twice = 2 * flat - 9 * (flat > 4)
+        even = np.arange(len(flat)) % 2 == 0
+        self.luhn = [total(np.where(even, x, y)) for x, y in ((flat, twice), (twice, flat))]
+        at = np.arange(n)
+        self.last_at = np.maximum.accumulate(np.where(self.kind == _AT, at, -1)) if n else at
+        # the nearest word to the left, at most four tokens away
+        near = np.maximum.accumulate(np.where(alpha > 0, at, -9)) if n else at
+        first = np.maximum.accumulate(np.where(head, at, 0)) if n else at
+        before = np.concatenate([[-9], near[:-1]]) if n else near
+        ok = (before >= first) & (at - before <= 4)
+        self.cue = np.where(ok, self.word[np.maximum(before, 0)], U(1)) if n else self.word
+        self.left = np.where(head, U(2), np.concatenate([[U(0)], self.word[:-1]])) if n else self.word
+        ends = np.concatenate([head[1:], [True]]) if n else head
+        self.right = np.where(ends, U(3), np.concatenate([self.initial[1:], [U(0)]])) if n else self.word
+        self.tied_left, self.tied_right = (gap == 0) & ~head, np.concatenate([gap[1:] == 0, [False]]) & ~ends if n else head
+
+    def segments(self, lo: int, hi: int, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidate segments (tokens i to j - 1) with lo < j <= hi, by j: ``i``, ``j`` and their features (segments x FEATURES)."""
+        j = np.arange(lo + 1, hi + 1)
+        i, shape, long = j.copy(), np.zeros(len(j), U), np.zeros(len(j), U)
+        found = []
+        for m in range(1, MAX_TOKENS + 1):
+            ok = (i > 0) & (True if m == 1 else ~breaks[np.minimum(i, self.n - 1)])
+            i, j, shape, long = i[ok] - 1, j[ok], shape[ok], long[ok]
+            ok = self.end[j - 1] - self.start[i] <= MAX_CHARS
+            i, j, shape, long = i[ok], j[ok], shape[ok], long[ok]
+            space = (self.gap[i + 1 - (m == 1)] * (m > 1)).astype(U)
+            shape, long = mix(shape * U(31) + space + self.shape[i]), mix(long * U(31) + space + self.long[i])
+            take = self.c_marked[j] > self.c_marked[i]
+            found.append((i[take], j[take], shape[take], long[take]))
+        i, j, shape, long = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(j, kind="stable")
+        i, j, shape, long = i[order], j[order], shape[order], long[order]
+        return i, j, self._features(i, j, shape, long)
+
+    def _features(self, i: np.ndarray, j: np.ndarray, shape: np.ndarray, long: np.ndarray) -> np.ndarray:
+        n, size, z = self.c_digits[j] - self.c_digits[i], self.end[j - 1] - self.start[i], j - 1
+        count = {k: c[j] - c[i] for k, c in self.c_mark.items()}
+        space = (self.c_space[j] - self.c_space[np.minimum(i + 1, j)]) > 0
+        alnum, plus = (j - i == 1) & (self.c_word[j] > self.c_word[i]), self.kind[i] == _PLUS
+        numbers = self.c_number[j] - self.c_number[i]
+        of = lambda *parts: sum(p.astype(np.int64) * w for p, w in zip(parts, (1, 8, 64, 512, 4096)))
+        d0, d1 = self.c_digits[i], self.c_digits[j]
+        odd = (d1 - 1) % 2
+        luhn_ok = np.where(odd == 0, self.luhn[0][d1] - self.luhn[0][d0], self.luhn[1][d1] - self.luhn[1][d0]) % 10 == 0
+        card, dots = j - i == numbers + count[_DASH], j - i == numbers + count[_DOT]
+        phone = j - i == numbers + count[_DASH] + count[_DOT] + count[_BRACKET] + count[_PLUS]
+        octets = np.ones(len(i), bool)
+        for k in range(7):
+            t = np.minimum(i + k, self.n - 1)
+            octets &= (self.octet[t] > 0) if k % 2 == 0 else (self.kind[t] == _DOT)
+        at = self.last_at[z]
+        tail = np.where(at >= i, self.c_mark[_DOT][j] - self.c_mark[_DOT][np.minimum(at + 1, j)], 0)
+        none = np.full(len(i), -1)
+        columns = [
+            np.zeros(len(i), np.int64),
+            shape,
+            long,
+            np.minimum(n, 20),
+            np.minimum(size // 4, 12),
+            of(np.minimum(count[_AT], 3), np.minimum(count[_DOT], 5), space, plus, alnum),
+            self.shape[i],
+            self.shape[z],
+            of(self.tied_left[i], self.tied_right[z]),
+            self.left[i],
+            self.right[z],
+            self.cue[i],
+            np.where(alnum, of(n > 0, n < size, np.minimum(size // 6, 6)), none),
+            np.where((n >= 13) & (n <= 19), of(luhn_ok, card), none),
+            np.where((count[_DOT] == 3) & dots & ~space, of((j - i == 7) & octets), none),
+            np.where(plus & (self.number[z] > 0), of((n >= 9) & (n <= 15), phone), none),
+            np.where(at >= i, of(at > i, at < z - 1, tail > 0, space, self.kind[z] == _WORD), none),
+            np.where(phone & (n >= 7) & (n <= 15), of(np.minimum(numbers, 7), plus, space), none),
+        ]
+        out = np.empty((len(i), len(columns)), np.int64)
+        for c, x in enumerate(columns):
+            number = (mix((x if x.dtype == U else x.view(U)) + _SEEDS[c]) % U(BUCKETS)).astype(np.int64)
+            out[:, c] = number if x.dtype == U else np.where(x < 0, BUCKETS, number)
+        return out
 
 
-def _shape(s: str) -> str:
-    return _A.sub("A", _B.sub("a", _N.sub("9", s)))[:24]
-
-
-class Lattice:
-    """Tokens of a window, its candidate segments ``(i, j)`` by end, and their features."""
-
-    def __init__(self, text: str):
-        toks = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        self.toks, self.n = toks, len(toks)
-        words = [text[a:b] for a, b in toks]
-        marked = np.concatenate([[0], np.cumsum([bool(_MARK.search(w)) for w in words])]).astype(int).tolist()
-        self.segments: list[tuple[int, int]] = []
-        flat: list[int] = []
-        starts: list[int] = []
-        for j in range(1, self.n + 1):
-            for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
-                a, b = toks[i][0], toks[j - 1][1]
-                if b - a > MAX_CHARS or (i < j - 1 and toks[i + 1][0] - toks[i][1] > 1) or "\n" in text[a:b]:
-                    break
-                if marked[j] == marked[i]:
-                    continue
-                starts.append(len(flat))
-                self.segments.append((i, j))
-                flat += self._features(text, words, i, j, a, b)
-        self.flat, self.starts = np.array(flat, np.int64), np.array(starts, np.int64)
-        self.outside = [_number("out:" + ("9" if marked[t + 1] > marked[t] else "a" if w.isalpha() else w) + (str(min(len(w), 9)) if marked[t + 1] > marked[t] else "")) for t, w in enumerate(words)]
-
-    def _features(self, text: str, words: list[str], i: int, j: int, a: int, b: int) -> list[int]:
-        s = text[a:b]
-        digits = _NON_DIGIT.sub("", s)
-        n, alnum = len(digits), s.isalnum()
-        left = words[i - 1].lower()[:12] if i else "^"
-        names = [
-            "bias",
-            "shape:" + _shape(s),
-            f"digits:{min(n, 20)}",
-            f"len:{min(len(s) // 4, 12)}",
-            f"kind:{s.count('@')}:{min(s.count('.'), 5)}:{' ' in s}:{s[0] == '+'}:{alnum}",
-            f"first:{_shape(words[i])[:6]}",
-            f"last:{_shape(words[j - 1])[:6]}",
-            f"joined:{a > 0 and not text[a - 1].isspace()}:{b < len(text) and not text[b].isspace()}",
-            "left:" + left,
-            "right:" + (words[j][:1] if j < len(words) else "$"),
-        ]
-        if alnum:
-            names.append(f"alnum:{n > 0}:{n < len(s)}:{min(len(s) // 6, 6)}")
-        if 13 <= n <= 19:
-            names.append(f"luhn:{luhn(digits)}:{not s.translate(_NO_CARD)}")
-        if n and s.count(".") == 3 and not s.translate(_NO_IP):
-            names.append(f"ip:{all(p and len(p) < 4 and int(p) < 256 for p in s.split('.'))}")
-        if s[0] == "+" and s[-1:].isdigit():
-            names.append(f"phone:{9 <= n <= 15}:{not s.translate(_NO_PHONE)}")
-        if "@" in s:
-            at = s.rfind("@")
-            names.append(f"mail:{0 < at < len(s) - 3}:{'.' in s[at:]}:{' ' in s}:{s[-1].isalnum()}")
-        return [_number(x) for x in names]
+def _stream(parts: list[tuple[str, int, int]]) -> Iterator[tuple[Tokens, np.ndarray, list[int], int, int, int]]:
+    """Tokens of windows ``(text, lo, hi)`` in pieces of at most ``PIECE`` new ones, however long a window is.
+
+    Yields ``(tokens, breaks, parts' numbers, first new, past the last new, base)``: a piece also holds the tokens before its
+    new ones that a segment or its neighbours can reach, and one behind; ``base`` is the number of tokens before the piece.
+    """
+    words, start, end, head, line, of = [], [], [], [], [], []
+    first = base = 0
+
+    def piece(stop: int):
+        t = Tokens(words, start, end, head)
+        return t, t.head | (t.gap > 1) | np.array(line, bool), list(of), first, stop, base
+
+    for k, (text, lo, hi) in enumerate(parts):
+        last = lo
+        for m in _TOKEN.finditer(text, lo, hi):
+            a, b = m.span()
+            head.append(last == lo and (not of or of[-1] != k))
+            words.append(m.group())
+            start.append(a)
+            end.append(b)
+            line.append(a - last == 1 and text[last] == "\n")
+            of.append(k)
+            last = b
+            if len(words) - first > PIECE:
+                yield piece(len(words) - 1)
+                cut = max(0, len(words) - 1 - KEPT)
+                for x in (words, start, end, head, line, of):
+                    del x[:cut]
+                first, base = len(words) - 1, base + cut
+    if words:
+        yield piece(len(words))
+
+
+def decode(parts: list[tuple[str, int, int]], w: np.ndarray) -> list[list[Span]]:
+    """The best joint choice of boundaries and kinds in each window ``(text, lo, hi)``, as spans of the text.
+
+    Scores are taken against all tokens being outside, so segments that gain nothing over that are left out at once and a
+    token's best score never falls.  What is held for a text is a record for each place where it rises.
+    """
+    rises: list[tuple[int, int, int, int, int, int]] = []  # j, i, kind, part, start, end
+    at, value = [-1], [0.0]  # the rises' ends, and the best score from there on
+    for t, breaks, of, first, stop, base in _stream(parts):
+        out = np.concatenate([[0.0], np.cumsum(w[t.outside, -1])])
+        for lo in range(first, stop, STEP):
+            i, j, f = t.segments(lo, min(lo + STEP, stop), breaks)
+            e = np.zeros((len(i), len(KINDS)))
+            for c in range(f.shape[1]):
+                e += w[f[:, c], : len(KINDS)]
+            kind = e.argmax(axis=1)
+            gain = e[np.arange(len(i)), kind] - (out[j] - out[i])
+            for s in np.flatnonzero(gain > 0).tolist():
+                a, b = int(i[s]) + base, int(j[s]) + base
+                v = value[bisect.bisect_right(at, a) - 1] + float(gain[s])
+                if v > value[-1]:
+                    if at[-1] == b:
+                        at.pop(), value.pop(), rises.pop()
+                    at.append(b)
+                    value.append(v)
+                    rises.append((b, a, int(kind[s]), of[int(i[s])], int(t.start[i[s]]), int(t.end[j[s] - 1])))
+    spans: list[list[Span]] = [[] for _ in parts]
+    j = 1 << 62
+    for b, a, kind, part, lo, hi in reversed(rises):
+        if b <= j:
+            spans[part].append((kind, lo, hi))
+            j = a
+    return [x[::-1] for x in spans]
+
+
+class Example:
+    """A window to learn from: its segments, by end and by start, their features, and the gold ones' kinds."""
+
+    def __init__(self, text: str, gold: list[Span]):
+        (t, breaks, *_), *rest = _stream([(text, 0, len(text))])
+        self.n, self.outside = t.n, t.outside
+        self.i, self.j, self.f = t.segments(0, t.n, breaks)
+        self.used, self.of = np.unique(self.f, return_inverse=True)
+        self.of = self.of.ravel()
+        first, last = {a: k for k, a in enumerate(t.start.tolist())}, {b: k + 1 for k, b in enumerate(t.end.tolist())}
+        self.gold = {(first.get(a, -1), last.get(b, -1)): k for k, a, b in gold}
+        have = {s: k for k, s in enumerate(zip(self.i.tolist(), self.j.tolist()))}
+        self.whole = not rest and all(s in have for s in self.gold)
+        self.want = [(have[s], k) for s, k in self.gold.items()] if self.whole else []
+        self.ends = [np.flatnonzero(self.j == x).tolist() for x in range(self.n + 1)]
+        self.starts = [np.flatnonzero(self.i == x).tolist() for x in range(self.n + 1)]
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         """(segments x kinds)"""
-        if not len(self.starts):
-            return np.zeros((0, len(KINDS)))
-        return np.add.reduceat(w[self.flat, : len(KINDS)], self.starts, axis=0)
-
-    def by_end(self) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in range(self.n + 1)]
-        for k, (_, j) in enumerate(self.segments):
-            out[j].append(k)
-        return out
+        return w[self.f, : len(KINDS)].sum(axis=1)
 
-    def decode(self, w: np.ndarray) -> list[Span]:
-        """The best joint choice of boundaries and kinds, as character spans of the window."""
+    def learn(self, w: np.ndarray, rate: float) -> None:
+        """One step up the conditional log-likelihood of the gold segmentation, by forward and backward sums."""
         e = self.scores(w)
-        kind = e.argmax(axis=1).tolist()
-        best = e.max(axis=1).tolist() if len(e) else []
-        out = w[self.outside, -1].tolist() if self.n else []
-        score, back = [0.0] * (self.n + 1), [-1] * (self.n + 1)
-        ends = self.by_end()
-        for j in range(1, self.n + 1):
-            score[j] = score[j - 1] + out[j - 1]
-            for k in ends[j]:
-                v = score[self.segments[k][0]] + best[k]
-                if v > score[j]:
-                    score[j], back[j] = v, k
-        j, spans = self.n, []
-        while j:
-            if back[j] < 0:
-                j -= 1
-            else:
-                i, end = self.segments[back[j]]
-                spans.append((kind[back[j]], self.toks[i][0], self.toks[end - 1][1]))
-                j = i
-        return spans[::-1]
-
-    def learn(self, w: np.ndarray, gold: dict[tuple[int, int], int], rate: float) -> None:
-        """One step up the conditional log-likelihood of the gold segmentation."""
-        e, K = self.scores(w), len(KINDS)
-        out = w[self.outside, -1].tolist()
-        ends, n = self.by_end(), self.n
+        most = e.max(axis=1) if len(e) else np.zeros(0)
+        either = (most + np.log(np.exp(e - most[:, None]).sum(axis=1))).tolist()  # over kinds
+        out, n = w[self.outside, -1].tolist(), self.n
+        i, j = self.i.tolist(), self.j.tolist()
         alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            terms = [alpha[j - 1] + out[j - 1]] + [alpha[self.segments[k][0]] + x for k in ends[j] for x in e[k].tolist()]
+        for x in range(1, n + 1):
+            terms = [alpha[x - 1] + out[x - 1]] + [alpha[i[k]] + either[k] for k in self.ends[x]]
             top = max(terms)
-            alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
-        starts: list[list[int]] = [[] for _ in range(n + 1)]
-        for k, (i, _) in enumerate(self.segments):
-            starts[i].append(k)
-        for i in range(n - 1, -1, -1):
-            terms = [beta[i + 1] + out[i]] + [beta[self.segments[k][1]] + x for k in starts[i] for x in e[k].tolist()]
+            alpha[x] = top + math.log(sum(math.exp(t - top) for t in terms))
+        for x in range(n - 1, -1, -1):
+            terms = [beta[x + 1] + out[x]] + [beta[j[k]] + either[k] for k in self.starts[x]]
             top = max(terms)
-            beta[i] = top + math.log(sum(math.exp(t - top) for t in terms))
+            beta[x] = top + math.log(sum(math.exp(t - top) for t in terms))
         z = alpha[n]
         if len(e):
-            ij = np.array(self.segments)
-            p = np.exp(np.minimum(np.array(alpha)[ij[:, 0], None] + e + np.array(beta)[ij[:, 1], None] - z, 0))
-            want = np.zeros_like(p)
-            for k, s in enumerate(self.segments):
-                if s in gold:
-                    want[k, gold[s]] = 1
-            many = np.diff(np.append(self.starts, len(self.flat)))
-            np.add.at(w, (self.flat[:, None], np.arange(K)[None, :]), rate * np.repeat(want - p, many, axis=0))
-        inside = {t for i, j in gold for t in range(i, j)}
+            step = -np.exp(np.minimum(np.array(alpha)[self.i][:, None] + e + np.array(beta)[self.j][:, None] - z, 0))
+            for k, kind in self.want:
+                step[k, kind] += 1
+            for k in range(len(KINDS)):
+                w[self.used, k] += rate * np.bincount(self.of, np.repeat(step[:, k], self.f.shape[1]), len(self.used))
+            w[BUCKETS] = 0  # of features that a segment hasn't
+        inside = {t for a, b in self.gold for t in range(a, b)}
         for t in range(n):
             p = math.exp(min(alpha[t] + out[t] + beta[t + 1] - z, 0))
             w[self.outside[t], -1] += rate * ((t not in inside) - p)
 
 
-_NO_CARD = {ord(c): None for c in "0123456789 -"}
-_NO_IP = {ord(c): None for c in "0123456789."}
-_NO_PHONE = {ord(c): None for c in "+0123456789 ().-"}
-
-
-def _made_up(n: int = 60) -> list[str]:
-    """Example windows of every kind and of harmless numbers, by rule."""
-    r = random.Random(11)
-    word = lambda: "".join(r.choice("abdeghilmnoprstu") for _ in range(r.randint(2, 8)))
-    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+def examples(n: int = 40, seed: int = 11) -> list[tuple[str, list[Span]]]:
+    """Made-up windows by rule, ``n`` of each form: kinds with their spans, and harmless numbers."""
+    r = random.Random(seed)
+    pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    word = lambda: pick("abdeghilmnoprstu", r.randint(2, 8))
+    num = lambda k: pick(dig, k)
+    both = lambda k: pick(low + up + dig, k - 1) + num(1)
 
     def card() -> str:
-        body = "4" + num(14)
-        return next(body + c for c in "0123456789" if luhn(body + c))
-
+        body = r.choice(["4", "5", "37"])
+        body += num(15 - len(body))
+        return next(body + c for c in dig if luhn(body + c))
+
+    def grouped(c: str, mark: str) -> str:
+        return mark.join(c[i : i + 4] for i in range(0, 16, 4))
+
+    named = lambda: r.choice(["password", "passwd", "pwd", "pass", "token", "secret", "api_key", "apikey", "API-KEY", "access_key", "auth_token", "client_secret"])
+    sign = lambda: r.choice(["=", " = ", ": ", ":", " is "])
+    quote = lambda s: r.choice(["{}", '"{}"', "'{}'"]).format("\x01" + s + "\x02")
+    call = lambda: r.choice(["call", "phone", "tel", "tel.", "mobile", "fax", "ring", word()])
+    mark = lambda s: "\x01" + s + "\x02"
+    forms = [
+        (0, lambda: mark(f"{word()}.{num(2)}@{word()}.example.com")),
+        (0, lambda: mark(f"{word()}@{word()}.org")),
+        (0, lambda: mark(f"{word()}_{word()}+{word()}@{word()}-{word()}.co.uk")),
+        (1, lambda: mark(".".join(str(r.randint(0, 255)) for _ in range(4)))),
+        (1, lambda: r.choice(["host ", "ip ", "from ", ""]) + mark(":".join(pick("0123456789abcdef", r.randint(1, 4)) for _ in range(8)))),
+        (2, lambda: mark(card())),
+        (2, lambda: mark(grouped(card(), " "))),
+        (2, lambda: mark(grouped(card(), "-"))),
+        (2, lambda: mark(grouped(card(), "."))),
+        (3, lambda: mark(f"+1 ({num(3)}) {num(3)}-{num(4)}")),
+        (3, lambda: mark(f"+{r.randint(20, 60)} {num(3)} {num(6)}")),
+        (3, lambda: call() + r.choice([" ", ": "]) + mark(f"{r.randint(2, 9)}{num(2)}-{num(3)}-{num(4)}")),
+        (3, lambda: call() + r.choice([" ", ": "]) + mark(f"({r.randint(2, 9)}{num(2)}) {num(3)}-{num(4)}")),
+        (3, lambda: call() + r.choice([" ", ": "]) + mark(f"{r.randint(2, 9)}{num(2)}.{num(3)}.{num(4)}")),
+        (4, lambda: named() + sign() + quote(pick("0123456789abcdef", r.choice([16, 18, 24, 32, 40])))),
+        (4, lambda: named() + sign() + quote(both(r.randint(10, 40)))),
+        (4, lambda: named() + sign() + quote("-".join(both(r.randint(3, 6)) for _ in range(r.randint(2, 4))))),
+        (4, lambda: mark("AKIA" + pick(up + "234567", 15) + r.choice("234567"))),
+        (4, lambda: r.choice(["Bearer ", "token ", "jwt=", ""]) + mark("eyJ" + both(r.randint(12, 30)) + ".eyJ" + both(r.randint(20, 60)) + "." + both(r.randint(20, 43)))),
+        (4, lambda: mark(r.choice(["sk_live_", "ghp_", "xoxb-", "pk_test_"]) + both(r.randint(20, 36)))),
+        (-1, lambda: num(r.randint(1, 8))),
+        (-1, lambda: f"{num(1)}.{num(1)}"),
+        (-1, lambda: f"{num(2)}.{num(2)}.{num(4)}"),
+        (-1, lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"),
+        (-1, lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02}:{r.randint(0, 59):02}"),
+        (-1, lambda: f"{word()}{num(1)}"),
+        (-1, lambda: f"version {num(1)}.{num(2)}.{num(1)}"),
+        (-1, lambda: "1" + num(11)),
+        (-1, lambda: f"${num(2)}.{num(2)}, pages {num(3)}-{num(3)}"),
+        (-1, lambda: f"commit {pick('0123456789abcdef', 12)}"),
+        (-1, lambda: f"sha1 {pick('0123456789abcdef', 40)}"),
+        (-1, lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))),
+        (-1, lambda: f"{r.choice(['the', 'a', 'one'])} {r.choice(['token', 'password', 'key'])} of {num(4)}"),
+        (-1, lambda: f"@{word()} and #{num(3)}"),
+    ]
     out = []
     for _ in range(n):
-        c = card()
-        for s in (
-            f"{word()}.{num(2)}@{word()}.example.com",
-            f"{word()}@{word()}.org",
-            f"{r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(1, 255)}",
-            r.choice([c, " ".join(c[i : i + 4] for i in range(0, 16, 4)), "-".join(c[i : i + 4] for i in range(0, 16, 4))]),
-            f"+1 ({num(3)}) {num(3)}-{num(4)}",
-            f"+{r.randint(20, 60)} {num(3)} {num(6)}",
-            f"password={''.join(r.choice('0123456789abcdef') for _ in range(18))}",
-            f'token = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}"',
-            "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + r.choice("234567"),
-            num(r.randint(1, 8)),
-            f"{num(1)}.{num(1)}",
-            f"{num(2)}.{num(2)}.{num(4)}",
-            f"{word()}{num(1)}",
-            f"version {num(1)}.",
-            "1" + num(11),
-        ):
-            out.append(f"{word()} {word()} {s} {word()}")
+        for kind, form in forms:
+            before = " ".join(word() for _ in range(r.randint(1, 3)))
+            text = f"{before} {form()}{r.choice(['', '', '.', ',', '###'])} {word()}"
+            a, b = text.find("\x01"), text.find("\x02")
+            out.append((text.replace("\x01", "").replace("\x02", ""), [] if kind < 0 else [(kind, a, b - 1)]))
     return out
 
 
-def train(texts: list[str]) -> np.ndarray:
-    """Weights (features x kinds and outside) from windows of text."""
-    w = np.zeros((BUCKETS, len(KINDS) + 1))
-    w[:, -1] = 0.2
-    rows = []
-    for text in texts:
-        lattice = Lattice(text)
-        first = {a: i for i, (a, _) in enumerate(lattice.toks)}
-        last = {b: i + 1 for i, (_, b) in enumerate(lattice.toks)}
-        gold = {(first.get(a, -1), last.get(b, -1)): k for k, a, b in _labels(text)}
-        if all(s in set(lattice.segments) for s in gold):
-            rows.append((lattice, gold))
+def train(rows: list[tuple[str, list[Span]]]) -> np.ndarray:
+    """Weights (features x kinds and outside) from windows of text and their gold spans."""
+    w = np.zeros((BUCKETS + 1, len(KINDS) + 1))
+    w[:BUCKETS, -1] = 0.2
+    held = [x for x in (Example(*row) for row in rows if _TOKEN.search(row[0])) if x.whole]
     order = random.Random(5)
     for epoch in range(EPOCHS):
-        order.shuffle(rows)
-        for lattice, gold in rows:
-            lattice.learn(w, gold, 0.1 / (1 + epoch))
+        order.shuffle(held)
+        for x in held:
+            x.learn(w, 0.1 / (1 + epoch))
     return w
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [t[a:b] for t in batch.column("text").to_pylist() if t for a, b in windows(t) if b - a <= 400]
+        out = [t[a:b] for t in batch.column("text").to_pylist() if t for a, b in windows(t) if b - a <= TRAIN_CHARS]
         yield pa.RecordBatch.from_pydict({"part": pa.array(out, pa.string())})
 
 
 def fit(docs: DataFrame) -> np.ndarray:
-    """Train on the windows of ``TRAIN_DOCS`` documents, chosen by a hash of their id."""
+    """Train on the windows of ``TRAIN_DOCS`` documents, chosen by a hash of their id, and on made-up ones."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     chosen = map_arrow(rows.join(F.broadcast(ids), "doc_id", "left_semi"), _sample, "part string")
     parts = [r["part"] for r in chosen.orderBy(F.xxhash64("part"), "part").limit(TRAIN_WINDOWS).collect()]
-    return train(_made_up() + parts)
+    return train(examples() + [(t, _labels(t)) for t in parts])
+
+
+def _all_spans(texts: list[str], w: np.ndarray) -> list[tuple[list[Span], list[Span]]]:
+    """Base spans, and all spans with those that the field adds, of each text."""
+    parts, of = [], []
+    for k, text in enumerate(texts):
+        for lo, hi in windows(text):
+            parts.append((text, lo, hi))
+            of.append(k)
+    added: list[list[Span]] = [[] for _ in texts]
+    for k, found in zip(of, decode(parts, w)):
+        added[k] += found
+    out = []
+    for text, more in zip(texts, added):
+        base = base_spans(text)
+        starts, reach = [], []  # of base spans in order: their starts, and the furthest end up to each
+        for a, b in sorted((a, b) for _, a, b in base):
+            starts.append(a)
+            reach.append(max(b, reach[-1] if reach else 0))
+        kept = []
+        for k, a, b in more:
+            before = bisect.bisect_left(starts, b)
+            if not before or reach[before - 1] <= a:
+                kept.append((k, a, b))
+        out.append((base, sorted(base + kept)))
+    return out
 
 
 def spans_of(text: str, w: np.ndarray) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans with those that the field adds."""
-    base = base_spans(text)
-    starts, reach = [], []  # of base spans in order: their starts, and the furthest end up to each
-    for a, b in sorted((a, b) for _, a, b in base):
-        starts.append(a)
-        reach.append(max(b, reach[-1] if reach else 0))
-    added: list[Span] = []
-    for lo, hi in windows(text):
-        lattice = Lattice(text[lo:hi])
-        for k, a, b in lattice.decode(w):
-            a, b = a + lo, b + lo
-            before = bisect.bisect_left(starts, b)
-            if not before or reach[before - 1] <= a:
-                added.append((k, a, b))
-    return base, sorted(base + added)
+    return _all_spans([text], w)[0]
 
 
 def joined(spans: list[Span]) -> str:
@@ -399,8 +556,8 @@ def _find(shared):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = []
-                for text in part.column("text").to_pylist():
-                    base, all_ = spans_of(text, w) if text and _MARK.search(text) else ([], [])
+                texts = part.column("text").to_pylist()
+                for text, (base, all_) in zip(texts, _all_spans([t or "" for t in texts], w)):
                     n = [sum(k == x for k, _, _ in base) for x in range(4)]
                     hidden = text if text is None or not all_ else masked(text, all_)
                     rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_), sum(k == 4 for k, _, _ in all_), hidden))
