@@ -37,7 +37,7 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.archive(table(spark, sf_dir, "pages"))
-    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     response = F.col("record_type") == "response"
     return got.where(F.col("record_type").isin("response", "revisit")).select(
         page("record_id").alias("page_id"),

@@ -2,14 +2,19 @@
 
 ``spark.read.format("warc").load(folder)`` plans one partition for each group of archive files; predicates on record type
 and header fields are pushed down.  A reader parses a record's headers first; a record that the predicates drop, or whose
-payload isn't asked for, is skipped by its length without being read or decoded.  ``.warc`` and ``.warc.gz`` (one gzip
-member for each record) are read.  Ask for fewer columns with ``.schema(...)``: without ``payload`` none is read.
+payload isn't asked for, is skipped by its length without being decoded: in ``.warc`` files without being read, in
+``.warc.gz`` files (one gzip member for each record) it has to be inflated.  Archives aren't split, so a partition reads
+one large file at least.  Ask for fewer columns with ``.schema(...)``: without ``payload`` none is kept.
 
-``df.write.format("warc").mode("append").save(folder)`` writes rolled files; a manifest of committed files is written
-last, so files of failed or repeated tasks are never read.  Paths are URIs that pyarrow's file systems can reach.
+``df.write.format("warc").mode("append").save(folder)`` writes rolled files whose names begin with ``OWN``.  Manifests of
+committed files come last: each is written under another name and moved to the next version's, so a crash before leaves
+the last version in force, and own files of failed or repeated tasks are never read.  Archives by others in the folder are
+always read; ``overwrite`` leaves them and takes own files out of the manifest.  Paths are URIs that pyarrow's file
+systems can reach.
 
 Pages: a null html is an empty payload.  Of records with equal payloads of at least ``REVISIT_BYTES`` the one with the
-largest page_id is the response, others revisit it; repeated rows of that page_id are responses all.
+largest page_id is the response, others revisit it; repeated rows of that page_id are responses all.  A null page_id is
+smaller than others; alone with a payload, its rows are responses.
 """
 
 from __future__ import annotations
@@ -28,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from readloom.llm.common import shared_dir
+from readloom.llm.common import shared_dir, staged
 
 REVISIT_BYTES = 1000
 #: A writer begins a new file at this size; a reader's partition takes files up to this size.
 FILE_BYTES = 64 << 20
-MANIFEST = "_manifest.json"
+#: Beginnings of the names of this writer's archives and of manifests' versions.
+OWN, MANIFEST = "readloom-part-", "_manifest-"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 #: Field of the WARC header behind each column that predicates can ask for.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
@@ -86,7 +92,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, path = _fs(self.path)
         fs.create_dir(path, recursive=True)
         task, names, out, size = TaskContext.get(), [], None, 0
-        stem = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        stem = f"{OWN}{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         try:
             for batch in iterator:
                 for i in range(batch.num_rows):
@@ -107,9 +113,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Files | None]) -> None:
         fs, path = _fs(self.path)
         fs.create_dir(path, recursive=True)
-        old = [] if self.overwrite else _manifest(fs, path) or []
-        with fs.open_output_stream(f"{path}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps({"files": old + [n for m in messages if m for n in m.files]}).encode())
+        version, old = _manifest(fs, path)
+        files = ([] if self.overwrite else old) + [n for m in messages if m for n in m.files]
+        part = f"{path}/.{uuid.uuid4().hex}.part"
+        with fs.open_output_stream(part, compression=None) as f:
+            f.write(json.dumps({"files": files}).encode())
+        fs.move(part, f"{path}/{MANIFEST}{version + 1:010d}.json")
 
     def abort(self, messages: list[_Files | None]) -> None:
         fs, path = _fs(self.path)
@@ -118,13 +127,19 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{path}/{n}")
 
 
-def _manifest(fs, path: str) -> list[str] | None:
-    from pyarrow.fs import FileType
+def _names(fs, path: str) -> list[str]:
+    from pyarrow.fs import FileSelector, FileType
 
-    if fs.get_file_info(f"{path}/{MANIFEST}").type == FileType.NotFound:
-        return None
-    with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
-        return json.loads(f.read())["files"]
+    return sorted(i.base_name for i in fs.get_file_info(FileSelector(path, allow_not_found=True)) if i.type == FileType.File)
+
+
+def _manifest(fs, path: str) -> tuple[int, list[str]]:
+    """The last version (0: none) and its files."""
+    found = [n for n in _names(fs, path) if n.startswith(MANIFEST) and n.endswith(".json")]
+    if not found:
+        return 0, []
+    with fs.open_input_stream(f"{path}/{found[-1]}") as f:
+        return int(found[-1][len(MANIFEST) : -len(".json")]), json.loads(f.read())["files"]
 
 
 class _Group(InputPartition):
@@ -155,12 +170,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[_Group]:
-        from pyarrow.fs import FileSelector, FileType
-
         fs, path = _fs(self.path)
-        names = _manifest(fs, path)
-        if names is None:
-            names = sorted(i.base_name for i in fs.get_file_info(FileSelector(path)) if i.type == FileType.File and i.base_name.endswith((".warc", ".warc.gz")))
+        names = _manifest(fs, path)[1] + [n for n in _names(fs, path) if n.endswith((".warc", ".warc.gz")) and not n.startswith(OWN)]
         groups: list[list[str]] = []
         size = 0
         for info in fs.get_file_info([f"{path}/{n}" for n in names]):
@@ -230,7 +241,7 @@ class WarcReader(DataSourceReader):
                     f.readline()
                     http = _fields(f)
                     left -= f.tell() - at
-                    row["payload_bytes"] = int(http.get("content-length", left))
+                    row["payload_bytes"] = int(http.get("content-length", left)) if row["record_type"] == "revisit" else left
                 else:
                     row["payload_bytes"] = left
                 if "payload" in self.columns and row["record_type"] != "revisit":
@@ -274,11 +285,16 @@ def records(pages: DataFrame) -> DataFrame:
     """The records of ``pages(page_id, url, html)``: digests, and who revisits whom."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    # a column of its own, so that the aggregation reads no payload beyond its digest
-    same = p.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisit = F.coalesce(F.col("keep") != F.col("page_id"), F.lit(False))
-    name = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))
-    return p.join(same, ["payload_digest", "payload_bytes"], "left").select(
+    # Who revisits whom is found without payloads: heads of equal payloads are a table of their own, so that adaptive
+    # execution can split a digest that a third of all pages have, and payloads meet the answers by page_id.
+    small = p.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= REVISIT_BYTES)
+    same = ["payload_digest", "payload_bytes"]
+    heads = staged(small.groupBy(*same).agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "heads")
+    revisits = staged(small.join(heads, same).where(~F.col("page_id").eqNullSafe(F.col("keep"))).select("page_id", "payload_digest", "keep").distinct(), "revisits")
+    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
+    revisit = F.col("keep").isNotNull()
+    told = revisits.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "keep")
+    return p.join(told, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left").select(
         name("page_id").alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "target_uri",

@@ -433,6 +433,33 @@ def test_warc_predicates_and_gzip(spark, tmp_path):
         assert bytes(body.payload) == b"page " * 300 and body.payload_digest == hashlib.sha1(b"page " * 300).hexdigest()
 
 
+def test_warc_append_keeps_archives_of_others(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    (tmp_path / "w").mkdir()
+    row = {"record_type": "response", "record_id": "urn:ext:1", "payload": b"hello", "payload_bytes": 99}
+    (tmp_path / "w" / "crawl.warc").write_bytes(warc.record(row))
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    for n in (1, 2):
+        got = warc.archive(pages, folder).collect()
+        assert Counter(r.record_id for r in got) == {"urn:ext:1": 1, "urn:page:1": n}
+    assert {r.payload_bytes for r in got if r.record_id == "urn:ext:1"} == {5}  # counted, not as the header claims
+    # files of a job that ended before its manifest, and the manifest it was about to move
+    (tmp_path / "w" / (warc.OWN + "99999-0-x-0000.warc")).write_bytes(warc.record({**row, "record_id": "lost"}))
+    (tmp_path / "w" / ".abc.part").write_text("{")
+    assert spark.read.format("warc").load(folder).count() == 3
+    warc.records(pages).write.format("warc").mode("overwrite").save(folder)
+    assert sorted(r.record_id for r in spark.read.format("warc").load(folder).collect()) == ["urn:ext:1", "urn:page:1"]
+
+
+def test_warc_repeated_and_null_ids_and_clashing_names(spark):
+    a, b = "a" * 1500, "b" * 1500
+    rows = [(4, "u", a), (4, "u", b), (9, "u", b), (2, "u", a), (None, "u", a), (None, "u", "c" * 1500), (None, None, None)]
+    pages = spark.createDataFrame([(*r, "x", "y", 7) for r in rows], "page_id long, url string, html string, record_type string, payload string, keep int")
+    got = Counter((r.record_id, r.record_type, r.refers_to, bytes(r.payload or b"")[:1]) for r in warc.archive(pages).collect())
+    n, p = "urn:page:null", "urn:page:"
+    assert got == Counter([(p + "4", "response", None, b"a"), (p + "4", "revisit", p + "9", b""), (p + "9", "response", None, b"b"), (p + "2", "revisit", p + "4", b""), (n, "revisit", p + "4", b""), (n, "response", None, b"c"), (n, "response", None, b"")])
+
+
 def test_licenses(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     files = [(1, "/a/LICENSE", mit), (2, "/a/b/c/x", "some text"), (3, "/a/b/LICENSE", gpl), (4, "/z/x", "some text"), (5, "/a/y", "plain words here\nLicensed under the Apache License, Version 2.0.\nand many more words after it, of no licence"), (6, None, None), (7, "/a/q", None)]
