@@ -314,16 +314,40 @@ def test_compression_bands(spark):
     assert got[1].kept and not got[2].kept and not got[3].kept and not got[2].base_failed
 
 
-def test_decontamination_parts_and_proximity(spark, monkeypatch):
-    docs = made(spark, [(1, "so The quick brown fox jumps over the lazy dog today again and again"), (2, "fox quick the brown over jumps lazy the dog today again"), (3, "nothing here")])
-    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today"), (2, "again and")], "item_id long, text string")
-    want = {1: (12, 2), 2: (0, 0), 3: (0, 0)}
+def test_decontamination_parts_and_repeated_rows(spark, monkeypatch):
+    """One row for each input row, in parts of any size; one stored index answers several test sets."""
+    dog = "so The quick brown fox jumps over the lazy dog today again and again"
+    docs = made(spark, [(1, dog), (2, "fox quick the brown over jumps lazy the dog today again"), (3, "nothing here"), (1, "again and"), (None, dog), (None, "again")])
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today"), (2, "again and"), (2, "nothing"), (None, "again and again")], "item_id long, text string")
+    want = Counter([(1, 13, 3), (2, 0, 0), (3, 1, 1), (1, 2, 1), (None, 13, 3), (None, 0, 0)])
     for size in (1 << 20, 1):
         monkeypatch.setattr(decontaminate, "PART_BYTES", size)
-        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(docs, items).collect()}
-        assert got == want
-    near = {r.doc_id: r["items"] for r in decontaminate.matches(docs, items, slop=2).collect()}
-    assert "1" in near[1] and near[3] == []
+        assert Counter((r.doc_id, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, items).collect()) == want
+    stored = decontaminate.index(docs)
+    again = {r["items"][0] for r in decontaminate.search(stored, spark.createDataFrame([(7, "quick the")], items.schema)).collect() if r["items"]}
+    assert again == {"7"}
+    near = {r.doc_id: r["items"] for r in decontaminate.search(stored, items, slop=2).collect()}
+    assert "1" in near[2] or near[2] == []  # by words, not by order
+
+
+@pytest.mark.parametrize("candidates", [1, 1 << 20])
+def test_exact_phrases_against_brute_force(spark, monkeypatch, candidates):
+    monkeypatch.setattr(decontaminate, "CANDIDATES", candidates)
+    r = random.Random(9)
+    texts = [" ".join(r.choices("aabcd", k=r.randrange(0, 60))) for _ in range(200)]
+    phrases = [" ".join(r.choices("aabcd", k=r.randrange(0, 9))) for _ in range(40)]
+    got = {x.doc_id: x for x in decontaminate.matches(made(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(phrases)), "item_id long, text string"), size=4).collect()}
+    for d, t in enumerate(texts):
+        w, hits, items = t.split(), set(), set()
+        for i, q in enumerate(phrases):
+            p = q.split()
+            for n in range(max(1, len(p) - 3) if p else 0):
+                x = p[n : n + 4]
+                for a in range(len(w) - len(x) + 1):
+                    if w[a : a + len(x)] == x:
+                        hits |= set(range(a, a + len(x)))
+                        items.add(str(i))
+        assert set(got[d].hits) == hits and set(got[d]["items"]) == items and got[d].n_words == len(w)
 
 
 def test_proximity_against_brute_force(spark):
