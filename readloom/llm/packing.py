@@ -1,9 +1,10 @@
 """Sequence packing: shortest-pack-first over the length histogram (operator 10).
 
 Documents become token ids, are cut into full sequences and one rest each, and the histogram of the rests' lengths (at
-most ``size`` rows, whatever the corpus) is packed on the driver: lengths longest first, each into the open packing
-patterns with the least room that still fits, whose counts are updated.  Patterns then go back to the pieces by rank:
-the r-th piece of a length takes the r-th place that the patterns have for that length.
+most ``size`` rows, whatever the corpus) is packed on the driver: lengths longest first, each into the shortest packs, those
+of the open pattern with the most room, whose counts are updated; where not even they have room, into new packs.
+Patterns then go back to the pieces by rank: the r-th piece of a length takes the r-th place that the patterns have for
+that length.
 
 Ranks within a length come in two levels, so a length that a third of all documents have is no single task's work:
 pieces are ranked within (length, slice), slices being a hash of the document, and the slices' counts give the bases.
@@ -169,8 +170,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, dict[int, int]]]:
     """Shortest-pack-first: ``(count, {length: pieces of it in one pack})``, which use up the histogram.
 
-    ``room`` has the open patterns by what is left in them; a length goes to the fullest pattern that still takes it, for as
-    many packs as both have.  Where one pack takes several pieces of the length, it gets them at once.
+    ``room`` has the open patterns by what is left in them; a length goes to the one with the most, for as many packs as
+    both have.
     """
     room: dict[int, list[tuple[int, dict[int, int]]]] = {}
     open_: list[int] = []
@@ -184,24 +185,18 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, dic
     for length in sorted(histogram, reverse=True):
         todo = histogram[length]
         while todo:
-            i = bisect.bisect_left(open_, length)
-            if i == len(open_):
-                each = size // length
-                whole, part = divmod(todo, each)
-                for count, many in ((whole, each), (1, part)):
-                    if count and many:
-                        put(size - many * length, count, {length: many})
+            if not open_ or open_[-1] < length:
+                put(size - length, todo, {length: 1})
                 break
-            left = open_[i]
+            left = open_[-1]
             count, pack = room[left].pop()
             if not room[left]:
-                del room[left], open_[i]
-            each = min(left // length, todo)
-            used = min(count, todo // each)
+                del room[open_.pop()]
+            used = min(count, todo)
             if count > used:
                 put(left, count - used, pack)
-            put(left - each * length, used, {**pack, length: each})
-            todo -= used * each
+            put(left - length, used, {**pack, length: pack.get(length, 0) + 1})
+            todo -= used
     return [x for xs in room.values() for x in xs]
 
 

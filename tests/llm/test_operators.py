@@ -419,6 +419,7 @@ def test_patterns_use_up_the_histogram():
             for n, k in pack.items():
                 used[n] += k * count
         assert used == hist
+    assert packing.patterns({6: 1, 5: 1, 4: 1}, 10) == [(1, {6: 1}), (1, {5: 1, 4: 1})]  # 4 goes to the shorter pack, though 6 has just the room
 
 
 def test_shards(spark, sf):
