@@ -7,10 +7,16 @@ context also starts in a smaller document repeats as far as that context reaches
 different context of an anchor is where a match may end inside the context; only there are the windows themselves
 compared, by (anchor, window) hash, 128 bits in all.  Overlapping repeats merge to maximal ones, whose words go.
 
+Hot anchors, with a share of over one in ``SHARE`` times the shuffle's partitions, are found in the anchors of one document
+in ``SAMPLE``; that list, of ``SHARE`` entries a partition at most, decides where rows go and never what comes out.  Rows
+of hot anchors are spread by a salt.  In each salted group all but the rows of its first document are settled; those, at
+most one document for each salt, meet in a second, small step.
+
 A word is removed if a window covering it also starts in a document with a smaller doc_id; windows are judged on the
 input.  Nothing is paired: an anchor of m occurrences costs m rows, however many documents share it, and rows carry
 hashes and positions instead of text.  Null, empty and short texts (under ``window`` words) keep all words.  Rows that
-repeat a doc_id count as one document: repeats within one document are not removed.
+repeat a doc_id count as one document: repeats within one document are not removed.  A null doc_id is neither smaller
+nor larger than another: such rows keep all words, and others don't lose any to them.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +35,7 @@ from readloom.llm.textnp import _MULT, SPACED, U, Words, blocks, mix
 
 #: Words of a seed.
 SEED = 5
+SHARE, SAMPLE, LEAST = 8, 64, 16
 
 
 class _Anchors:
@@ -63,27 +71,44 @@ def _contexts(w: Words, at: np.ndarray, window: int) -> np.ndarray:
     return mix(h + np.minimum(at - lo, reach).astype(U) * U(64) + np.minimum(hi - at, window).astype(U))
 
 
-def _seeds(window: int):
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    column = batch.column("doc_id")
+    return pc.fill_null(column, 0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _salt(anchor: np.ndarray, row: np.ndarray, hot: np.ndarray, salts: int) -> pa.Array:
+    """0, and 1 to ``salts`` for rows of hot anchors."""
+    out = np.zeros(len(anchor), np.int32)
+    if len(hot):
+        i = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor)
+        out[i] = (mix(row[i].astype(U) + U(77)) % U(salts)).astype(np.int32) + 1
+    return pa.array(out)
+
+
+def _seeds(window: int, hot: np.ndarray, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, valid = _ids(batch)
             for block in blocks(batch.column("text")):
                 w = block.words(SPACED)
                 a = _Anchors(w, window)
-                doc = w.doc[a.at]
+                own = valid[block.lo + w.doc[a.at]]
+                at, h = a.at[own], a.hash[own]
+                doc = w.doc[at]
+                pos = (at - w.first[doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.hash.view(np.int64)), pa.array(_contexts(w, a.at, window).view(np.int64)), pa.array(ids[block.lo + doc]), pa.array((a.at - w.first[doc]).astype(np.int32))],
-                    names=["anchor", "context", "doc_id", "pos"],
+                    [pa.array(h.view(np.int64)), _salt(h, ids[block.lo + doc] * 8191 + pos, hot, salts), pa.array(_contexts(w, at, window).view(np.int64)), pa.array(ids[block.lo + doc]), pa.array(pos)],
+                    names=["anchor", "salt", "context", "doc_id", "pos"],
                 )
 
     return run
 
 
-def _windows(window: int):
+def _windows(window: int, hot: np.ndarray, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows whose anchor is at one of a text's positions ``open``."""
         for batch in batches:
-            ids, asked = batch.column("doc_id").to_numpy(), batch.column("open")
+            (ids, _), asked = _ids(batch), batch.column("open")
             for block in blocks(batch.column("text")):
                 w = block.words(SPACED)
                 a = _Anchors(w, window)
@@ -99,9 +124,10 @@ def _windows(window: int):
                     h += w.hash[at + j] * _MULT[j]
                 doc = w.doc[at]
                 anchor = a.hash[np.searchsorted(a.at, of)]
+                pos = (at - w.first[doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(mix(h).view(np.int64)), pa.array(ids[block.lo + doc]), pa.array((at - w.first[doc]).astype(np.int32))],
-                    names=["anchor", "win", "doc_id", "pos"],
+                    [pa.array(anchor.view(np.int64)), _salt(anchor, ids[block.lo + doc] * 8191 + pos, hot, salts), pa.array(mix(h).view(np.int64)), pa.array(ids[block.lo + doc]), pa.array(pos)],
+                    names=["anchor", "salt", "win", "doc_id", "pos"],
                 )
 
     return run
@@ -140,23 +166,50 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         raise ValueError("window must be 5 to 32 words")
     reach = window - SEED
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds = map_arrow(text, _seeds(window), "anchor long, context long, doc_id long, pos int")
-    by_context = Window.partitionBy("anchor", "context").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_anchor = Window.partitionBy("anchor")
+    hot, salts = _hot(text, window)
+    seeds = map_arrow(text, _seeds(window, hot, salts), "anchor long, salt int, context long, doc_id long, pos int")
+    by_anchor = Window.partitionBy("anchor", "salt")
     met = (
-        seeds.repartition("anchor")
-        .withColumn("first_doc", F.first("doc_id").over(by_context))
-        .withColumn("several", F.min("context").over(by_anchor) < F.max("context").over(by_anchor))
+        seeds.repartition("anchor", "salt")
+        .withColumn("first_doc", F.first("doc_id").over(_first("anchor", "salt", "context")))
+        # a hot anchor is taken to have several contexts: that may ask for windows in vain, and costs no look at all its rows
+        .withColumn("several", (F.col("salt") > 0) | (F.min("context").over(by_anchor) < F.max("context").over(by_anchor)))
         .where("first_doc < doc_id or several")
     )
-    closed = met.where("first_doc < doc_id").select("doc_id", (F.col("pos") - reach).alias("lo"), (F.col("pos") + window).alias("hi"))
+    again = _again(met, hot, "context")
+    around = lambda df: df.where("first_doc < doc_id").select("doc_id", (F.col("pos") - reach).alias("lo"), (F.col("pos") + window).alias("hi"))
     # Only where an anchor has several contexts can a match end inside one; the first document of each gets its windows compared.
-    opened = met.where("first_doc = doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("open"))
+    first = met.where("first_doc = doc_id and salt = 0").select("doc_id", "pos").unionByName(again.where("first_doc = doc_id").select("doc_id", "pos")) if len(hot) else met.where("first_doc = doc_id")
+    opened = first.groupBy("doc_id").agg(F.collect_set("pos").alias("open"))
     # a left join, as in drop_repeats: with the same rows on the left, both read one shuffle of the texts
-    found = map_arrow(text.repartition("doc_id").join(opened, "doc_id", "left"), _windows(window), "anchor long, win long, doc_id long, pos int")
-    by_window = Window.partitionBy("anchor", "win").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = found.withColumn("least", F.first("doc_id").over(by_window)).where("least < doc_id").select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + window).alias("hi"))
-    return closed.unionByName(ended)
+    found = map_arrow(text.repartition("doc_id").join(opened, "doc_id", "left"), _windows(window, hot, salts), "anchor long, salt int, win long, doc_id long, pos int")
+    ended = found.withColumn("first_doc", F.first("doc_id").over(_first("anchor", "salt", "win")))
+    inside = lambda df: df.where("first_doc < doc_id").select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + window).alias("hi"))
+    out = around(met).unionByName(inside(ended))
+    return out.unionByName(around(again)).unionByName(inside(_again(ended, hot, "win"))) if len(hot) else out
+
+
+def _first(*keys: str):
+    return Window.partitionBy(*keys).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _again(met: DataFrame, hot: np.ndarray, key: str) -> DataFrame | None:
+    """The first rows of salted groups, compared over all salts."""
+    if not len(hot):
+        return None
+    return met.where("first_doc = doc_id and salt > 0").drop("first_doc").withColumn("first_doc", F.first("doc_id").over(_first("anchor", key)))
+
+
+def _hot(text: DataFrame, window: int) -> tuple[np.ndarray, int]:
+    """Hot anchors, sorted, and how many salts they get."""
+    parts = max(2, int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    some = text.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0)
+    counted = map_arrow(some, _seeds(window, np.empty(0, U), 1), "anchor long, salt int, context long, doc_id long, pos int").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    most = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "anchor").limit(SHARE * parts).collect()
+    if not most:
+        return np.empty(0, U), parts
+    total = counted.agg(F.sum("n")).first()[0]
+    return np.sort(np.array([r["anchor"] for r in most if r["n"] * SHARE * parts > total], np.int64).view(U)), parts
 
 
 def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:

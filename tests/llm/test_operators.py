@@ -126,7 +126,12 @@ def test_components_of_a_chain(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_repeats_against_brute_force(spark, seed):
+def test_repeats_against_brute_force(spark, seed, monkeypatch):
+    """Also with the most frequent anchors spread by salts."""
+    if seed:
+        monkeypatch.setattr(substring, "SAMPLE", 2)
+        monkeypatch.setattr(substring, "LEAST", 2)
+        monkeypatch.setattr(substring, "SHARE", 100)
     r = random.Random(seed)
     parts = [[r.choice("abcdefgh") + str(r.randrange(3)) for _ in range(r.randrange(8, 40))] for _ in range(12)]
     texts = [(i, " ".join(w for _ in range(r.randrange(1, 5)) for w in r.choice(parts))) for i in range(60)]
@@ -135,7 +140,12 @@ def test_repeats_against_brute_force(spark, seed):
     for i in sorted(words):
         for a in range(len(words[i]) - 12):
             low.setdefault(tuple(words[i][a : a + 13]), i)
-    for x in substring.drop_repeats(made(spark, texts)).collect():
+    docs = made(spark, texts)
+    assert (len(substring._hot(docs, 13)[0]) > 10) == (seed > 0)
+    for x in substring.drop_repeats(docs.unionByName(made(spark, [(None, texts[5][1]), (None, None)]))).collect():
+        if x.doc_id is None:
+            assert x.n_removed == 0
+            continue
         w = words[x.doc_id]
         keep = [True] * len(w)
         for a in range(len(w) - 12):
