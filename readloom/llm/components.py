@@ -10,13 +10,14 @@ from readloom.llm.common import staged
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # a table of its own: a join straight on an aggregate keeps its partitioning, and a hub's neighbours could not be split
+    least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Edges come with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     onward = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return onward.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -35,7 +36,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if tuple(seen) == mark or not seen["n"]:
             break
         mark = tuple(seen)
-        edges = staged(_small(_large(edges)), "edges")
+        edges = staged(_small(staged(_large(edges), "large")), "edges")
     else:
         raise RuntimeError(f"components did not settle within {most} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -4,13 +4,16 @@ Whole texts become sets of word shingles.  Equal sets are one class first, so ex
 class has ``bands * rows`` universal hash minima; bands of ``rows`` minima are bucket keys.  Every member of a bucket is
 compared with the bucket's smallest class (a star: as many pairs as members), links are confirmed on the full sets, and
 components come from alternating large-star and small-star.  Buckets whose members still lie in several components are
-then finished exactly: members outside the bucket's largest component are compared with the others block by block, in
-the first band that two members share.  So every two classes that share a band and are not linked through others have
-been compared, without a cap on buckets.  At similarity s two sets share none of the bands with probability
-(1 - s^rows)^bands: 6e-11 at 0.85, 5e-8 at 0.8.
+then finished exactly: members outside the bucket's largest component meet the others block by block, first with their
+bucket keys alone.  Two of them are compared in the first band they share, if they share ``SHARED``; only members with
+somebody to be compared with bring their texts to a block.  No pairs are written, and no bucket has a cap.
 
-Null or empty texts, or texts without words, have no shingles and are linked with nothing.  Rows that repeat a doc_id
-are all returned, with the same answer.
+At similarity s two sets share none of the bands with probability (1 - s^rows)^bands: 6e-11 at 0.85, 5e-8 at 0.8; fewer
+than ``SHARED``: 2e-9 and 1e-6.
+
+Null or empty texts, or texts without words, have no shingles and are linked with nothing; nor are rows with a null
+doc_id, whose component_id is null and which stay.  Rows that repeat a doc_id are all returned, each with the answer of
+the class of its text; where texts of one doc_id differ, the least in order is the one that is compared.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from readloom.llm.components import components
 from readloom.llm.textnp import SPACED, U, Words, blocks, mix, segments
 
 ROWS, BANDS = 4, 32
-#: Two sets over the threshold share fewer bands than this with a probability under 2e-6; asked before sets are compared.
+#: Bands that two sets of the exact finish have to share before they are compared.
 SHARED = 2
 #: Members of a bucket in one block of the exact finish.
 BLOCK = 512
@@ -118,13 +121,33 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _block(rows: pa.Table):
+    """One block of a bucket's members (side 0) with one block of its members outside the largest component (side 1).
+
+    Yields each member of side 1 with the members of side 0 to compare it with.
+    """
+    band = rows.column("band")[0].as_py()
+    comp, side = (rows.column(c).to_numpy() for c in ("comp", "side"))
+    keys = np.array(rows.column("bands").combine_chunks().flatten()).reshape(len(comp), -1)
+    base = np.flatnonzero(side == 0)
+    for q in np.flatnonzero(side == 1):
+        same = keys[base] == keys[q]
+        yield q, base[(comp[base] != comp[q]) & (same.sum(axis=1) >= SHARED) & (same.argmax(axis=1) == band)]
+
+
+def _asked(rows: pa.Table) -> pa.Table:
+    """The members of a block that are compared with somebody."""
+    take = np.zeros(rows.num_rows, bool)
+    for q, others in _block(rows):
+        if len(others):
+            take[q] = take[others] = True
+    return rows.filter(pa.array(take))
+
+
 def _finish(k: int, percent: int):
     def run(rows: pa.Table) -> pa.Table:
-        """One block of a bucket's members (side 0) with one block of its members outside the largest component (side 1)."""
-        band = rows.column("band")[0].as_py()
         rows = rows.sort_by([("side", "ascending"), ("rep", "ascending")])
-        ids, comp, side = (rows.column(c).to_numpy() for c in ("rep", "comp", "side"))
-        keys = np.array(rows.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
+        ids, comp = rows.column("rep").to_numpy(), rows.column("comp").to_numpy()
         texts, sets, out = rows.column("text"), {}, []
         top: dict[int, int] = {}
 
@@ -138,10 +161,8 @@ def _finish(k: int, percent: int):
                 sets[i] = _set(texts[int(i)].as_py(), k)
             return sets[i]
 
-        base = np.flatnonzero(side == 0)
-        for q in np.flatnonzero(side == 1):
-            same = keys[base] == keys[q]
-            for i in base[(comp[base] != comp[q]) & (same.sum(axis=1) >= SHARED) & (same.argmax(axis=1) == band)]:
+        for q, others in _block(rows):
+            for i in others:
                 if root(comp[q]) != root(comp[i]) and linked(held(i), held(q), percent):
                     top[root(comp[q])] = root(comp[i])
                     out.append((ids[q], ids[i]))
@@ -154,19 +175,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row for each input row."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = map_arrow(text, _signatures(k, rows, bands), "doc_id long, n_shingles long, one long, two long, bands array<long>")
-    sig = staged(made.withColumn("two", F.when(F.col("n_shingles") > 0, F.col("two")).otherwise(F.col("doc_id"))), "minhash")
+    # texts without shingles, and rows without an id, are classes of their own
+    alone = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("two")).otherwise(F.col("doc_id"))
+    sig = staged(made.withColumn("two", alone), "minhash")
     same = ["n_shingles", "one", "two"]
     # Heads of classes and buckets are tables of their own before they are joined back: a join straight on an aggregate
     # keeps its partitioning, and adaptive execution splits no hot group there.
     classes = staged(sig.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "heads")
     member = staged(sig.drop("bands").join(classes, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    reps = sig.join(member.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands").dropDuplicates(["rep"])
+    reps = sig.join(member.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("bands").alias("bands"))
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = staged(keyed.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1"), "centers")
     full = staged(keyed.join(buckets, ["band", "key"]), "buckets")
     pairs = full.where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v")).distinct()
     need = full.select(F.col("rep").alias("doc_id")).distinct()
-    texts = staged(text.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = staged(text.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     with_u = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
     both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
     links = staged(map_arrow(both.select("u", "v", "tu", "tv"), _confirm(k, percent), "u long, v long"), "links")
@@ -179,9 +202,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     apart = placed.join(largest, ["band", "key"]).select("band", "key", "rep", "comp", "largest", F.ceil(F.col("all") / BLOCK).cast("int").alias("b0"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("b1"))
     base = apart.select("*", F.lit(0).alias("side"), F.pmod(F.xxhash64("rep"), "b0").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("b1") - 1)).alias("y"))
     ask = apart.where("comp <> largest").select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("b0") - 1)).alias("x"), F.pmod(F.xxhash64("rep", F.lit(1)), "b1").cast("int").alias("y"))
-    rest = base.unionByName(ask).join(reps, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    more = staged(rest.select("band", "key", "x", "y", "side", "rep", "comp", "bands", "text").groupBy("band", "key", "x", "y").applyInArrow(_finish(k, percent), "u long, v long"), "more")
+    columns, block = ["band", "key", "x", "y", "side", "rep", "comp", "bands"], ["band", "key", "x", "y"]
+    blocks_ = base.unionByName(ask).join(reps, "rep").select(*columns)
+    asked = staged(blocks_.groupBy(*block).applyInArrow(_asked, "band int, key long, x int, y int, side int, rep long, comp long, bands array<long>"), "asked")
+    more = staged(asked.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*columns, "text").groupBy(*block).applyInArrow(_finish(k, percent), "u long, v long"), "more")
     if not more.isEmpty():
         comp = staged(components(links.unionByName(more)), "components")
     found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
