@@ -6,6 +6,9 @@ template has count in a header's length with the largest weight.  Notices that w
 which only the last may end a sentence.  A document's own licence is the template of its best header at ``LEAST`` or more;
 ties go to the template first in order.
 
+Blocks of header text are paragraphs, of two lines or more, of the text without comment marks; they are compared with
+those paragraphs of usual file headers that name the licence (``HEADERS``).
+
 The whole of each document that names a licence is compared in the same way with whole licence texts (``TEXTS``, with
 weights of their own).  At ``LEAST`` or more the document is a licence file, and the text's licence is its own, whatever
 headers it has.  A document is also a licence file if the headers that match hold at least half of its terms.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from readloom.llm.license_texts import TEXTS
 
 #: Usual one-sentence notices of public licences.
-TEMPLATES = (
+NOTICES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-3-Clause", "Released under the 3-Clause BSD License."),
@@ -42,6 +45,21 @@ TEMPLATES = (
     ("MPL-2.0", "This work is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: A notice, and the licence's identifier, of each.
+TEMPLATES = NOTICES + tuple((name, "SPDX-License-Identifier: " + name) for name, _ in NOTICES)
+#: The paragraphs of file headers that name the licence, as these licences recommend them.
+HEADERS = (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
+#: Marks that begin a line of a comment.
+COMMENT = r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|;+|--+|%+|<!--+)?[ \t]*"
 MARK = "(?i)licen[sc]|copyright|spdx|public domain"
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.7
@@ -64,15 +82,15 @@ def _compared(units: DataFrame, key: list[str], templates: tuple) -> DataFrame:
     import math
 
     n = len(templates)
-    known = units.sparkSession.createDataFrame(list(templates), "license string, unit string")
-    df = known.select("license", F.explode(F.array_distinct(_terms("unit"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = units.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, unit string")
+    df = known.select("template", F.explode(F.array_distinct(_terms("unit"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))  # terms of the templates
     unknown = math.log(1 + n) + 1
-    t = _weighted(known, ["license"], idf, unknown).select("license", "term", F.col("w").alias("tw"), F.col("norm").alias("tnorm"))
+    t = _weighted(known, ["template", "license"], idf, unknown).select("template", "license", "term", F.col("w").alias("tw"), F.col("norm").alias("tnorm"))
     h = _weighted(units, key, idf, unknown)
-    cos = h.join(F.broadcast(t), "term").groupBy(*key, "license").agg((F.sum(F.col("w") * F.col("tw")) / F.first(F.col("norm") * F.col("tnorm"))).alias("score"))
+    cos = h.join(F.broadcast(t), "term").groupBy(*key, "template", "license").agg((F.sum(F.col("w") * F.col("tw")) / F.first(F.col("norm") * F.col("tnorm"))).alias("score"))
     best = Window.partitionBy(*key).orderBy(F.col("score").desc(), "license")
-    return cos.withColumn("score", F.round("score", 4)).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    return cos.withColumn("score", F.round("score", 4)).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "template")
 
 
 def headers(docs: DataFrame) -> DataFrame:
@@ -90,6 +108,13 @@ def headers(docs: DataFrame) -> DataFrame:
     return _compared(units, ["doc_id", "unit_no", "n_terms"], TEMPLATES)
 
 
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, unit_no, n_terms, license, score)``: each paragraph that names a licence with its best file header."""
+    marked = docs.where(F.col("text").rlike(MARK)).select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace("text", COMMENT, "").alias("text"))
+    units = marked.select("doc_id", F.posexplode(F.split("text", "\\n\\s*\\n")).alias("unit_no", "unit")).where(F.col("unit").rlike(MARK) & F.col("unit").contains("\n"))
+    return _compared(units.withColumn("n_terms", F.size(_terms("unit"))).dropDuplicates(["doc_id", "unit_no"]), ["doc_id", "unit_no", "n_terms"], HEADERS)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``(doc_id, license, score)``: each document that names a licence with its best whole text."""
     marked = docs.where(F.col("text").rlike(MARK)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("unit"))
@@ -99,7 +124,7 @@ def texts(docs: DataFrame) -> DataFrame:
 def scan(files: DataFrame) -> DataFrame:
     """``files(doc_id, path, text)`` -> ``(doc_id, path, own_license, own_score, license_file, license, license_dir)``."""
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "text")
-    found = headers(rows).where(F.col("score") >= LEAST)
+    found = headers(rows).unionByName(paragraphs(rows).withColumn("unit_no", -(1 << 30) - F.col("unit_no"))).where(F.col("score") >= LEAST)
     own = found.groupBy("doc_id").agg(F.max_by(F.struct("license", "score"), F.struct("score", F.col("unit_no") >= 0, -F.abs("unit_no"))).alias("best"), F.greatest(F.sum(F.when(F.col("unit_no") >= 0, F.col("n_terms"))), F.max("n_terms")).alias("covered"))
     # words of the few documents with a header only
     marked = rows.where(F.col("text").rlike(MARK)).select("doc_id", F.size(_terms("text")).alias("terms")).groupBy("doc_id").agg(F.max("terms").alias("terms"))

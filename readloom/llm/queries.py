@@ -28,7 +28,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.predict(table(spark, sf_dir, "documents"))
+    return language.accepted(table(spark, sf_dir, "documents"))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,24 +122,24 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-_TEMPLATES = ", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(licenses.TEMPLATES))
 _TERM = licenses.TERM
 _OP3 = rf"""
 WITH f AS (SELECT doc_id, '/' || source || '/' || CAST(doc_id // 100 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) AS path,
              '/' || source || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir, '/' || source AS top, coalesce(text, '') AS text FROM documents),
-t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS v(license, unit)),
-tt AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM t) GROUP BY 1, 2),
+t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS v(template, license, unit)),
+tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM t) GROUP BY 1, 2, 3),
 idf AS (SELECT term, ln({1 + len(licenses.TEMPLATES)}.0 / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
-tw AS (SELECT license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
-tn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY license),
+tw AS (SELECT template, license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
 u0 AS (SELECT doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10)), chr(10))) AS unit, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), 1) AS unit_no
        FROM f WHERE regexp_matches(text, '{licenses.MARK}')),
 u AS (SELECT *, regexp_extract_all(lower(unit), '{_TERM}') AS terms FROM u0 WHERE regexp_matches(unit, '{licenses.MARK}')),
 ht AS (SELECT doc_id, unit_no, term, count(*) AS tf FROM (SELECT doc_id, unit_no, unnest(terms) AS term FROM u) GROUP BY 1, 2, 3),
 hw AS (SELECT doc_id, unit_no, term, tf * coalesce(idf, ln({1 + len(licenses.TEMPLATES)}.0) + 1) AS w FROM ht LEFT JOIN idf USING (term)),
 hn AS (SELECT doc_id, unit_no, sqrt(sum(w * w)) AS norm FROM hw GROUP BY 1, 2),
-cos AS (SELECT hw.doc_id, hw.unit_no, tw.license, round(sum(hw.w * tw.w) / any_value(hn.norm * tn.norm), 4) AS score
-        FROM hw JOIN tw USING (term) JOIN hn ON hn.doc_id = hw.doc_id AND hn.unit_no = hw.unit_no JOIN tn ON tn.license = tw.license GROUP BY 1, 2, 3),
+cos AS (SELECT hw.doc_id, hw.unit_no, tw.template, tw.license, round(sum(hw.w * tw.w) / any_value(hn.norm * tn.norm), 4) AS score
+        FROM hw JOIN tw USING (term) JOIN hn ON hn.doc_id = hw.doc_id AND hn.unit_no = hw.unit_no JOIN tn ON tn.template = tw.template GROUP BY 1, 2, 3, 4),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY score DESC, license) AS r FROM cos) WHERE r = 1 AND score >= {licenses.LEAST}),
 own AS (SELECT * FROM (SELECT doc_id, license AS own_license, score AS own_score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, unit_no) AS r FROM best) WHERE r = 1),
 covered AS (SELECT best.doc_id, sum(len(u.terms)) AS c FROM best JOIN u ON u.doc_id = best.doc_id AND u.unit_no = best.unit_no GROUP BY 1),
