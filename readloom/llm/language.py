@@ -12,7 +12,8 @@ worker holds one at a time, so neither needs room for the whole table.  A table
 A text gets the language of the lowest length-normalised cross-entropy; ties go to the language first in order.  ``und``
 with score 0 where the text is null or has no letter, or nothing was learned.  Rows with a null language aren't learned
 from.  ``accepted`` rejects documents whose cross-entropy is far beyond their language's own, as measured over the labelled
-rows that weren't learned from; what else there is to judge, junk and foreign text, has no part in the limits.
+rows that weren't learned from; what else there is to judge, junk and foreign text, has no part in the limits.  Scores
+fall with what a text is beyond its limit.  Characters beyond the basic plane share 6,400 codes of the private area.
 """
 
 from __future__ import annotations
@@ -309,7 +310,7 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, width: float = 6.0) -> DataFrame:
-    """``predict`` with ``accepted``: has letters, and a cross-entropy within ``width`` times its language's own spread.
+    """``predict`` with ``accepted`` and a calibrated score: has letters, and a cross-entropy within ``width`` times its language's own spread.
 
     A language's limit is calibrated on the held-out rows that are labelled with it and predicted as it: their median plus
     ``width`` times the distance from the 10th percentile up to it, plus an allowance for short texts that falls with the
@@ -329,5 +330,6 @@ def accepted(docs: DataFrame, width: float = 6.0) -> DataFrame:
     limit = F.lit(other)
     for lang, value in known.items():
         limit = F.when(F.col("lang_pred") == lang, value).otherwise(limit)
-    fits = F.col("cross_entropy") <= limit + 6 / F.sqrt("n_letters")
-    return scored.drop("lang").withColumn("accepted", F.coalesce(fits, F.lit(False)))
+    beyond = F.col("cross_entropy") - limit - 6 / F.sqrt("n_letters")
+    score = F.when(beyond > 0, F.col("score") * F.exp(-F.least(beyond * F.sqrt("n_letters"), F.lit(700.0)))).otherwise(F.col("score"))
+    return scored.drop("lang").withColumn("accepted", F.coalesce(beyond <= 0, F.lit(False))).withColumn("score", score)

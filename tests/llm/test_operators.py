@@ -119,6 +119,13 @@ def test_near_copies_of_all_degrees(spark):
     assert got == want
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    t = "one two three four five six seven"
+    docs = made(spark, [(3, t), (5, t), (5, t.upper()), (8, "other words that are nobody's at all"), (None, t), (None, t), (None, None), (9, None)])
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == Counter({(3, 3, True): 1, (5, 3, False): 2, (None, None, True): 3, (9, 9, True): 1, (8, 8, True): 1})
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(500, 400), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(links).collect()}
@@ -276,6 +283,66 @@ def model_row(model, gram):
     return np.log(model.probability(key))[0]
 
 
+def test_language_model_against_brute_force():
+    """Interpolated Kneser-Ney by its definition, on dictionaries."""
+    r = random.Random(2)
+    words = {x: Counter(["".join(r.choices(abc, k=r.randrange(1, 6))) for _ in range(60)]) for x, abc in (("p", "aabcd"), ("q", "bcdde"))}
+    made = []
+    for i, x in enumerate("pq"):
+        g, many = language.grams(list(words[x]))
+        made.append((g, np.full(len(g), i), np.repeat(list(words[x].values()), many)))
+    model = language.Model(["p", "q"], *(np.concatenate(c) for c in zip(*made)))
+    letters = {c for x in words.values() for w in x for c in w} | {" "}
+    for i, x in enumerate("pq"):
+        count = {4: Counter()}
+        for w, n in words[x].items():
+            s = "   " + w + " "
+            for j in range(3, len(s)):
+                count[4][s[j - 3 : j + 1]] += n
+        for k in (3, 2, 1):
+            count[k] = Counter(g[1:] for g in count[k + 1])
+
+        def p(g):
+            k = len(g)
+            if not k:
+                return 1 / (len(letters) + 1)
+            n = Counter(count[k].values())
+            d = min(max(n[1] / (n[1] + 2 * n[2]), 0.1), 0.9) if n[1] else 0.5
+            same = [v for y, v in count[k].items() if y[:-1] == g[:-1]]
+            if not same:
+                return p(g[1:])
+            return max(count[k][g] - d, 0) / sum(same) + d * len(same) / sum(same) * p(g[1:])
+
+        for _ in range(300):
+            g = "".join(r.choices("abcdez ", k=4))
+            key = np.array([sum(ord(c) << (16 * (3 - j)) for j, c in enumerate(g))], np.uint64)
+            assert model.probability(key)[0, i] == pytest.approx(p(g), rel=1e-12), g
+
+
+def test_fifty_languages_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(language, "CELLS", 400_000)
+    r = random.Random(12)
+    rows = []
+    for n in range(50):
+        abc = r.sample("abcdefghijklmnopqrstuvwxyz", 12)
+        words = ["".join(r.choices(abc, k=r.randrange(2, 7))) for _ in range(30)]
+        rows += [(100 * n + i, " ".join(r.choices(words, k=12)), f"x{n:02}") for i in range(24)]
+    got = language.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    lang = {i: x for i, _, x in rows}
+    assert sum(x.lang_pred == lang[x.doc_id] for x in got) >= 0.97 * len(got) and len(got) > 300
+
+
+def test_rejection_and_score_of_other_alphabets(spark, sf):
+    own = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    foreign = ["Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "Все люди рождаются свободными и равными в своем достоинстве и правах", "qxzj vkwq zzxj qqkv jxqz wvkx zqjx"]
+    both = own.unionByName(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(foreign)], own.schema))
+    got = {r.doc_id: r for r in language.accepted(both).collect()}
+    for i in range(len(foreign)):
+        assert not got[10**6 + i].accepted and got[10**6 + i].score < 0.1
+    mine = [r for i, r in got.items() if i < 10**6 and r.n_letters > 50]
+    assert sum(r.accepted and r.score > 0.9 for r in mine) >= 0.97 * len(mine)
+
+
 def test_language_learns_only_from_training_rows(spark):
     rows = [(i, "the cat sat on the mat" if i % 2 else "der hund sitzt im haus", "en" if i % 2 else "de") for i in range(60)]
     rows += [(i, "xx yy zz", "zz") for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 3 == 1] + [(2000, "sur la table", None)]
@@ -506,6 +573,30 @@ def test_licenses(spark):
     assert (got[7].license, got[7].license_dir) == ("MIT", "/a")
 
 
+def test_identifiers_and_header_blocks(spark):
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+    code = "\nint main() { return 0; }\n" * 30
+    comment = lambda t, lead: "\n".join(lead + x for x in t.split("\n"))
+    files = [("// SPDX-License-Identifier: Apache-2.0\n" + code, "Apache-2.0"), ("# SPDX-License-Identifier: MIT" + code, "MIT"), ("/* SPDX-License-Identifier: Foo-9.9 */" + code, None)]
+    files += [("/*\n" + comment(gpl, " * ") + "\n */" + code, "GPL-3.0"), (comment(gpl.replace("version 3", "version 2").replace("software:", "software;"), "# ") + code, "GPL-2.0"), (comment(apache, "// ") + code, "Apache-2.0"), (comment(gpl.replace("GNU General", "GNU Lesser General"), "-- ") + code, "LGPL-3.0")]
+    rows = [(i, "/".join(f"d{j}" for j in range(40)) + f"/{i}", t) for i, (t, _) in enumerate(files)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [(got[i].own_license, got[i].license_file) for i in range(len(files))] == [(x, False) for _, x in files]
+    deep = [(1, "/r/LICENSE", "Released under the MIT License."), (2, "/r" + "/d" * 60 + "/x", "text"), (3, "/r" + "/d" * 30 + "/LICENSE", "Released under the ISC License."), (4, "/r" + "/d" * 20 + "/x", None), (5, "", "x"), (None, "/r/q", "x"), (6, "/r/LICENSE", "Released under the MIT License.")]
+    got = [(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(deep, "doc_id long, path string, text string")).collect()]
+    assert Counter(got) == Counter([(1, "MIT"), (2, "ISC"), (3, "ISC"), (4, "MIT"), (5, None), (None, "MIT"), (6, "MIT")])
+
+
 def test_whole_licence_files_and_wrapped_notices(spark):
     from readloom.llm.license_texts import TEXTS
 
