@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.evidence import edges, ends, most_frequent_read, multiplicity, starts
+from readloom.operators.evidence import KINDS, counters, multiplicity
 from readloom.functions.columns import code
 from readloom.schema import Config
 
@@ -30,6 +30,7 @@ REACH = 5
 FAMILIES = {1: "beam_exact", 2: "read_exact", 3: "beam_near", 4: "beam_window", 5: "read_any"}
 _LUT = np.full(256, 4, np.uint8)
 _LUT[list(b"ACGT")] = range(4)
+_LETTERS = np.array(list("ACGT"), object)
 
 
 def buckets(score: np.ndarray) -> np.ndarray:
@@ -169,9 +170,10 @@ class Beams:
         a_lo, a_hi = np.array([m[0][0] for m in models]), np.array([m[0][1] for m in models])
         most = np.maximum(a_hi, soft_hi)
         self.window, self.soft = list(zip(a_lo.tolist(), a_hi.tolist())), list(zip(soft_lo.tolist(), soft_hi.tolist()))
-        self.back: list[tuple[np.ndarray, np.ndarray]] = []
+        self.back: list[tuple[np.ndarray, np.ndarray]] = []  # rows of live clusters, and their paths' parents times 4 and letters
         self.complete: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.frontier: list[list[tuple[int, int]]] = [[] for _ in range(C)]
+        self.frontier: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []  # clusters, length, places, sequences
+        paths = np.array([["".join("ACGT"[(head >> (2 * (k - 1 - j))) & 3] for j in range(k)) for head in row] for row in self.root.tolist()], object).reshape(C, B) if keep_frontier else None
         lowest, highest = np.minimum(a_lo, soft_lo), np.maximum(a_hi, soft_hi)
         live = np.arange(C)
         length = k
@@ -192,6 +194,7 @@ class Beams:
                 break
             if not go.all():
                 live, state, cum = live[go], state[go], cum[go]
+                paths = paths[go] if keep_frontier else None
             nxt = succ[state].reshape(len(live), 4 * B)
             score = (cum[:, :, None] + gain[state]).reshape(len(live), 4 * B)
             ok = (nxt >= 0) & np.repeat(state >= 0, 4, axis=1)
@@ -205,13 +208,14 @@ class Beams:
             best = np.minimum(best, 4 * B - 1)
             state = np.where(good, nxt[rows, best], -1)
             cum = np.where(good, score[rows, best], -np.inf)
-            full_p, full_l = np.full((C, B), -1, np.int8), np.full((C, B), -1, np.int8)
-            full_p[live], full_l[live] = np.where(good, best // 4, -1), np.where(good, best % 4, -1)
-            self.back.append((full_p, full_l))
+            row = np.full(C, -1, np.int32)
+            row[live] = np.arange(len(live))
+            self.back.append((row, best.astype(np.int8)))
             length += 1
             if keep_frontier:
-                for r, c in enumerate(live.tolist()):
-                    self.frontier[c] += [(length, p) for p in np.flatnonzero(good[r]).tolist()]
+                paths = paths[rows, best // 4] + _LETTERS[best % 4]
+                r, p = np.nonzero(good)
+                self.frontier.append((live[r], length, p, paths[r, p]))
 
     def candidates(self, c: int, lengths) -> list[tuple[int, int, int, float]]:
         """``(length, bucket, place, score)`` of a cluster's complete paths of some lengths."""
@@ -231,9 +235,9 @@ class Beams:
     def sequence(self, c: int, length: int, place: int) -> str:
         tail = []
         for step in range(length - self.k - 1, -1, -1):
-            parent, letter = self.back[step]
-            tail.append("ACGT"[letter[c, place]])
-            place = int(parent[c, place])
+            row, best = self.back[step]
+            place, letter = divmod(int(best[row[c], place]), 4)
+            tail.append("ACGT"[letter])
         head = int(self.root[c, place])
         return "".join("ACGT"[(head >> (2 * (self.k - 1 - j))) & 3] for j in range(self.k)) + "".join(reversed(tail))
 
@@ -283,15 +287,19 @@ def _decode(cfg: Config, what: str, from_ledger: bool):
         ids, design = batch.column("cluster_id").to_pylist(), batch.column("design_length").to_pylist()
         if from_ledger:
             e, own = Evidence(len(ids), cfg.k), np.arange(len(ids))
+            grams = batch.column("grams")
+            owner = np.repeat(own, np.diff(grams.offsets.to_numpy()))
+            kind, key, n = (grams.flatten().field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            key = (owner << 32) | key
             for name in ("edge", "start", "end"):
-                rows = batch.column(name).to_pylist()
-                key = np.array([(i << 32) | x["code"] for i, r in enumerate(rows) for x in r or ()], np.int64)
-                n = np.array([x["support"] for r in rows for x in r or ()], np.int64)
-                u, s = _summed(key, n)
+                take = kind == KINDS[name]
+                u, s = _summed(key[take], n[take])
                 setattr(e, name, u)
                 setattr(e, name + "_n", s)
-            e.hist = [{x["len"]: x["n"] for x in r} for r in batch.column("hist").to_pylist()]
-            favourite = list(zip(batch.column("exact").to_pylist(), batch.column("common").to_pylist()))
+            lengths = batch.column("lengths").to_pylist()
+            e.hist = [{x["len"]: x["n"] for x in r} for r in lengths]
+            best = lambda rows: min(((-x["most"], x["seq"]) for x in rows), default=(0, None))[1]
+            favourite = [(best([x for x in r if x["len"] == d]), best(r)) for r, d in zip(lengths, design)]
         else:
             rows = batch.column("reads").to_pylist()
             reads, n = [[x["seq"].encode() for x in r] for r in rows], [[x["n"] for x in r] for r in rows]
@@ -299,8 +307,9 @@ def _decode(cfg: Config, what: str, from_ledger: bool):
             favourite = [_favourites(r, m, d) for r, m, d in zip(reads, n, design)]
         beams = Beams(e, design, cfg, what == "frontier")
         if what == "frontier":
-            out = [(ids[c], length, p, beams.sequence(c, length, p)) for c in range(len(ids)) for length, p in beams.frontier[c]]
-            yield _batch(out, FRONTIER)
+            name = np.array(ids, object)
+            for c, length, p, seq in beams.frontier:
+                yield pa.RecordBatch.from_arrays([pa.array(name[c], pa.string()), pa.array(np.full(len(c), length, np.int32)), pa.array(p.astype(np.int32)), pa.array(seq, pa.string())], names=[f.split()[0] for f in FRONTIER.split(", ")])
         elif what == "candidates":
             out = []
             for c in range(len(ids)):
@@ -334,15 +343,13 @@ def _gathered(mult: DataFrame) -> DataFrame:
 
 
 def _ledgers(mult: DataFrame, k: int) -> DataFrame:
-    """One row a cluster, with its summed evidence: at most 4^(k+1) entries, however many reads it has."""
-    def entries(df: DataFrame, gram, name: str) -> DataFrame:
-        return df.groupBy("cluster_id").agg(F.collect_list(F.struct(code(gram).alias("code"), "support")).alias(name))
-
-    hist = mult.groupBy("cluster_id", "design_length", F.length("seq").alias("len")).agg(F.sum("n").alias("n")).groupBy("cluster_id", "design_length").agg(F.collect_list(F.struct("len", "n")).alias("hist"))
-    out = hist.join(most_frequent_read(mult, True).select("cluster_id", F.col("seq").alias("exact")), "cluster_id", "left").join(most_frequent_read(mult).select("cluster_id", F.col("seq").alias("common")), "cluster_id")
-    for df, gram, name in ((edges(mult, k), F.concat("context", "base"), "edge"), (starts(mult, k), F.col("context"), "start"), (ends(mult, k), F.col("context"), "end")):
-        out = out.join(entries(df, gram, name), "cluster_id", "left")
-    return out
+    """One row a cluster, with its summed evidence: at most 4^(k+1) grams, however many reads it has, and a row for each length."""
+    grams = counters(mult, k, ("edge", "start", "end")).groupBy("cluster_id").agg(F.collect_list(F.struct("kind", code(F.col("gram")).alias("code"), "support")).alias("grams"))
+    by_length = mult.groupBy("cluster_id", F.length("seq").alias("len")).agg(F.max("design_length").alias("design_length"), F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("m"), "seq")).alias("best"))
+    rows = F.struct("len", "n", (-F.col("best.m")).alias("most"), F.col("best.seq").alias("seq"))
+    lengths = by_length.groupBy("cluster_id").agg(F.max("design_length").alias("design_length"), F.collect_list(rows).alias("lengths"))
+    none = F.array().cast("array<struct<kind:int,code:bigint,support:bigint>>")
+    return lengths.join(grams, "cluster_id", "left").withColumn("grams", F.coalesce("grams", none))
 
 
 def _run(reads: DataFrame, cfg: Config, what: str, ddl: str, split: int | None) -> DataFrame:
@@ -365,12 +372,12 @@ def decode(reads: DataFrame, cfg: Config = Config(), split: int | None = SPLIT)
     return _run(reads, cfg, "decode", DECODED, split)
 
 
-def candidates(reads: DataFrame, cfg: Config = Config(), split: int | None = None) -> DataFrame:
+def candidates(reads: DataFrame, cfg: Config = Config(), split: int | None = SPLIT) -> DataFrame:
     """Every complete path by length, best first; ``soft``: near the design length, ``window``: of the reads' own lengths."""
     return _run(reads, cfg, "candidates", CANDIDATES, split)
 
 
-def frontier(reads: DataFrame, cfg: Config = Config(), split: int | None = None) -> DataFrame:
+def frontier(reads: DataFrame, cfg: Config = Config(), split: int | None = SPLIT) -> DataFrame:
     """The kept paths after every step."""
     return _run(reads, cfg, "frontier", FRONTIER, split)
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _bytes(c: str):
+    """A text as one character for each byte of its UTF-8, so that lengths and distances are those of bytes."""
+    return F.when(F.octet_length(c) == F.length(c), F.col(c)).otherwise(F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1"))
+
+
 def evaluate(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """``pred(cluster_id, reconstructed_sequence)`` and ``truth(cluster_id, sequence)`` -> a row for each cluster of both."""
-    ed = F.levenshtein("reconstructed_sequence", "sequence")
+    ed = F.levenshtein(_bytes("reconstructed_sequence"), _bytes("sequence"))
     both = pred.select("cluster_id", "reconstructed_sequence").join(truth.select("cluster_id", "sequence"), "cluster_id")
-    rows = both.select("cluster_id", F.length("reconstructed_sequence").alias("pred_length"), F.length("sequence").alias("truth_length"), ed.alias("edit_distance"))
+    rows = both.select("cluster_id", F.octet_length("reconstructed_sequence").alias("pred_length"), F.octet_length("sequence").alias("truth_length"), ed.alias("edit_distance"))
     return rows.withColumn("exact", (F.col("edit_distance") == 0).cast("int")).withColumn("normalized_accuracy", 1.0 - F.col("edit_distance") / F.greatest(F.lit(1), "truth_length"))
 
 
@@ -28,10 +35,10 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def edit_distances(pairs: DataFrame) -> DataFrame:
-    """``(key, a, b)`` -> lengths and distance; an empty or null key, or a null side, is an error."""
+    """``(key, a, b)`` -> lengths and distance in bytes; an empty or null key, or a null side, is an error."""
     bad = (F.coalesce("key", F.lit("")) == "") | F.col("a").isNull() | F.col("b").isNull()
     key = F.when(bad, F.raise_error(F.lit("expected a key and two sequences"))).otherwise(F.col("key"))
-    return pairs.select(key.alias("key"), F.length("a").alias("a_length"), F.length("b").alias("b_length"), F.levenshtein("a", "b").alias("edit_distance"))
+    return pairs.select(key.alias("key"), F.octet_length("a").alias("a_length"), F.octet_length("b").alias("b_length"), F.levenshtein(_bytes("a"), _bytes("b")).alias("edit_distance"))
 
 
 def fingerprint(pred: DataFrame) -> DataFrame:
@@ -44,6 +51,50 @@ def fingerprint(pred: DataFrame) -> DataFrame:
     return parts.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat("slice", "digest")))), 256).alias("sha256"), F.sum("n").alias("lines"))
 
 
+def canonical_digest(pred: DataFrame) -> str:
+    """SHA-256 of all ``id TAB sequence NEWLINE`` lines in order of id.  Lines pass the driver a partition at a time."""
+    digest = hashlib.sha256()
+    for r in pred.select("cluster_id", "reconstructed_sequence").orderBy("cluster_id").toLocalIterator():
+        digest.update(f"{r[0]}\t{r[1]}\n".encode())
+    return digest.hexdigest()
+
+
+def totals(pred: DataFrame) -> DataFrame:
+    """One row for a run: clusters, reads, clusters stopped early or without a sequence, repeated ids; it passes if all was consumed."""
+    n = pred.agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.sum("total_reads").alias("total_reads"),
+        F.sum("consumed_reads").alias("consumed_reads"),
+        F.count_if(F.col("consumed_reads") < F.col("total_reads")).alias("early_clusters"),
+        F.count_if(F.col("status") == "completed_empty").alias("completed_empty"),
+        (F.count(F.lit(1)) - F.count_distinct("cluster_id")).alias("duplicates"),
+    )
+    return n.withColumn("status", F.when((F.col("completed_empty") == 0) & (F.col("consumed_reads") == F.col("total_reads")), "PASS").otherwise("FAIL"))
+
+
+def by_task(pred: DataFrame) -> DataFrame:
+    """Clusters and reads of each partition, as it lies."""
+    return pred.groupBy(F.spark_partition_id().alias("worker_id")).agg(F.count(F.lit(1)).alias("clusters"), F.sum("consumed_reads").alias("reads_consumed"))
+
+
+def matrix(frames: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Results of several sources side by side, for the combinations of keys that all of them have; columns get the source's name."""
+    out = None
+    for name, df in frames.items():
+        df = df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys])
+        out = df if out is None else out.join(df, keys)
+    return out
+
+
+def matrix_differences(observed: DataFrame, axes: list[DataFrame]) -> DataFrame:
+    """Combinations of the axes (small frames of one column) that were not observed, and observed ones beyond them."""
+    want = axes[0]
+    for x in axes[1:]:
+        want = want.crossJoin(x)
+    have = observed.select(*want.columns)
+    return want.exceptAll(have.distinct()).withColumn("side", F.lit("missing")).unionByName(have.distinct().exceptAll(want).withColumn("side", F.lit("extra")))
+
+
 def differences(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(cluster_id, state)`` for clusters that aren't the same in two predictions: missing, extra or changed."""
     a = old.select("cluster_id", F.col("reconstructed_sequence").alias("a"))
@@ -52,14 +103,16 @@ def differences(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "cluster_id", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("cluster_id", state.alias("state"))
 
 
-def with_means(rows: DataFrame, metrics: list[str]) -> DataFrame:
+def with_means(rows: DataFrame, metrics: list[str], none: tuple[str, ...] = ("seed", "pred"), fixed: dict[str, str] = {"metric_closure": "PASS_ALL_ROUNDS"}) -> DataFrame:
     """Detail rows by threads and round, and a ``MEAN`` row for each number of threads with more than one round.
 
-    Means skip nulls and are formatted to 12 digits by the sink; other columns are those of the first round.
+    Means skip nulls and have 12 digits; a mean row has no value of the columns ``none``, the values of ``fixed``, and those
+    of the first round elsewhere.
     """
     others = [c for c in rows.columns if c not in (*metrics, "threads", "round")]
     by_round = F.col("round").cast("int")
     mean = rows.groupBy("threads").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in metrics], *[F.min_by(c, by_round).alias(c) for c in others], F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    mean = mean.withColumns({c: F.format_string("%.11e", c).cast("double") for c in metrics} | {c: F.lit(None).cast(rows.schema[c].dataType) for c in none if c in others} | {c: F.lit(v) for c, v in fixed.items() if c in others})
     return rows.withColumns({c: F.col(c).cast("double") for c in metrics} | {"round": F.col("round").cast("string")}).unionByName(mean.withColumn("round", F.lit("MEAN")))
 
 

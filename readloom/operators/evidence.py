@@ -42,8 +42,10 @@ def outgoing(edge: DataFrame) -> DataFrame:
 
 
 def terminals(mult: DataFrame, k: int) -> DataFrame:
-    """``(cluster_id, seq, n, first, last)``: a read's first and last gram, for reads that have one."""
-    return grams(mult, k).groupBy("cluster_id", "seq").agg(F.max("n").alias("n"), F.min_by("gram", "pos").alias("first"), F.max_by("gram", "pos").alias("last"))
+    """``(cluster_id, seq, n, first, last)``: a read's first and last gram, for reads that have one.  No gram is exploded."""
+    gram = f"[ACGT]{{{k}}}"
+    both = mult.select("cluster_id", "seq", "n", F.regexp_extract("seq", gram, 0).alias("first"), F.regexp_extract("seq", f"^.*({gram})", 1).alias("last"))
+    return both.where("first <> ''")
 
 
 def starts(mult: DataFrame, k: int) -> DataFrame:
@@ -54,19 +56,23 @@ def ends(mult: DataFrame, k: int) -> DataFrame:
     return terminals(mult, k).groupBy("cluster_id", F.col("last").alias("context")).agg(F.sum("n").alias("support"))
 
 
-def ledger(mult: DataFrame, k: int) -> DataFrame:
-    """All counters in long form: ``(cluster_id, kind, code, support)``."""
-    edge = edges(mult, k)
+def counters(mult: DataFrame, k: int, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """``(cluster_id, kind, gram, support)`` of several counters by one explosion of windows and one grouping."""
+    w, at = F.col("w"), mult.where(F.length("seq") >= k).select("cluster_id", "n", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("pos"))
+    context, edge = F.substring(w, 1, k), (F.length(w) == k + 1) & ~w.contains("N")
+    said = {"node": (~F.substring(w, 1, k).contains("N"), context), "edge": (edge, w), "outgoing": (edge, context)}
+    entry = lambda kind, ok, gram: F.struct(F.when(ok, F.lit(KINDS[kind])).alias("kind"), gram.alias("gram"))
+    inner = at.select("cluster_id", "n", F.substring("seq", F.col("pos"), F.lit(k + 1)).alias("w"))
+    parts = inner.select("cluster_id", "n", F.inline(F.array(*[entry(x, *said[x]) for x in kinds if x in said])))
+    ends_ = [entry(x, F.lit(True), F.col(c)) for x, c in (("start", "first"), ("end", "last")) if x in kinds]
+    if ends_:
+        parts = parts.unionByName(terminals(mult, k).select("cluster_id", "n", F.inline(F.array(*ends_))))
+    return parts.where("kind is not null").groupBy("cluster_id", "kind", "gram").agg(F.sum("n").alias("support"))
 
-    def part(df: DataFrame, kind: str, gram: Column) -> DataFrame:
-        return df.select("cluster_id", F.lit(KINDS[kind]).cast("int").alias("kind"), code(gram).alias("code"), "support")
 
-    context = F.col("context")
-    parts = [part(nodes(mult, k), "node", context), part(edge, "edge", F.concat("context", "base")), part(outgoing(edge), "outgoing", context), part(starts(mult, k), "start", context), part(ends(mult, k), "end", context)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def ledger(mult: DataFrame, k: int) -> DataFrame:
+    """All counters in long form: ``(cluster_id, kind, code, support)``."""
+    return counters(mult, k).select("cluster_id", "kind", code(F.col("gram")).alias("code"), "support")
 
 
 def merge(*ledgers: DataFrame) -> DataFrame:
@@ -99,10 +105,10 @@ def most_frequent_read(mult: DataFrame, exact: bool = False) -> DataFrame:
 
 def top_starts(mult: DataFrame, k: int, beam: int = 16) -> DataFrame:
     """The ``beam`` best supported first grams of each cluster, with totals over all of them."""
-    by = Window.partitionBy("cluster_id").orderBy(F.col("support").desc(), "context")
-    s = starts(mult, k)
-    total = s.groupBy("cluster_id").agg(F.sum("support").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    return s.withColumn("place", F.row_number().over(by)).where(F.col("place") <= beam).join(total, "cluster_id")
+    whole = Window.partitionBy("cluster_id")
+    by = whole.orderBy(F.col("support").desc(), "context")
+    rows = starts(mult, k).select("*", F.row_number().over(by).alias("place"), F.sum("support").over(whole).alias("total"), F.count(F.lit(1)).over(whole).alias("kinds"))
+    return rows.where(F.col("place") <= beam)
 
 
 def prefix_support(reads: DataFrame, order: str) -> DataFrame:

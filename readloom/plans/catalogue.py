@@ -14,7 +14,8 @@ from readloom.operators import evidence as e
 from readloom.operators import order as od
 from readloom.operators import validate as va
 from readloom.plans.staging import scratch
-from readloom.schema import Config
+from readloom.schema import READS, Config
+from readloom.sources import tsv
 from readloom.sources.derived import LENGTH, event_reads
 from readloom.streaming.reads import stream_decode, stream_multiplicity
 
@@ -321,15 +322,17 @@ def _round_rows(spark, d) -> DataFrame:
     """Made-up detail rows: threads 1 to 3, as many rounds as threads."""
     r = reads(spark, d).withColumn("threads", (F.col("cluster_id").cast("long") % 3 + 1).cast("int"))
     r = r.withColumn("round", (F.col("read_id").cast("long") % F.col("threads") + 1).cast("int"))
-    return r.groupBy("threads", "round").agg(F.avg(F.octet_length("read_sequence").cast("double")).alias("mean_length"), F.min("read_id").alias("seed"))
+    return r.groupBy("threads", "round").agg(F.avg(F.octet_length("read_sequence").cast("double")).alias("mean_length"), F.min("read_id").alias("seed"), F.count(F.lit(1)).alias("reads"))
 
 
 @_query(f"""{_READS}, g AS (SELECT CAST(CAST(cluster_id AS BIGINT) % 3 + 1 AS INT) AS threads, e, read_id, read_sequence FROM reads),
-h AS (SELECT threads, CAST(e % threads + 1 AS INT) AS round, avg(length(read_sequence)) AS mean_length, min(read_id) AS seed FROM g GROUP BY ALL)
-SELECT threads, CAST(round AS VARCHAR) AS round, round(mean_length, 9) AS mean_length, seed FROM h
-UNION ALL SELECT threads, 'MEAN', round(avg(mean_length), 9), arg_min(seed, round) FROM h GROUP BY threads HAVING count(*) > 1""")
+h AS (SELECT threads, CAST(e % threads + 1 AS INT) AS round, avg(length(read_sequence)) AS mean_length, min(read_id) AS seed, count(*) AS reads FROM g GROUP BY ALL)
+SELECT threads, CAST(round AS VARCHAR) AS round, round(mean_length, 9) AS mean_length, seed, reads, 'PASS' AS metric_closure FROM h
+UNION ALL SELECT threads, 'MEAN', CAST(printf('%.11e', avg(mean_length)) AS DOUBLE), NULL, arg_min(reads, round), 'PASS_ALL_ROUNDS' FROM h GROUP BY threads HAVING count(*) > 1""")
 def rounds_mean(spark, d):
-    return ev.with_means(_round_rows(spark, d), ["mean_length"]).withColumn("mean_length", F.round("mean_length", 9))
+    rows = _round_rows(spark, d).withColumn("metric_closure", F.lit("PASS"))
+    detail = F.col("round") != "MEAN"
+    return ev.with_means(rows, ["mean_length"]).withColumn("mean_length", F.when(detail, F.round("mean_length", 9)).otherwise(F.col("mean_length")))
 
 
 @_query(f"{_READS} SELECT arg_min(len, (-n, f)) AS design_length FROM (SELECT length(seq) AS len, count(*) AS n, min(e) AS f FROM c GROUP BY 1)")
@@ -402,6 +405,116 @@ def length_switches(spark, d):
     return ev.switches(r, "at", "len")
 
 
+@_query(f"""{_PRED} SELECT count(*) AS clusters, CAST(sum(total_reads) AS BIGINT) AS total_reads, CAST(sum(consumed_reads) AS BIGINT) AS consumed_reads, count(*) FILTER (WHERE consumed_reads < total_reads) AS early_clusters,
+  count(*) FILTER (WHERE status = 'completed_empty') AS completed_empty, count(*) - count(DISTINCT cluster_id) AS duplicates, CASE WHEN count(*) FILTER (WHERE status = 'completed_empty') = 0 AND sum(consumed_reads) = sum(total_reads) THEN 'PASS' ELSE 'FAIL' END AS status FROM pred""")
+def run_totals(spark, d):
+    return ev.totals(_pred(spark, d))
+
+
+@_query(f"{_PRED} SELECT count(*) AS clusters, CAST(sum(consumed_reads) AS BIGINT) AS reads_consumed FROM pred")
+def worker_totals(spark, d):
+    """What the tasks did, added up: how it was dealt is no one's business."""
+    return ev.by_task(_pred(spark, d)).agg(F.sum("clusters").alias("clusters"), F.sum("reads_consumed").alias("reads_consumed"))
+
+
+@_query(f"{_PRED} SELECT sha256(string_agg(cluster_id || chr(9) || reconstructed_sequence || chr(10), '' ORDER BY cluster_id)) AS sha256 FROM pred")
+def canonical_prediction_digest(spark, d):
+    return spark.createDataFrame([(ev.canonical_digest(_pred(spark, d)),)], "sha256 string")
+
+
+@_query(f"{_PRED} SELECT 'distance_out_of_range' AS rule, cluster_id, CAST(edit_distance AS VARCHAR) AS detail FROM ed WHERE CAST(cluster_id AS BIGINT) % 5 = 0")
+def evaluation_violations(spark, d):
+    """Distances of a fifth of the clusters are spoiled; all of those and no others are found."""
+    rows = ev.evaluate(_pred(spark, d), _truth(spark, d))
+    bad = F.col("cluster_id").cast("long") % 5 == 0
+    found = va.evaluation_violations(rows.withColumn("edit_distance", F.when(bad, F.col("edit_distance") + 1000).otherwise(F.col("edit_distance"))))
+    return found.withColumn("detail", (F.col("detail").cast("long") - 1000).cast("string"))
+
+
+@_query(f"{_READS} SELECT cluster_id, read_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY e DESC) AS INT) AS arrival FROM c")
+def replayed_reads(spark, d):
+    """Reads by an order pack; this one turns each cluster around."""
+    r = reads(spark, d).withColumn("at", F.col("read_id").cast("long"))
+    n = r.groupBy("cluster_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    pack = n.select("cluster_id", F.reverse(F.sequence(F.lit(0), F.col("n") - 1)).alias("permutation"))
+    return od.replay(r, pack, "at").select("cluster_id", "read_id", "arrival")
+
+
+@_query(f"{_READS}, n AS (SELECT cluster_id, count(*) AS n FROM c GROUP BY 1) SELECT cluster_id FROM n WHERE CAST(cluster_id AS BIGINT) % 3 <> 0 AND (CAST(cluster_id AS BIGINT) % 3 = 2 OR n > 1)")
+def broken_orders(spark, d):
+    """Of three packs one is right, one holds zeros alone, and one is missing."""
+    r, kind = reads(spark, d), F.col("cluster_id").cast("long") % 3
+    n = r.groupBy("cluster_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    right = F.sequence(F.lit(0), F.col("n") - 1)
+    return od.broken(n.where(kind != 2).select("cluster_id", F.when(kind == 0, right).otherwise(F.transform(right, lambda _: F.lit(0))).alias("permutation")), r)
+
+
+_MATRIX = "SELECT CAST(cluster_id AS BIGINT) % 7 AS d, CAST(cluster_id AS BIGINT) % 4 AS t, count(*) AS n, sum(length(seq)) AS m FROM c"
+
+
+def _matrix_rows(spark, d, where: str) -> DataFrame:
+    r = reads(spark, d).withColumn("c", F.col("cluster_id").cast("long")).where(where)
+    return r.groupBy((F.col("c") % 7).alias("d"), (F.col("c") % 4).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("read_sequence")).alias("m"))
+
+
+@_query(f"{_READS}, a AS ({_MATRIX} WHERE CAST(cluster_id AS BIGINT) % 28 <> 1 GROUP BY 1, 2), b AS ({_MATRIX} WHERE CAST(cluster_id AS BIGINT) % 28 <> 2 GROUP BY 1, 2) SELECT a.d, a.t, a.n AS old_n, CAST(a.m AS BIGINT) AS old_m, b.n AS new_n, CAST(b.m AS BIGINT) AS new_m FROM a JOIN b ON a.d = b.d AND a.t = b.t")
+def evidence_matrix(spark, d):
+    return ev.matrix({"old": _matrix_rows(spark, d, "c % 28 <> 1"), "new": _matrix_rows(spark, d, "c % 28 <> 2")}, ["d", "t"])
+
+
+@_query(f"{_READS}, a AS ({_MATRIX} WHERE CAST(cluster_id AS BIGINT) % 28 <> 1 GROUP BY 1, 2), w AS (SELECT x.i AS d, y.i AS t FROM range(0, 6) x(i), range(0, 4) y(i)) SELECT d, t, 'missing' AS side FROM w WHERE (d, t) NOT IN (SELECT (d, t) FROM a) UNION ALL SELECT d, t, 'extra' FROM a WHERE (d, t) NOT IN (SELECT (d, t) FROM w)")
+def matrix_completeness(spark, d):
+    axes = [spark.range(6).withColumnRenamed("id", "d"), spark.range(4).withColumnRenamed("id", "t")]
+    return ev.matrix_differences(_matrix_rows(spark, d, "c % 28 <> 1"), axes)
+
+
+@_query(f"{_READS} SELECT read_id, CASE WHEN x = '' THEN 'run' ELSE x END AS name FROM (SELECT read_id, trim(regexp_replace('._' || read_id || ' ' || chr(47) || seq || '..', '[^A-Za-z0-9_.-]+', '_', 'g'), '._') AS x FROM c)")
+def safe_names(spark, d):
+    r = reads(spark, d).select("read_id", F.concat(F.lit("._"), "read_id", F.lit(" /"), C.canonical("read_sequence"), F.lit("..")).alias("x"))
+    return r.select("read_id", C.safe_name(F.col("x")).alias("name"))
+
+
+def _tsv_folder(spark, df: DataFrame) -> str:
+    path = scratch(spark, "tsv")
+    tsv.write_tsv(df, path)
+    return path
+
+
+@_query(f"{_READS} SELECT 'events' AS dataset_id, cluster_id, read_id, read_sequence, '' AS original_read_sequence, '' AS read_quality, 60 AS design_length FROM reads")
+def reads_from_tsv(spark, d):
+    """Written as tab-separated parts and read back, with another design length."""
+    path = _tsv_folder(spark, reads(spark, d).select(*READS.fieldNames()))
+    return tsv.read_reads(spark, path, 60).where("_corrupt is null").drop("_corrupt")
+
+
+@_query(f"{_READS} SELECT read_id AS cluster_id, read_sequence AS sequence FROM reads")
+def truth_from_tsv(spark, d):
+    """The keyed format: the key's second part names the cluster."""
+    rows = reads(spark, d).select(F.concat_ws("|", F.lit("events"), "read_id", F.lit("20")).alias("row_key"), "dataset_id", F.col("read_sequence").alias("reference_sequence"))
+    return tsv.read_truth(spark, _tsv_folder(spark, rows)).select("cluster_id", "sequence")
+
+
+@_query(f"{_PRED} SELECT * FROM pred")
+def predictions_from_tsv(spark, d):
+    return tsv.read_predictions(spark, _tsv_folder(spark, _pred(spark, d)))
+
+
+@_query(f"{_READS}, n AS (SELECT cluster_id, count(*) AS n FROM c GROUP BY 1) SELECT cluster_id, substr(sha256('{od.PREFIX}|s2|events|' || cluster_id), 1, 32) AS entropy_bits, n, CAST(n * (n - 1) / 2 AS BIGINT) AS places FROM n")
+def orders_from_json(spark, d):
+    """Replay orders written as compressed JSON lines and read back: seeds, sizes, and sums of places."""
+    path = scratch(spark, "orders")
+    tsv.write_orders(od.orders(reads(spark, d), "s2", "events"), path)
+    total = F.aggregate("permutation", F.lit(0).cast("long"), lambda a, x: a + x)
+    return tsv.read_orders(spark, path).select("cluster_id", "entropy_bits", F.size("permutation").cast("long").alias("n"), total.alias("places"))
+
+
+@_query(f"{_READS} SELECT read_id AS key, CAST(length(read_sequence) AS INT) AS a_length, CAST(length(truth) AS INT) AS b_length, CAST(levenshtein(read_sequence, truth) AS INT) AS edit_distance FROM reads")
+def pairs_from_tsv(spark, d):
+    path = scratch(spark, "pairs")
+    reads(spark, d).select(F.concat_ws("\t", "read_id", "read_sequence", "truth").alias("value")).write.text(path)
+    return ev.edit_distances(tsv.read_pairs(spark, path))
+
+
 def _finished(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     """Run a stream over what is there, to Parquet files, and read them."""
     out = scratch(spark, "stream")

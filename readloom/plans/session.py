@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from readloom.operators import evaluate as ev
 from readloom.operators import order as od
 from readloom.operators.decode import decode, predictions, stop_points
-from readloom.operators.validate import id_differences, require, truth_violations, violations
+from readloom.operators.validate import blocks, evaluation_violations, id_differences, require, truth_violations, violations
 from readloom.schema import LEAST_K, MOST_K, MOST_LENGTH, Config, parse_threads
 from readloom.sources import tsv
 
@@ -31,13 +31,26 @@ TIMES = ["engine_time_s", "round_time_s"]
 def closure(reads: DataFrame, pred: DataFrame, truth: DataFrame | None) -> dict[str, object]:
     """Counts that show input, predictions and truth to have the same clusters; raises if they haven't."""
     require(id_differences(reads, pred), "predictions and input differ")
-    n_in, n_pred = reads.agg(F.count(F.lit(1)), F.count_distinct("cluster_id")).first(), pred.count()
-    n_truth = None
+    ids = lambda df: df.agg(F.count(F.lit(1)), F.count_distinct("cluster_id")).first()
+    n_in, n_pred, n_truth = ids(reads), ids(pred), (None, None)
     if truth is not None:
         require(id_differences(reads, truth), "truth and input differ")
-        n_truth = truth.count()
+        n_truth = ids(truth)
     none = None if truth is None else 0
-    return {"input_rows": n_in[0], "input_unique_clusters": n_in[1], "pred_rows": n_pred, "pred_unique_clusters": n_pred, "truth_rows": n_truth, "truth_unique_clusters": n_truth, "duplicate_input": 0, "duplicate_pred": 0, "duplicate_truth": none, "missing_pred": 0, "extra_pred": 0, "missing_truth": none, "extra_truth": none, "metric_closure": "PASS"}
+    twice = {"duplicate_pred": n_pred[0] - n_pred[1], "duplicate_truth": None if truth is None else n_truth[0] - n_truth[1]}
+    if any(twice.values()):
+        raise ValueError(f"clusters occur twice: {twice}")
+    return {"input_rows": n_in[0], "input_unique_clusters": n_in[1], "pred_rows": n_pred[0], "pred_unique_clusters": n_pred[1], "truth_rows": n_truth[0], "truth_unique_clusters": n_truth[1], "duplicate_input": 0, **twice, "missing_pred": 0, "extra_pred": 0, "missing_truth": none, "extra_truth": none, "metric_closure": "PASS"}
+
+
+def identity(data: str) -> dict[str, list[int]]:
+    """Device, number, size and times of a session's input files, to see that they stay the same."""
+    found = {n: os.stat(f"{data}/{n}") for n in ("reads.tsv", "truth.tsv") if os.path.exists(f"{data}/{n}")}
+    return {n: [s.st_dev, s.st_ino, s.st_size, s.st_mtime_ns, s.st_ctime_ns] for n, s in found.items()}
+
+
+def _kinds(row: dict) -> str:
+    return ", ".join(f"{c} {'double' if c in (*METRICS, *TIMES) else 'string' if isinstance(x, str) else 'long'}" for c, x in row.items())
 
 
 def run(spark: SparkSession, data: str, results: str, aim: bool = False, length: int | None = None, k: int = 9, threads: list[int] | None = None, seeds: list[str] | None = None, rounds: int = 1) -> Path:
@@ -52,8 +65,10 @@ def run(spark: SparkSession, data: str, results: str, aim: bool = False, length:
     stage.mkdir(parents=True)
     manifest = {"config": cfg.name, "data": str(data), "started": began.isoformat(), "aim": aim, "length": length}
     try:
+        before = identity(data)
         reads = tsv.read_reads(spark, f"{data}/reads.tsv", length).cache()
         require(violations(reads, k), "reads are not valid")
+        require(blocks(reads).where("n_blocks > 1"), "clusters are not contiguous")
         dataset = reads.first()["dataset_id"]
         truth = None
         if os.path.exists(f"{data}/truth.tsv"):
@@ -75,20 +90,28 @@ def run(spark: SparkSession, data: str, results: str, aim: bool = False, length:
                 pred = predictions(decode(reads, cfg), dataset).cache()
                 out = stage / f"threads_{n}_round_{i}"
                 tsv.write_rows(pred, out / "pred.tsv", "cluster_id")
-                tsv.write_rows(stop_points(pred, str(i)), out / "STOP_POINTS.tsv", "cluster_id")
+                tsv.write_rows(stop_points(pred, str(i)), out / "STOP_POINT_WALL.tsv", "cluster_id")
                 engine = time.time() - t0
                 row = {"dataset": dataset, "threads": n, "round": i, "seed": seed, "design_length": modal} | dict.fromkeys([*METRICS, "evaluated_clusters", "exact_count", "total_ed", "total_truth_bases"])
                 if truth is not None:
                     scored = ev.evaluate(pred, truth).cache()
                     tsv.write_rows(scored, out / "evaluation.tsv", "cluster_id")
+                    require(evaluation_violations(scored), "distances are not valid")
                     row |= ev.summary(scored).first().asDict()
                 row |= {"engine_time_s": engine, "round_time_s": time.time() - t0, "pred": f"threads_{n}_round_{i}/pred.tsv"} | closure(reads, pred, truth)
-                if pred.where("status = 'completed_empty'").count():
-                    raise ValueError("a cluster has no sequence")
+                total = ev.totals(pred).select(F.lit(dataset).alias("dataset"), F.lit(str(i)).alias("round_id"), F.lit(n).alias("workers"), "*", F.lit(time.time() - t0).alias("total_wall_seconds")).cache()
+                tsv.write_rows(total, out / "RUN_METRICS.tsv")
+                tsv.write_rows(ev.by_task(pred), out / "WORKER_LEDGER.tsv", "worker_id")
+                if total.first()["status"] != "PASS":
+                    raise ValueError("a cluster has no sequence, or reads that weren't consumed")
+                tsv.write_rows(spark.createDataFrame([tuple(row.values())], _kinds(row)), out / "summary.tsv")
                 rows.append(row)
                 pred.unpersist()
-        kinds = ", ".join(f"{c} {'double' if c in (*METRICS, *TIMES) else 'string' if isinstance(rows[0][c], str) else 'long'}" for c in rows[0])
-        table = spark.createDataFrame([tuple(r.values()) for r in rows], kinds)
+        table = spark.createDataFrame([tuple(r.values()) for r in rows], _kinds(rows[0]))
+        after = identity(data)
+        if after != before:
+            raise ValueError("input files changed while the session ran")
+        manifest["files"] = before
         tsv.write_rows(ev.with_means(table, [*METRICS, *TIMES]), stage / "SUMMARY.tsv")
         tsv.write_json(manifest, stage / "RUN_MANIFEST.json")
         tsv.write_json({"status": "COMPLETED"}, stage / "RUN_STATUS.json")

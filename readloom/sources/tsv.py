@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.operators.validate import prediction_violations, require
 from readloom.schema import ORDER, PREDICTION, READS, TRUTH, TRUTH_KEYED
 
 
@@ -34,13 +35,17 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows, with a ``_corrupt`` column that holds lines of another number of fields.
 
     Fields are split at tabs and taken as they are: no quotes, and empty fields are empty strings.  Numbers that aren't
-    numbers are null.  A line equal to the header is taken for one.
+    numbers are null.  Of one file the first line is the header, of a folder every line equal to it.
     """
     names = schema.fieldNames()
     found = header(spark, path)
     if found != names:
         raise ValueError(f"{path}: header {found} is not {names}")
-    rows = _lines_of(spark, path).where(F.col("value") != "\t".join(names)).select("value", F.split("value", "\t", -1).alias("f"))
+    lines = _lines_of(spark, path).select("value", F.monotonically_increasing_id().alias("at"))
+    head = F.col("value") == "\t".join(names)
+    if len(lines.inputFiles()) == 1:  # the first partition begins where the file does
+        head = head & (F.col("at") == 0)
+    rows = lines.where(~head).select("value", F.split("value", "\t", -1).alias("f"))
     fields = [F.expr(f"try_cast(f[{i}] AS {x.dataType.simpleString()})").alias(x.name) for i, x in enumerate(schema.fields)]
     rows = rows.withColumn("right", F.size("f") == len(names)).withColumn("f", F.when(F.col("right"), F.col("f")).otherwise(F.array_repeat(F.lit(""), len(names))))
     return rows.select(*fields, F.when(~F.col("right"), F.col("value")).alias("_corrupt"))
@@ -55,13 +60,25 @@ def read_reads(spark: SparkSession, path: str, length: int | None = None) -> Dat
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """``(cluster_id, sequence)`` from either of the two formats."""
     if header(spark, path) == TRUTH.fieldNames():
-        return read_tsv(spark, path, TRUTH).select("cluster_id", "sequence")
+        return read_tsv(spark, path, TRUTH)
     keyed = read_tsv(spark, path, TRUTH_KEYED)
-    return keyed.select(F.split("row_key", r"\|").getItem(1).alias("cluster_id"), F.coalesce("reference_sequence", F.lit("")).alias("sequence"))
+    return keyed.select(F.get(F.split("row_key", r"\|"), F.lit(1)).alias("cluster_id"), F.coalesce("reference_sequence", F.lit("")).alias("sequence"), "_corrupt")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return read_tsv(spark, path, PREDICTION).drop("_corrupt")
+    """Predictions, checked: no line of another form, no cluster twice, at least one."""
+    pred = read_tsv(spark, path, PREDICTION)
+    require(prediction_violations(pred), f"{path}: predictions are not valid")
+    return pred.drop("_corrupt")
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``(key, a, b)`` from lines without a header.  Blank lines don't count; a carriage return, another number of fields or an empty key is an error."""
+    f = F.split("value", "\t", -1)
+    bad = F.col("value").endswith("\r") | (F.size(f) != 3) | (f[0] == "")
+    lines = _lines_of(spark, path).where("value <> ''")
+    line = F.when(bad, F.raise_error(F.concat(F.lit("expected a key and two sequences: "), "value"))).otherwise(f)
+    return lines.select(line.alias("f")).select(F.col("f")[0].alias("key"), F.col("f")[1].alias("a"), F.col("f")[2].alias("b"))
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
@@ -87,8 +104,9 @@ def _publish(path: Path, lines: Iterable[str]) -> None:
     os.replace(part, path)
 
 
-def text(value: object) -> str:
-    return "NA" if value is None else str(value)
+def text(value: object, digits: bool = False) -> str:
+    """``digits``: floating point numbers in 12 digits."""
+    return "NA" if value is None else f"{value:.12g}" if digits and isinstance(value, float) else str(value)
 
 
 def write_rows(df: DataFrame, path: str | Path, order: str | None = None) -> None:
@@ -99,7 +117,8 @@ def write_rows(df: DataFrame, path: str | Path, order: str | None = None) -> Non
 def _lines(df: DataFrame) -> Iterable[str]:
     yield "\t".join(df.columns) + "\n"
     for row in df.toLocalIterator():
-        yield "\t".join(map(text, row)) + "\n"
+        mean = "round" in df.columns and row["round"] == "MEAN"
+        yield "\t".join(text(x, mean) for x in row) + "\n"
 
 
 def write_json(value: object, path: str | Path) -> None:

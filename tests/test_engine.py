@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import random
 from pathlib import Path
 
@@ -13,7 +14,7 @@ from readloom.operators import order as od
 from readloom.operators import validate as va
 from readloom.operators.decode import buckets, decode
 from readloom.plans.session import run
-from readloom.schema import READS, Config, parse_threads
+from readloom.schema import PREDICTION, READS, Config, parse_threads
 from readloom.sources import tsv
 
 SCHEMA = "cluster_id string, design_length int, read_sequence string"
@@ -159,10 +160,22 @@ def test_session(spark, tmp_path):
     table = [x.split("\t") for x in (out / "SUMMARY.tsv").read_text().splitlines()]
     at = {c: i for i, c in enumerate(table[0])}
     assert sorted(r[at["round"]] for r in table[1:]) == ["1", "1", "2", "2", "MEAN", "MEAN"]
-    preds = {(out / r[at["pred"]]).read_text() for r in table[1:]}
+    means = [r for r in table[1:] if r[at["round"]] == "MEAN"]
+    assert all((r[at["seed"]], r[at["pred"]], r[at["metric_closure"]]) == ("NA", "NA", "PASS_ALL_ROUNDS") for r in means)
+    for r in means:
+        of = [float(x[at["accuracy"]]) for x in table[1:] if x[at["threads"]] == r[at["threads"]] and x[at["round"]] != "MEAN"]
+        assert r[at["accuracy"]] == f"{sum(of) / len(of):.12g}" and r[at["exact_count"]] == table[1][at["exact_count"]]
+    preds = {(out / r[at["pred"]]).read_text() for r in table[1:] if r[at["round"]] != "MEAN"}
     assert len(preds) == 1 and (out / "RUN_MANIFEST.json").exists()
     assert tsv.read_predictions(spark, str(out / "threads_1_round_1" / "pred.tsv")).count() == 5
     assert len((out / "threads_1_round_1" / "evaluation.tsv").read_text().splitlines()) == 6
+    assert len((out / "threads_1_round_1" / "STOP_POINT_WALL.tsv").read_text().splitlines()) == 6
+    total = [x.split("\t") for x in (out / "threads_1_round_1" / "RUN_METRICS.tsv").read_text().splitlines()]
+    assert dict(zip(*total))["status"] == "PASS" and dict(zip(*total))["consumed_reads"] == str(len(rows))
+    lines = sorted((out / "threads_1_round_1" / "pred.tsv").read_text().splitlines()[1:])
+    ids = {x.split("\t")[2]: x.split("\t")[7] for x in lines}
+    pred = tsv.read_predictions(spark, str(out / "threads_1_round_1" / "pred.tsv"))
+    assert ev.canonical_digest(pred) == hashlib.sha256("".join(f"{k}\t{ids[k]}\n" for k in sorted(ids)).encode()).hexdigest()
     # truth, quality and provenance play no part in predictions
     write_session(tmp_path / "other", rows, {c: "T" * 40 for c in truth})
     again = run(spark, str(tmp_path / "other"), str(tmp_path / "out"), seeds=["z"])
@@ -197,6 +210,74 @@ def test_malformed_rows(spark, tmp_path):
         tsv.read_reads(spark, str(tmp_path / "crlf.tsv"))
 
 
+def test_clusters_that_come_twice_fail_a_session(spark, tmp_path):
+    rows, _ = clusters(3)
+    write_session(tmp_path / "data", rows + [rows[0]], None)
+    with pytest.raises(ValueError, match="not contiguous"):
+        run(spark, str(tmp_path / "data"), str(tmp_path / "out"))
+
+
+def test_blocks_over_partitions(spark):
+    ids = list("aaabbbbbbbbbbbcaadd") + [None, None, "a"]
+    want = {}
+    for i, x in enumerate(ids):
+        want[x] = want.get(x, 0) + (i == 0 or ids[i - 1] != x)
+    for parts in (1, 3, 7, 22):
+        df = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "cluster_id string, at long").repartition(parts)
+        assert {r.cluster_id: r.n_blocks for r in va.blocks(df, "at").collect()} == want
+
+
+def test_prediction_files_are_checked(spark, tmp_path):
+    head = "\t".join(PREDICTION.fieldNames())
+    good = "d|c|1\td\tc\t1\t1\t1\t1\tACGT\tcompleted_nonempty"
+    path = tmp_path / "pred.tsv"
+    path.write_text(f"{head}\n{good}\n")
+    assert tsv.read_predictions(spark, str(path)).count() == 1
+    for text, why in (("", "empty_predictions"), (good + "\n" + good + "\n", "duplicate_cluster_id"), (good + "\nx\ty\n", "malformed_row"), (good + "\n" + head + "\n", "predictions") if False else (good + "\n" + good.replace("\tc\t", "\t\t") + "\n", "empty_cluster_id")):
+        path.write_text(f"{head}\n{text}")
+        with pytest.raises(ValueError, match=why):
+            tsv.read_predictions(spark, str(path))
+
+
+def test_header_as_data_and_keyed_truth(spark, tmp_path):
+    path = tmp_path / "truth.tsv"
+    path.write_text("row_key\tdataset_id\treference_sequence\nds|a|1\tds\tACGT\nshort\tds\tA\nrow_key\tdataset_id\treference_sequence\n")
+    rows = tsv.read_truth(spark, str(path)).collect()
+    assert [(r.cluster_id, r.sequence) for r in rows] == [("a", "ACGT"), (None, "A"), (None, "reference_sequence")]
+    assert {r.rule for r in va.truth_violations(tsv.read_truth(spark, str(path))).collect()} == {"empty_cluster_id", "duplicate_cluster_id"}
+
+
+def test_pairs(spark, tmp_path):
+    path = tmp_path / "pairs.tsv"
+    path.write_bytes("k\t\t\n\nm\tAN\tAA\nu\tä\ta\n".encode())
+    got = {r.key: (r.a_length, r.b_length, r.edit_distance) for r in ev.edit_distances(tsv.read_pairs(spark, str(path))).collect()}
+    assert got == {"k": (0, 0, 0), "m": (2, 2, 1), "u": (2, 1, 2)}  # bytes
+    for bad in (b"k\ta\tb\r\n", b"k\ta\n", b"k\ta\tb\tc\n", b"\ta\tb\n"):
+        path.write_bytes(bad)
+        with pytest.raises(Exception, match="expected a key"):
+            tsv.read_pairs(spark, str(path)).collect()
+
+
+def test_equal_starts_contexts_and_symmetric_ends(spark):
+    """Ties of every place go to the least sequence (fixed expectations)."""
+    rows = [("starts", 12, b * 12) for b in "ACGT"] * 2
+    rows += [("ends", 12, "ACGTACGTACG" + b) for b in "TGCA"] * 2
+    got = sequences(spark, rows)
+    assert (got["starts"][0], got["ends"][0]) == ("AAAAAAAAAAAA", "ACGTACGTACGA")
+    for threads in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", str(threads))
+        assert sequences(spark, rows[::-1]) == got
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_matrix(spark):
+    a = spark.createDataFrame([("d1", 1, 3), ("d1", 2, 4), ("d2", 1, 5), ("d9", 1, 0)], "dataset string, threads int, n int")
+    b = spark.createDataFrame([("d1", 1, 30), ("d2", 1, 50)], "dataset string, threads int, n int")
+    assert {tuple(r) for r in ev.matrix({"old": a, "new": b}, ["dataset", "threads"]).collect()} == {("d1", 1, 3, 30), ("d2", 1, 5, 50)}
+    axes = [spark.createDataFrame([("d1",), ("d2",)], "dataset string"), spark.createDataFrame([(1,), (2,)], "threads int")]
+    assert {tuple(r) for r in ev.matrix_differences(a, axes).collect()} == {("d2", 2, "missing"), ("d9", 1, "extra")}
+
+
 def test_differences_and_fingerprint(spark):
     a = spark.createDataFrame([("1", "A"), ("2", "C"), ("3", "G")], "cluster_id string, reconstructed_sequence string")
     b = spark.createDataFrame([("3", "T"), ("2", "C"), ("4", "G")], "cluster_id string, reconstructed_sequence string")
