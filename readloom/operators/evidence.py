@@ -19,10 +19,18 @@ def multiplicity(reads: DataFrame) -> DataFrame:
     return reads.select("cluster_id", "design_length", canonical("read_sequence").alias("seq")).groupBy("cluster_id", "design_length", "seq").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _size(least: int = 0) -> Column:
+    """The length of a counted read, null if under ``least``.
+
+    It depends on the count in form, so that filters by it stay behind the counting: pushed below it they would make
+    every read canonical twice.
+    """
+    return F.when((F.col("n") > 0) & (F.length("seq") >= least), F.length("seq"))
+
+
 def grams(mult: DataFrame, size: int) -> DataFrame:
     """``(cluster_id, seq, n, pos, gram)``: windows of ``size`` bases without N."""
-    some = mult.where(F.length("seq") >= size)
-    out = some.select("cluster_id", "seq", "n", F.explode(F.sequence(F.lit(1), F.length("seq") - size + 1)).alias("pos"))
+    out = mult.select("cluster_id", "seq", "n", F.explode(F.sequence(F.lit(1), _size(size) - size + 1)).alias("pos"))
     return out.withColumn("gram", F.substring("seq", F.col("pos"), F.lit(size))).where(~F.col("gram").contains("N"))
 
 
@@ -45,7 +53,7 @@ def terminals(mult: DataFrame, k: int) -> DataFrame:
     """``(cluster_id, seq, n, first, last)``: a read's first and last gram, for reads that have one.  No gram is exploded."""
     gram = f"[ACGT]{{{k}}}"
     both = mult.select("cluster_id", "seq", "n", F.regexp_extract("seq", gram, 0).alias("first"), F.regexp_extract("seq", f"^.*({gram})", 1).alias("last"))
-    return both.where("first <> ''")
+    return both.where("n > 0 and if(n > 0, first, '') <> ''")
 
 
 def starts(mult: DataFrame, k: int) -> DataFrame:
@@ -58,7 +66,7 @@ def ends(mult: DataFrame, k: int) -> DataFrame:
 
 def counters(mult: DataFrame, k: int, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """``(cluster_id, kind, gram, support)`` of several counters by one explosion of windows and one grouping."""
-    w, at = F.col("w"), mult.where(F.length("seq") >= k).select("cluster_id", "n", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("pos"))
+    w, at = F.col("w"), mult.select("cluster_id", "n", "seq", F.explode(F.sequence(F.lit(1), _size(k) - k + 1)).alias("pos"))
     context, edge = F.substring(w, 1, k), (F.length(w) == k + 1) & ~w.contains("N")
     said = {"node": (~F.substring(w, 1, k).contains("N"), context), "edge": (edge, w), "outgoing": (edge, context)}
     entry = lambda kind, ok, gram: F.struct(F.when(ok, F.lit(KINDS[kind])).alias("kind"), gram.alias("gram"))
@@ -98,7 +106,7 @@ def length_stats(reads: DataFrame) -> DataFrame:
 
 def most_frequent_read(mult: DataFrame, exact: bool = False) -> DataFrame:
     """The most frequent canonical read of each cluster, or of its design length; ties go to the least sequence."""
-    rows = mult.where(F.length("seq") == F.col("design_length")) if exact else mult
+    rows = mult.where(_size() == F.col("design_length")) if exact else mult
     best = rows.groupBy("cluster_id", "seq").agg(F.sum("n").alias("n")).groupBy("cluster_id").agg(F.max("n").alias("n"), F.min(F.struct((-F.col("n")).alias("m"), F.col("seq").alias("seq"))).alias("best"))
     return best.select("cluster_id", F.col("best.seq").alias("seq"), "n")
 
