@@ -31,7 +31,8 @@ def _size(least: int = 0) -> Column:
 def grams(mult: DataFrame, size: int) -> DataFrame:
     """``(cluster_id, seq, n, pos, gram)``: windows of ``size`` bases without N."""
     out = mult.select("cluster_id", "seq", "n", F.explode(F.sequence(F.lit(1), _size(size) - size + 1)).alias("pos"))
-    return out.withColumn("gram", F.substring("seq", F.col("pos"), F.lit(size))).where(~F.col("gram").contains("N"))
+    # as a coalesce: from a plain predicate a check of ``seq`` for nulls would be inferred, and pushed below the counting
+    return out.withColumn("gram", F.substring("seq", F.col("pos"), F.lit(size))).where(F.coalesce(~F.col("gram").contains("N"), F.lit(False)))
 
 
 def nodes(mult: DataFrame, k: int) -> DataFrame:
