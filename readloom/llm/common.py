@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder under ``spark.checkpoint.dir`` that all executors share.
 
-    Only where that setting is missing (local tests) a temporary folder of this machine is used.
+    Only where that setting is missing and the master is local (tests) a temporary folder of this machine is used.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("readloom.local.dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="readloom-")

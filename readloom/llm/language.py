@@ -219,7 +219,7 @@ class Scorer:
         return out
 
 
-SCORED = "doc_id long, held_out boolean, lang string, lang_pred string, score double, cross_entropy double, n_letters long"
+SCORED = "doc_id long, held_out boolean, lang string, lang_pred string, score double, cross_entropy double, n_letters long, text_key long"
 
 
 def _score(model: Parts | None):
@@ -243,7 +243,7 @@ def _score(model: Parts | None):
                     gap = np.partition(each, 1, axis=1)[:, 1] - each.min(axis=1) if each.shape[1] > 1 else np.full(len(some), np.inf)
                     score[some] = 1 - 0.5 * np.exp(-gap * np.sqrt(many[some]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), part.column("lang"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(xent, from_pandas=True), pa.array(many.astype(np.int64))],
+                    [part.column("doc_id"), part.column("held_out"), part.column("lang"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(xent, from_pandas=True), pa.array(many.astype(np.int64)), part.column("text_key")],
                     names=[c.split()[0] for c in SCORED.split(", ")],
                 )
 
@@ -301,12 +301,12 @@ def _scored(docs: DataFrame) -> DataFrame:
     """``predict`` with the label ``lang``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.coalesce(held_out(F.col("doc_id").cast("long")), F.lit(True)).alias("held_out"))
     model = learn(rows.where("not held_out"))
-    return map_arrow(rows.select("doc_id", "text", "lang", "held_out"), _score(model), SCORED)
+    return map_arrow(rows.select("doc_id", "text", "lang", "held_out", F.xxhash64("text").alias("text_key")), _score(model), SCORED)
 
 
 def predict(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, lang, ...)`` -> ``(doc_id, held_out, lang_pred, score, cross_entropy, n_letters)`` for every row."""
-    return _scored(docs).drop("lang")
+    return _scored(docs).drop("lang", "text_key")
 
 
 def accepted(docs: DataFrame, width: float = 6.0) -> DataFrame:
@@ -318,6 +318,8 @@ def accepted(docs: DataFrame, width: float = 6.0) -> DataFrame:
     above the median as long as it is less than half of a language's rows, the spread below it feels little.  A language
     with fewer than ``LEAST_ROWS`` such rows has the widest limit of the others; where none has that many, the limit of
     all held-out labelled rows together, and without any of them, none.
+
+    ``text_key`` is xxhash64 of the text: with doc_id it tells which row an answer is for, also where ids are null or repeated.
     """
     scored = staged(_scored(docs), "languages")
     at = F.percentile_approx("cross_entropy", F.array(F.lit(0.1), F.lit(0.5)), 10000)

@@ -534,7 +534,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, masked string"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, masked string, text_key long"
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -563,12 +563,15 @@ def _find(shared):
                     rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_), sum(k == 4 for k, _, _ in all_), hidden))
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string()]
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=[c.split()[0] for c in FOUND.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, part.column("text_key")], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
 def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> counts, digests, spans and the masked text of every row."""
+    """``docs(doc_id, text, ...)`` -> counts, digests, spans and the masked text of every row.
+
+    ``text_key`` is xxhash64 of the text: with doc_id it tells which row an answer is for, also where ids are null or repeated.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if weights is None else weights)  # BUCKETS rows
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _find(shared), FOUND)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")), _find(shared), FOUND)

@@ -16,7 +16,7 @@ def tokenizer_path() -> str:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents")).drop("masked")
+    return pii.find(table(spark, sf_dir, "documents")).drop("masked", "text_key")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.accepted(table(spark, sf_dir, "documents"))
+    return language.accepted(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,27 @@ def test_pii_stage(spark, sf, docs):
     assert all(tuple(got[i]) == tuple(before[i]) for i in clean)
 
 
+def test_null_and_repeated_ids(spark, sf, docs):
+    """Rows are told apart by their texts where ids don't do so."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").first().text
+    secret = "write to joe.bloggs@mail.example.com now"
+    good = [r.text for r in docs.where("lang = 'en' and length(text) > 200").orderBy("doc_id").limit(4).collect()]
+    i = 4 * 10**6
+    more = [(None, good[0]), (None, "12 34 !!"), (None, item), (None, secret), (i, good[1]), (i, "56 78"), (i + 1, item), (i + 1, good[2]), (i + 2, secret), (i + 2, good[3])]
+    odd = spark.createDataFrame([(d, t, None, "s", len(t), "a", "b") for d, t in more], docs.schema)
+    both = docs.unionByName(odd)
+    pick = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.where(f"doc_id is null or doc_id >= {i}").collect()))
+    of = lambda keep: sorted((d or 0, t) for d, t in more if keep(t))
+    kept = pick(cp.language_id(spark, both, sf))
+    assert all((d, t) not in kept for d, t in ((0, "12 34 !!"), (i, "56 78"))) and {(0, good[0]), (i, good[1]), (i + 1, good[2]), (i + 2, good[3])} <= set(kept)
+    assert pick(cp.decontamination(spark, both, sf)) == of(lambda t: t != item)
+    shown = {t: cp.pii.masked(t, cp.pii.base_spans(t)) for _, t in more if "@" in t}
+    got = pick(cp.hide_pii(spark, both, sf))
+    assert [x for x in got if x[1] in shown.values()] == sorted((d or 0, shown[t]) for d, t in more if t in shown) and len(got) == len(more)
+    twice = odd.where("doc_id is null").unionByName(odd.where("doc_id is null"))
+    assert pick(cp.near_dedup(spark, twice, sf)) == sorted((0, t) for d, t in more if d is None)
+
+
 def test_run(spark, sf):
     out = cp.run(spark, sf)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
