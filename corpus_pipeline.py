@@ -1,12 +1,14 @@
 """Corpus pipeline: documents to packed training sequences, each stage by one training-data operator.
 
-Stages but the last return the columns of ``documents``, for the rows that stay.  Rows that repeat a doc_id stay once
-after the first stage.  An empty table passes through as an empty one.
+Stages but the last return the columns of ``documents``, for the rows that stay.  Wholly equal rows stay once after
+near-dedup.  Rows with null or repeated doc_ids are judged as each stage says.  An empty table passes through as an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import decontaminate, language, minhash, packing, pii
@@ -19,33 +21,58 @@ SHINGLE, SIMILAR = 5, 80
 PASSAGE = 10
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept``."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``docs`` has."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def _same(docs: DataFrame, found: DataFrame, on: dict[str, Column], *more: str) -> tuple[DataFrame, Column]:
+    """``found`` with its columns ``on`` renamed, once for each value of them, and the condition, true of nulls too, that joins it to ``docs``."""
+    names = {c: _free(docs, f"_found_{c}") for c in on}
+    right = found.select(*[F.col(c).alias(n) for c, n in names.items()], *more).dropDuplicates(list(names.values()))
+    return right, reduce(lambda x, y: x & y, [e.eqNullSafe(F.col(names[c])) for c, e in on.items()])
+
+
+def _without(docs: DataFrame, found: DataFrame, **on: Column) -> DataFrame:
+    """Rows of ``docs`` whose values ``on`` no row of ``found`` has."""
+    right, same = _same(docs, found, on)
+    return docs.join(right, same, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language models accept."""
-    return _only(docs, language.accepted(docs).where("accepted")).dropDuplicates(["doc_id"])
+    """Rows whose text the language models accept, each by itself, also where doc_ids are null or repeated."""
+    rejected = language.accepted(docs).where("not accepted")
+    return _without(docs, rejected, doc_id=F.col("doc_id").cast("long"), text_key=_text_key())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
-    return _only(docs, minhash.near_duplicates(docs, SHINGLE, SIMILAR).where("kept"))
+    """One document, that of the smallest doc_id, of each group of near duplicates.
+
+    Wholly equal rows stay once.  Rows that share a doc_id are one document with several texts, which goes as a whole when
+    one of them has a near duplicate of a smaller doc_id.  Rows without a doc_id can't be ranked and stay.
+    """
+    return _without(docs, minhash.near_duplicates(docs, SHINGLE, SIMILAR).where("not kept"), doc_id=F.col("doc_id").cast("long")).distinct()
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return _only(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), PASSAGE).where("not contaminated"))
+    """Rows whose text has no passage of the benchmark; texts go by their xxhash64, so that null and repeated doc_ids matter nothing."""
+    texts = docs.select(_text_key().alias("doc_id"), "text")
+    hit = decontaminate.contamination(texts, table(spark, sf_dir, "benchmark"), PASSAGE).where("contaminated")
+    return _without(docs, hit, doc_id=_text_key())
 
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; personal data in their texts gives way to its kind, and n_chars follows."""
-    new = "_masked"
-    while new in docs.columns:
-        new += "_"
-    found = staged(pii.find(docs).where("spans <> ''").select("doc_id", F.col("masked").alias(new)), "masked")
-    hidden = docs.join(found.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("text", F.coalesce(new, "text"))
+    """All rows; personal data in their texts gives way to its kind, and n_chars follows.  Null and repeated doc_ids are told apart by text."""
+    new = _free(docs, "_masked")
+    found = staged(pii.find(docs).where("spans <> ''").select("doc_id", "text_key", F.col("masked").alias(new)), "masked")
+    right, same = _same(docs, found, {"doc_id": F.col("doc_id").cast("long"), "text_key": _text_key()}, new)
+    hidden = docs.join(right, same, "left").withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in docs.columns:
         hidden = hidden.withColumn("n_chars", F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return hidden.select(*docs.columns)
