@@ -6,6 +6,7 @@ near-dedup.  Rows with null or repeated doc_ids are judged as each stage says.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,10 +55,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near duplicates.
 
-    Wholly equal rows stay once.  Rows that share a doc_id are one document with several texts, which goes as a whole when
-    one of them has a near duplicate of a smaller doc_id.  Rows without a doc_id can't be ranked and stay.
+    Rows that are equal but for columns of maps, which can't be compared, stay once.  Rows that share a doc_id are one
+    document with several texts, which goes as a whole when one of them has a near duplicate of a smaller doc_id.  Rows
+    without a doc_id can't be ranked and stay.
     """
-    return _without(docs, minhash.near_duplicates(docs, SHINGLE, SIMILAR).where("not kept"), doc_id=F.col("doc_id").cast("long")).distinct()
+    left = _without(docs, minhash.near_duplicates(docs, SHINGLE, SIMILAR).where("not kept"), doc_id=F.col("doc_id").cast("long"))
+    return left.dropDuplicates([f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
