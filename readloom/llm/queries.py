@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import decontaminate, language, licenses, minhash, packing, pii, quality, sharding, substring, warc
+from readloom.llm import decontaminate, language, licenses, minhash, packing, pii, quality, sharding, substring, vectors, warc, whitening
 from readloom.llm.common import table
 
 
@@ -65,7 +65,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_minhash, op3_licenses, op4_language, op5_substring, op6_warc, op7_decontaminate, op8_sharding, op9_quality, op10_packing)}
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_minhash, op3_licenses, op4_language, op5_substring, op6_warc, op7_decontaminate, op8_sharding, op9_quality, op10_packing, op11_vectors, op12_whitening)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^ \t\n\v\f\r]+'"
@@ -151,4 +159,14 @@ SELECT j.doc_id, j.path, own_license, own_score, license_file, coalesce(own_lice
 FROM j LEFT JOIN home a ON a.dir = j.dir LEFT JOIN home b ON b.dir = j.top
 """
 
-ORACLE_SQL = {"op2_minhash": _OP2, "op3_licenses": _OP3, "op5_substring": _OP5, "op6_warc": _OP6, "op7_decontaminate": _OP7}
+_OP11 = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r(vec_id, node) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.node),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+FROM e JOIN (SELECT vec_id, min(node) AS c FROM r GROUP BY vec_id) m ON m.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id
+"""
+
+ORACLE_SQL = {"op2_minhash": _OP2, "op3_licenses": _OP3, "op5_substring": _OP5, "op6_warc": _OP6, "op7_decontaminate": _OP7, "op11_vectors": _OP11}
