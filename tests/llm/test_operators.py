@@ -29,7 +29,7 @@ ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "word"), (6, "Straße
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     return c
 
