@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.evidence import KINDS, counters, multiplicity
-from readloom.functions.columns import code
+from readloom.operators.evidence import KINDS, READ, counters, multiplicity
 from readloom.schema import Config
 
 SPLIT = 50_000
@@ -342,14 +341,35 @@ def _gathered(mult: DataFrame) -> DataFrame:
     return mult.groupBy("cluster_id", "design_length").agg(F.collect_list(F.struct("seq", "n")).alias("reads"))
 
 
+#: Counters that decoding needs.
+DECODING = ("edge", "start", "end")
+
+
+def shaped(rows: DataFrame) -> DataFrame:
+    """Rows of ``counters(..., DECODING, reads=True)`` with ``design_length``, by cluster, as the decoder takes them.
+
+    At most 4^(k+1) grams a cluster, however many reads it has, and a row for each length of its reads.
+    """
+    read = F.col("kind") == READ
+    slot = F.when(read, F.length("seq")).otherwise(F.lit(-1))
+    gram = F.when(~read, F.struct("kind", "code", "support"))
+    best = F.min(F.when(read, F.struct((-F.col("support")).alias("m"), F.col("seq").alias("seq"))))
+    by = rows.groupBy("cluster_id", slot.alias("len")).agg(F.max("design_length").alias("design_length"), F.collect_list(gram).alias("grams"), F.sum(F.when(read, F.col("support"))).alias("n"), best.alias("best"))
+    length = F.when(F.col("len") >= 0, F.struct("len", "n", (-F.col("best.m")).alias("most"), F.col("best.seq").alias("seq")))
+    return by.groupBy("cluster_id").agg(F.max("design_length").alias("design_length"), F.collect_list(length).alias("lengths"), F.flatten(F.collect_list("grams")).alias("grams"))
+
+
 def _ledgers(mult: DataFrame, k: int) -> DataFrame:
-    """One row a cluster, with its summed evidence: at most 4^(k+1) grams, however many reads it has, and a row for each length."""
-    grams = counters(mult, k, ("edge", "start", "end")).groupBy("cluster_id").agg(F.collect_list(F.struct("kind", code(F.col("gram")).alias("code"), "support")).alias("grams"))
-    by_length = mult.groupBy("cluster_id", F.length("seq").alias("len")).agg(F.max("design_length").alias("design_length"), F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("m"), "seq")).alias("best"))
-    rows = F.struct("len", "n", (-F.col("best.m")).alias("most"), F.col("best.seq").alias("seq"))
-    lengths = by_length.groupBy("cluster_id").agg(F.max("design_length").alias("design_length"), F.collect_list(rows).alias("lengths"))
-    none = F.array().cast("array<struct<kind:int,code:bigint,support:bigint>>")
-    return lengths.join(grams, "cluster_id", "left").withColumn("grams", F.coalesce("grams", none))
+    """One row a cluster, with its summed evidence."""
+    # a cluster has one design length; it rides on the name, so that the counters know of none
+    named = mult.withColumn("cluster_id", F.struct("cluster_id", "design_length"))
+    rows = counters(named, k, DECODING, reads=True)
+    return shaped(rows.select("cluster_id.cluster_id", "cluster_id.design_length", "kind", "code", "seq", "support"))
+
+
+def decode_ledger(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Decode summed counters ``(cluster_id, design_length, kind, code, seq, support)``, as of ``DECODING`` and reads."""
+    return shaped(rows).mapInArrow(_decode(cfg, "decode", True), DECODED)
 
 
 def _run(reads: DataFrame, cfg: Config, what: str, ddl: str, split: int | None) -> DataFrame:

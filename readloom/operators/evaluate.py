@@ -7,15 +7,12 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _bytes(c: str):
-    """A text as one character for each byte of its UTF-8, so that lengths and distances are those of bytes."""
-    return F.when(F.octet_length(c) == F.length(c), F.col(c)).otherwise(F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1"))
+from readloom.functions.distance import edit_distance
 
 
 def evaluate(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """``pred(cluster_id, reconstructed_sequence)`` and ``truth(cluster_id, sequence)`` -> a row for each cluster of both."""
-    ed = F.levenshtein(_bytes("reconstructed_sequence"), _bytes("sequence"))
+    ed = edit_distance("reconstructed_sequence", "sequence")
     both = pred.select("cluster_id", "reconstructed_sequence").join(truth.select("cluster_id", "sequence"), "cluster_id")
     rows = both.select("cluster_id", F.octet_length("reconstructed_sequence").alias("pred_length"), F.octet_length("sequence").alias("truth_length"), ed.alias("edit_distance"))
     return rows.withColumn("exact", (F.col("edit_distance") == 0).cast("int")).withColumn("normalized_accuracy", 1.0 - F.col("edit_distance") / F.greatest(F.lit(1), "truth_length"))
@@ -34,11 +31,11 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def edit_distances(pairs: DataFrame) -> DataFrame:
-    """``(key, a, b)`` -> lengths and distance in bytes; an empty or null key, or a null side, is an error."""
+def edit_distances(pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """``(key, a, b)`` -> lengths and distance in bytes, -1 beyond ``most``; an empty or null key, or a null side, is an error."""
     bad = (F.coalesce("key", F.lit("")) == "") | F.col("a").isNull() | F.col("b").isNull()
     key = F.when(bad, F.raise_error(F.lit("expected a key and two sequences"))).otherwise(F.col("key"))
-    return pairs.select(key.alias("key"), F.octet_length("a").alias("a_length"), F.octet_length("b").alias("b_length"), F.levenshtein(_bytes("a"), _bytes("b")).alias("edit_distance"))
+    return pairs.select(key.alias("key"), F.octet_length("a").alias("a_length"), F.octet_length("b").alias("b_length"), edit_distance("a", "b", most).alias("edit_distance"))
 
 
 def fingerprint(pred: DataFrame) -> DataFrame:

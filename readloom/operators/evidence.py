@@ -1,7 +1,7 @@
 """Additive evidence of clustered reads.  Native DataFrame aggregations, partial before every shuffle.
 
 All counters are linear in the number of equal reads, so equal reads are one row with a multiplicity before their grams
-are taken.  Grams stay strings (their order is that of their codes); ``codes`` turns them to numbers.
+are taken.  Single counters have grams as strings (their order is that of their codes), ledgers as 2-bit codes.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from readloom.functions.columns import canonical, code
 
 KINDS = {"node": 0, "edge": 1, "outgoing": 2, "start": 3, "end": 4}
+#: The kind of reads themselves among counters.
+READ = 5
 
 
 def multiplicity(reads: DataFrame) -> DataFrame:
@@ -65,23 +67,53 @@ def ends(mult: DataFrame, k: int) -> DataFrame:
     return terminals(mult, k).groupBy("cluster_id", F.col("last").alias("context")).agg(F.sum("n").alias("support"))
 
 
-def counters(mult: DataFrame, k: int, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
-    """``(cluster_id, kind, gram, support)`` of several counters by one explosion of windows and one grouping."""
-    w, at = F.col("w"), mult.select("cluster_id", "n", "seq", F.explode(F.sequence(F.lit(1), _size(k) - k + 1)).alias("pos"))
-    context, edge = F.substring(w, 1, k), (F.length(w) == k + 1) & ~w.contains("N")
-    said = {"node": (~F.substring(w, 1, k).contains("N"), context), "edge": (edge, w), "outgoing": (edge, context)}
-    entry = lambda kind, ok, gram: F.struct(F.when(ok, F.lit(KINDS[kind])).alias("kind"), gram.alias("gram"))
-    inner = at.select("cluster_id", "n", F.substring("seq", F.col("pos"), F.lit(k + 1)).alias("w"))
-    parts = inner.select("cluster_id", "n", F.inline(F.array(*[entry(x, *said[x]) for x in kinds if x in said])))
-    ends_ = [entry(x, F.lit(True), F.col(c)) for x, c in (("start", "first"), ("end", "last")) if x in kinds]
-    if ends_:
-        parts = parts.unionByName(terminals(mult, k).select("cluster_id", "n", F.inline(F.array(*ends_))))
-    return parts.where("kind is not null").groupBy("cluster_id", "kind", "gram").agg(F.sum("n").alias("support"))
+#: Bases whose 2-bit codes fit a long.
+PACK = 31
+
+
+def counters(mult: DataFrame, k: int, kinds: tuple[str, ...] = tuple(KINDS), reads: bool = False) -> DataFrame:
+    """``(cluster_id, kind, code, support)`` of several counters by one explosion and one grouping.
+
+    Reads are packed ``PACK`` bases at a time, two bits a base; the codes of all grams that begin in a pack are shifts of
+    its number, so no gram is ever a text.  ``reads``: the reads themselves too, as kind ``READ`` with a column ``seq``.
+    """
+    step = PACK - k  # every pack holds the base behind each gram that begins in it
+    ends_ = [x for x in ("start", "end") if x in kinds]
+    gram = f"[ACGT]{{{k}}}"
+    both = {"start": F.regexp_extract("seq", gram, 0), "end": F.regexp_extract("seq", f"^.*({gram})", 1)}
+    base = mult.select("cluster_id", "seq", "n", *[F.when(F.col("n") > 0, both[x]).alias(f"_{x}") for x in ends_])
+    base = base.select("cluster_id", "seq", "n", *[F.when(F.col(f"_{x}") != "", code(F.col(f"_{x}"))).alias(f"_{x}") for x in ends_])
+    # places below 1 stand for what a read has once; the others are where packs begin
+    once = [F.when(F.col(f"_{x}").isNotNull(), F.lit(-KINDS[x])) for x in ends_] + ([F.lit(-READ)] if reads else [])
+    packs = F.when(_size(k).isNotNull(), F.sequence(F.lit(1), _size(k) - k + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    at = base.withColumn("at", F.explode(F.concat(F.array_compact(F.array(*once)), packs) if once else packs))
+    text = F.substring("seq", F.col("at"), F.lit(PACK))
+    number = lambda digits: F.conv(F.translate(F.col("text"), "ACGTN", digits), 4, 10).cast("long")
+    pack = at.withColumn("text", F.when(F.col("at") > 0, text))
+    pack = pack.withColumns({"bits": number("01230"), "bad": F.when(F.col("text").contains("N"), number("00003")).otherwise(F.lit(0)), "size": F.coalesce(F.length("text"), F.lit(k))})
+    offsets = F.sequence(F.lit(0), F.least(F.lit(step), F.col("size") - k + 1) - 1)
+    keep = ["cluster_id", "n", "at", "bits", "bad", "size", *[f"_{x}" for x in ends_], *(["seq"] if reads else [])]
+    each = pack.select(*keep, F.explode(offsets).alias("o"))
+    # the gram behind offset o lies that many bits above the pack's end
+    bits = lambda c, w: F.expr(f"shiftright({c}, CAST(2 * (size - o - {w}) AS INT)) & {(1 << (2 * w)) - 1}L")
+    inner, edge = F.col("at") > 0, (F.col("size") - F.col("o") > k)
+    whole_edge = inner & edge & (F.when(edge, bits("bad", k + 1)).otherwise(F.lit(1)) == 0)
+    context = bits("bits", k)
+    said = {"node": (inner & (bits("bad", k) == 0), context), "edge": (whole_edge, F.when(edge, bits("bits", k + 1))), "outgoing": (whole_edge, context)}
+    text_of = lambda c: [c.alias("seq")] if reads else []
+    entry = lambda kind, ok, c: F.struct(F.when(ok, F.lit(KINDS[kind])).alias("kind"), c.alias("code"), *text_of(F.lit(None).cast("string")))
+    entries = [entry(x, *said[x]) for x in kinds if x in said]
+    if once:
+        kind = -F.col("at")
+        own = F.coalesce(*[F.when(kind == KINDS[x], F.col(f"_{x}")) for x in ends_], F.lit(0).cast("long"))
+        entries.append(F.struct(F.when(~inner, kind).alias("kind"), own.alias("code"), *text_of(F.when(kind == READ, F.col("seq")))))
+    parts = each.select("cluster_id", "n", F.inline(F.array(*entries))).where("kind is not null")
+    return parts.groupBy("cluster_id", "kind", "code", *(["seq"] if reads else [])).agg(F.sum("n").alias("support"))
 
 
 def ledger(mult: DataFrame, k: int) -> DataFrame:
     """All counters in long form: ``(cluster_id, kind, code, support)``."""
-    return counters(mult, k).select("cluster_id", "kind", code(F.col("gram")).alias("code"), "support")
+    return counters(mult, k)
 
 
 def merge(*ledgers: DataFrame) -> DataFrame:
