@@ -374,6 +374,8 @@ def decode_ledger(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def _run(reads: DataFrame, cfg: Config, what: str, ddl: str, split: int | None) -> DataFrame:
     mult = multiplicity(reads)
+    if split is not None and split <= 0:  # every cluster has a read
+        return _ledgers(mult, cfg.k).mapInArrow(_decode(cfg, what, True), ddl)
     # asks for one answer, yes or no, after partial counts: without large clusters the plan has one branch and one shuffle
     if split is None or reads.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).isEmpty():
         return _gathered(mult).mapInArrow(_decode(cfg, what, False), ddl)

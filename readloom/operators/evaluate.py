@@ -18,9 +18,9 @@ def evaluate(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.withColumn("exact", (F.col("edit_distance") == 0).cast("int")).withColumn("normalized_accuracy", 1.0 - F.col("edit_distance") / F.greatest(F.lit(1), "truth_length"))
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """Rate of exact results, accuracy, distances: one row."""
-    return rows.agg(
+def summary(rows: DataFrame, *by: str) -> DataFrame:
+    """Rate of exact results, accuracy, distances: one row, or one for each value of ``by``."""
+    return rows.groupBy(*by).agg(
         F.avg(F.col("exact").cast("double")).alias("exact"),
         F.avg("normalized_accuracy").alias("accuracy"),
         F.avg(F.col("edit_distance").cast("double")).alias("mean_ed"),

@@ -12,6 +12,7 @@ from readloom.operators import decode as de
 from readloom.operators import evaluate as ev
 from readloom.operators import evidence as e
 from readloom.operators import order as od
+from readloom.operators import store
 from readloom.operators import validate as va
 from readloom.plans.staging import scratch
 from readloom.schema import READS, Config
@@ -229,6 +230,16 @@ def reconstruct_from_ledger(spark, d):
     return de.decode(reads(spark, d), split=0).select("cluster_id", "sequence", "family")
 
 
+@_query(f"{_beam_sql(Config())} SELECT cluster_id, sequence, family FROM chosen")
+def reconstruct_from_store(spark, d):
+    """Both halves of the reads stored one after the other, then decoded from what is stored."""
+    r, path = reads(spark, d), scratch(spark, "ledger")
+    half = F.pmod(F.xxhash64("read_id"), F.lit(2))
+    for i in range(2):
+        store.append(r.where(half == i), path, i, parts=8)
+    return store.decode_stored(spark, path).select("cluster_id", "sequence", "family")
+
+
 @_query(f"{_beam_sql(Config())} SELECT cluster_id, len AS length, path AS sequence FROM beam WHERE len > {K}")
 def beam_frontier(spark, d):
     return de.frontier(reads(spark, d)).select("cluster_id", "length", "sequence")
@@ -260,6 +271,11 @@ ed AS (SELECT pred.cluster_id, CAST(length(reconstructed_sequence) AS INT) AS pr
 evl AS (SELECT *, CAST(edit_distance = 0 AS INT) AS exact, 1.0 - CAST(edit_distance AS DOUBLE) / greatest(1, truth_length) AS normalized_accuracy FROM ed)"""
 
 
+#: Reconstructed clusters with the names of their families, for the jobs.
+RECONSTRUCTED = f"""WITH RECURSIVE {_beam_sql(Config())} SELECT cluster_id, {LENGTH} AS design_length, reads AS total_reads, sequence,
+  CASE family {" ".join(f"WHEN {i} THEN '{x}'" for i, x in de.FAMILIES.items())} END AS family FROM chosen JOIN stat USING (cluster_id)"""
+
+
 def _pred(spark, d) -> DataFrame:
     return de.predictions(de.decode(reads(spark, d)), "events")
 
@@ -295,6 +311,12 @@ def edit_distance(spark, d):
     return ev.edit_distances(reads(spark, d).select(F.col("read_id").alias("key"), C.canonical("read_sequence").alias("a"), F.col("truth").alias("b")))
 
 
+@_query(f"{_READS}, x AS (SELECT read_id, CAST(length(seq) AS INT) AS a_length, CAST(length(truth) AS INT) AS b_length, CAST(levenshtein(seq, truth) AS INT) AS x FROM c) SELECT read_id AS key, a_length, b_length, CASE WHEN x <= 1 THEN x ELSE -1 END AS edit_distance FROM x")
+def edit_distance_limited(spark, d):
+    """Reads within one edit of their template; -1 for others."""
+    return ev.edit_distances(reads(spark, d).select(F.col("read_id").alias("key"), C.canonical("read_sequence").alias("a"), F.col("truth").alias("b")), 1)
+
+
 _DROPPED = "CAST(cluster_id AS BIGINT) % 7"
 
 

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import columns as C
+from readloom.functions.distance import distances
 from readloom.operators import evaluate as ev
 from readloom.operators import evidence as e
 from readloom.operators import order as od
@@ -233,7 +235,7 @@ def test_prediction_files_are_checked(spark, tmp_path):
     path = tmp_path / "pred.tsv"
     path.write_text(f"{head}\n{good}\n")
     assert tsv.read_predictions(spark, str(path)).count() == 1
-    for text, why in (("", "empty_predictions"), (good + "\n" + good + "\n", "duplicate_cluster_id"), (good + "\nx\ty\n", "malformed_row"), (good + "\n" + head + "\n", "predictions") if False else (good + "\n" + good.replace("\tc\t", "\t\t") + "\n", "empty_cluster_id")):
+    for text, why in (("", "empty_predictions"), (good + "\n" + good + "\n", "duplicate_cluster_id"), (good + "\nx\ty\n", "malformed_row"), (good + "\n" + good.replace("\tc\t", "\t\t") + "\n", "empty_cluster_id")):
         path.write_text(f"{head}\n{text}")
         with pytest.raises(ValueError, match=why):
             tsv.read_predictions(spark, str(path))
@@ -283,3 +285,65 @@ def test_differences_and_fingerprint(spark):
     b = spark.createDataFrame([("3", "T"), ("2", "C"), ("4", "G")], "cluster_id string, reconstructed_sequence string")
     assert {tuple(r) for r in ev.differences(a, b).collect()} == {("1", "missing"), ("3", "changed"), ("4", "extra")}
     assert ev.fingerprint(a).first() == ev.fingerprint(a.orderBy(F.desc("cluster_id"))).first() != ev.fingerprint(b).first()
+
+
+def _full_table(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_distances_against_full_tables():
+    """Random pairs about the words' borders, near and far ones, with and without limits."""
+    rng = random.Random(11)
+    some = lambda n: bytes(rng.choice(b"ACGT\xff\x00") for _ in range(n))
+    pairs = [(b"", b""), (b"", b"A"), (b"A" * 65, b"A" * 64), (b"A" * 64, b"T" * 64), (b"AN", b"AA"), (b"acgt", b"ACGT")]
+    for _ in range(256):
+        a = some(rng.choice([0, 1, 2, 30, 63, 64, 65, 127, 128, 129, 200, 260]))
+        b = bytearray(a)
+        for _ in range(rng.choice([0, 1, 3, 20])):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = some(rng.randint(0, 2))
+        pairs.append((a, bytes(b)) if rng.random() < 0.7 else (a, some(rng.choice([0, 1, 64, 100, 190]))))
+    left, right = zip(*pairs)
+    want = [_full_table(a, b) for a, b in pairs]
+    assert distances(left, right) == want == distances(right, left)
+    for most in (0, 1, 2, 7, 40, 64, 65, 150, 400):
+        assert distances(left, right, most) == [d if d <= most else -1 for d in want]
+    assert distances([None, b"a", None], [b"a", None, None]) == [None] * 3 and distances([], []) == []
+
+
+def test_distance_of_long_sequences():
+    """Two of 100,000 bases with known edits, alone and among short ones: seconds, where a full table has 10^10 cells."""
+    rng = random.Random(5)
+    a = bytes(rng.choice(b"ACGT") for _ in range(100_000))
+    b = a[:1000] + b"NN" + a[1000:50_000] + a[50_003:99_000] + b"N" + a[99_001:]
+    assert distances([a, b"AC"], [b, b"AG"], 50) == [6, 1] and distances([a], [b], 5) == [-1]
+    assert distances([a], [b]) == [6]
+
+
+def test_packed_counters_equal_single_ones(spark):
+    """Reads about the packs' length, with N anywhere, for the least and the largest context."""
+    rng = random.Random(7)
+    reads = [("c%d" % (i % 3), 40, "".join(rng.choices("ACGTN", [9, 9, 9, 9, 1], k=rng.choice([1, 4, 5, 6, 14, 15, 16, 30, 31, 32, 33, 47, 62, 63, 90])))) for i in range(400)] + [("n", 40, "N" * 70), ("n", 40, "ACG")]
+    mult = e.multiplicity(spark.createDataFrame(reads, "cluster_id string, design_length int, read_sequence string"))
+    for k in (5, 9, 15):
+        want = Counter()
+        for cluster, _, seq in reads:
+            whole = [i for i in range(len(seq) - k + 1) if "N" not in seq[i : i + k]]
+            value = lambda s: int(s.translate(str.maketrans("ACGT", "0123")), 4)
+            for i in whole:
+                want[cluster, 0, value(seq[i : i + k])] += 1
+                if i + k < len(seq) and seq[i + k] != "N":
+                    want[cluster, 1, value(seq[i : i + k + 1])] += 1
+                    want[cluster, 2, value(seq[i : i + k])] += 1
+            if whole:
+                want[cluster, 3, value(seq[whole[0] : whole[0] + k])] += 1
+                want[cluster, 4, value(seq[whole[-1] : whole[-1] + k])] += 1
+        assert {(r.cluster_id, r.kind, r.code): r.support for r in e.ledger(mult, k).collect()} == want
+        own = e.counters(mult, k, ("edge",), reads=True).where("kind = 5").collect()
+        assert {(r.cluster_id, r.seq): r.support for r in own} == Counter((c, s) for c, _, s in reads)
