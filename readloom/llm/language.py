@@ -254,6 +254,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
+def _fold(doc_id: Column) -> Column:
+    """A fifth of the rows that may be learned from; the model doesn't see it, and limits are learned from it alone."""
+    return ~F.coalesce(held_out(doc_id), F.lit(True)) & (F.floor(F.crc32(doc_id.cast("string")) / 3) % 5 == 0)
+
+
 def learn(docs: DataFrame) -> Parts | None:
     """The model of all rows of ``docs(lang, text)`` with a language."""
     counted = map_arrow(docs.where("lang is not null and text is not null").select("lang", "text"), _count, "lang string, gram long, n long")
@@ -300,7 +305,7 @@ def _arrays(table: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray,
 def _scored(docs: DataFrame) -> DataFrame:
     """``predict`` with the label ``lang``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.coalesce(held_out(F.col("doc_id").cast("long")), F.lit(True)).alias("held_out"))
-    model = learn(rows.where("not held_out"))
+    model = learn(rows.where(~F.col("held_out") & ~_fold(F.col("doc_id"))))
     return map_arrow(rows.select("doc_id", "text", "lang", "held_out", F.xxhash64("text").alias("text_key")), _score(model), SCORED)
 
 
@@ -312,18 +317,19 @@ def predict(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, width: float = 6.0) -> DataFrame:
     """``predict`` with ``accepted`` and a calibrated score: has letters, and a cross-entropy within ``width`` times its language's own spread.
 
-    A language's limit is calibrated on the held-out rows that are labelled with it and predicted as it: their median plus
+    A language's limit is calibrated on a fifth of the rows that aren't held out, which the model hasn't learned from: those
+    labelled with it and predicted as it.  It is their median plus
     ``width`` times the distance from the 10th percentile up to it, plus an allowance for short texts that falls with the
     root of their length.  Rows without a label never move a limit, however many they are.  Of labelled junk, which lies
     above the median as long as it is less than half of a language's rows, the spread below it feels little.  A language
     with fewer than ``LEAST_ROWS`` such rows has the widest limit of the others; where none has that many, the limit of
-    all held-out labelled rows together, and without any of them, none.
+    all such rows together, and without any of them, none.  No held-out row's label is read.
 
     ``text_key`` is xxhash64 of the text: with doc_id it tells which row an answer is for, also where ids are null or repeated.
     """
     scored = staged(_scored(docs), "languages")
     at = F.percentile_approx("cross_entropy", F.array(F.lit(0.1), F.lit(0.5)), 10000)
-    own = scored.where("held_out and lang = lang_pred and cross_entropy is not null")
+    own = scored.where(_fold(F.col("doc_id")) & F.expr("lang = lang_pred and cross_entropy is not null"))
     limits = own.groupBy("lang_pred").agg(at.alias("at"), F.count(F.lit(1)).alias("n"))  # a row for each language
     limits = limits.select("lang_pred", "n", (F.col("at")[1] + width * (F.col("at")[1] - F.col("at")[0])).alias("limit"))
     known = {r["lang_pred"]: r["limit"] for r in limits.where(F.col("n") >= LEAST_ROWS).collect()}

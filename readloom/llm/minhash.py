@@ -12,8 +12,8 @@ At similarity s two sets share none of the bands with probability (1 - s^rows)^b
 than ``SHARED``: 2e-9 and 1e-6.
 
 Null or empty texts, or texts without words, have no shingles and are linked with nothing; nor are rows with a null
-doc_id, whose component_id is null and which stay.  Rows that repeat a doc_id are all returned, each with the answer of
-the class of its text; where texts of one doc_id differ, the least in order is the one that is compared.
+doc_id, whose component_id is null and which stay.  Rows that repeat a doc_id are all returned.  Each class is a node of
+its own, and classes that share a doc_id are joined: such a document has the links of all its texts.
 """
 
 from __future__ import annotations
@@ -82,11 +82,11 @@ def _signatures(k: int, rows: int, bands: int):
                     full = np.flatnonzero(size)
                     one[full] = np.add.reduceat(mix(h ^ U(0x5555)), at[full])
                     two[full] = np.add.reduceat(mix(h + U(0x9999)), at[full])
-                ids = batch.column("doc_id").slice(block.lo, block.n)
+                ids, texts = (batch.column(c).slice(block.lo, block.n) for c in ("doc_id", "text_key"))
                 flat = pa.array(key.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * bands), flat)],
-                    names=["doc_id", "n_shingles", "one", "two", "bands"],
+                    [ids, texts, pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * bands), flat)],
+                    names=["doc_id", "text_key", "n_shingles", "one", "two", "bands"],
                 )
 
     return run
@@ -173,26 +173,35 @@ def _finish(k: int, percent: int):
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row for each input row."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = map_arrow(text, _signatures(k, rows, bands), "doc_id long, n_shingles long, one long, two long, bands array<long>")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    made = map_arrow(text, _signatures(k, rows, bands), "doc_id long, text_key long, n_shingles long, one long, two long, bands array<long>")
     # texts without shingles, and rows without an id, are classes of their own
-    alone = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("two")).otherwise(F.col("doc_id"))
-    sig = staged(made.withColumn("two", alone), "minhash")
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    alone = F.when(some, F.col("two")).otherwise(F.col("doc_id"))
+    # rows get their numbers as they are written, so that these stay what they are
+    sig = staged(made.withColumns({"two": alone, "row": F.monotonically_increasing_id()}), "minhash")
     same = ["n_shingles", "one", "two"]
     # Heads of classes and buckets are tables of their own before they are joined back: a join straight on an aggregate
     # keeps its partitioning, and adaptive execution splits no hot group there.
-    classes = staged(sig.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "heads")
-    member = staged(sig.drop("bands").join(classes, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    reps = sig.join(member.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("bands").alias("bands"))
+    classes = staged(sig.groupBy(*same).agg(F.min("row").alias("head"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "heads")
+    placed = sig.drop("bands").join(classes, same, "left")
+    member = staged(placed.select("doc_id", "text_key", "n_shingles", "row", F.coalesce("head", "row").alias("rep"), F.coalesce("least", "doc_id").alias("least")), "classes")
+    heads = member.where("row = rep and n_shingles > 0 and doc_id is not null")
+    reps = sig.join(heads.select("row"), "row", "left_semi").select(F.col("row").alias("rep"), "bands")
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = staged(keyed.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1"), "centers")
     full = staged(keyed.join(buckets, ["band", "key"]), "buckets")
     pairs = full.where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v")).distinct()
-    need = full.select(F.col("rep").alias("doc_id")).distinct()
-    texts = staged(text.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    with_u = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
-    both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-    links = staged(map_arrow(both.select("u", "v", "tu", "tv"), _confirm(k, percent), "u long, v long"), "links")
+    need = heads.join(full.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_key")
+    # a head's text is that of its own row; equal rows have the same one
+    texts = staged(text.join(need, ["doc_id", "text_key"]).groupBy("rep").agg(F.first("text").alias("text")), "texts")
+    with_u = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u")
+    both = with_u.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v")
+    # classes that share a doc_id: none as long as ids don't repeat with different texts
+    shared = member.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last").drop("last")
+    joined = member.join(staged(shared, "shared"), "doc_id").where("n_shingles > 0 and rep <> v").select(F.col("rep").alias("u"), "v")
+    confirmed = map_arrow(both.select("u", "v", "tu", "tv"), _confirm(k, percent), "u long, v long")
+    links = staged(confirmed.unionByName(joined.distinct()), "links")
     comp = staged(components(links), "components")
 
     # Buckets of three or more whose members are still apart.
@@ -205,8 +214,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     columns, block = ["band", "key", "x", "y", "side", "rep", "comp", "bands"], ["band", "key", "x", "y"]
     blocks_ = base.unionByName(ask).join(reps, "rep").select(*columns)
     asked = staged(blocks_.groupBy(*block).applyInArrow(_asked, "band int, key long, x int, y int, side int, rep long, comp long, bands array<long>"), "asked")
-    more = staged(asked.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*columns, "text").groupBy(*block).applyInArrow(_finish(k, percent), "u long, v long"), "more")
+    more = staged(asked.join(texts, "rep").select(*columns, "text").groupBy(*block).applyInArrow(_finish(k, percent), "u long, v long"), "more")
     if not more.isEmpty():
         comp = staged(components(links.unionByName(more)), "components")
-    found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # of each component the smallest doc_id
+    inside = comp.join(heads.select(F.col("rep").alias("node"), F.col("least").alias("own")), "node")
+    smallest = staged(inside.groupBy("component").agg(F.min("own").alias("component_id")), "smallest")
+    named = staged(comp.join(smallest, "component").select(F.col("node").alias("rep"), "component_id"), "named")
+    found = member.join(named, "rep", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "least", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

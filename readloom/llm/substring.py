@@ -15,8 +15,10 @@ most one document for each salt, meet in a second, small step.
 A word is removed if a window covering it also starts in a document with a smaller doc_id; windows are judged on the
 input.  Nothing is paired: an anchor of m occurrences costs m rows, however many documents share it, and rows carry
 hashes and positions instead of text.  Null, empty and short texts (under ``window`` words) keep all words.  Rows that
-repeat a doc_id count as one document: repeats within one document are not removed.  A null doc_id is neither smaller
-nor larger than another: such rows keep all words, and others don't lose any to them.
+repeat a doc_id count as one document: repeats within one document are not removed; where their texts differ, each row
+loses what its own text repeats of smaller documents (a key of the text tells them apart, which is 0 for all rows as long
+as every doc_id has one text).  A null doc_id is neither smaller nor larger than another: such rows keep all words, and
+others don't lose any to them.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def _salt(anchor: np.ndarray, row: np.ndarray, hot: np.ndarray, salts: int) -> p
 def _seeds(window: int, hot: np.ndarray, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, valid = _ids(batch)
+            (ids, valid), key = _ids(batch), batch.column("key")
             for block in blocks(batch.column("text")):
                 w = block.words(SPACED)
                 a = _Anchors(w, window)
@@ -97,8 +99,8 @@ def _seeds(window: int, hot: np.ndarray, salts: int):
                 doc = w.doc[at]
                 pos = (at - w.first[doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), _salt(h, ids[block.lo + doc] * 8191 + pos, hot, salts), pa.array(_contexts(w, at, window).view(np.int64)), pa.array(ids[block.lo + doc]), pa.array(pos)],
-                    names=["anchor", "salt", "context", "doc_id", "pos"],
+                    [pa.array(h.view(np.int64)), _salt(h, ids[block.lo + doc] * 8191 + pos, hot, salts), pa.array(_contexts(w, at, window).view(np.int64)), pa.array(ids[block.lo + doc]), key.take(pa.array(block.lo + doc)), pa.array(pos)],
+                    names=["anchor", "salt", "context", "doc_id", "key", "pos"],
                 )
 
     return run
@@ -108,7 +110,7 @@ def _windows(window: int, hot: np.ndarray, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows whose anchor is at one of a text's positions ``open``."""
         for batch in batches:
-            (ids, _), asked = _ids(batch), batch.column("open")
+            (ids, _), key, asked = _ids(batch), batch.column("key"), batch.column("open")
             for block in blocks(batch.column("text")):
                 w = block.words(SPACED)
                 a = _Anchors(w, window)
@@ -126,8 +128,8 @@ def _windows(window: int, hot: np.ndarray, salts: int):
                 anchor = a.hash[np.searchsorted(a.at, of)]
                 pos = (at - w.first[doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), _salt(anchor, ids[block.lo + doc] * 8191 + pos, hot, salts), pa.array(mix(h).view(np.int64)), pa.array(ids[block.lo + doc]), pa.array(pos)],
-                    names=["anchor", "salt", "win", "doc_id", "pos"],
+                    [pa.array(anchor.view(np.int64)), _salt(anchor, ids[block.lo + doc] * 8191 + pos, hot, salts), pa.array(mix(h).view(np.int64)), pa.array(ids[block.lo + doc]), key.take(pa.array(block.lo + doc)), pa.array(pos)],
+                    names=["anchor", "salt", "win", "doc_id", "key", "pos"],
                 )
 
     return run
@@ -138,15 +140,16 @@ def _cut(window: int):
         """Merge the repeats of each text and drop their words."""
         for batch in batches:
             n_words, n_removed, sha, kept_text = [], [], [], []
-            starts, ends = batch.column("starts"), batch.column("ends")
+            ranges = batch.column("ranges")
             for i, text in enumerate(batch.column("text")):
                 words = text.as_py().encode().split() if text.is_valid else []
                 n = len(words)
                 gone = 0
-                if starts[i].is_valid and len(starts[i]):
+                if ranges[i].is_valid and len(ranges[i]):
+                    starts, ends = (ranges[i].values.field(c).to_numpy() for c in range(2))
                     edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, np.maximum(starts[i].values.to_numpy(), 0), 1)
-                    np.add.at(edge, np.minimum(ends[i].values.to_numpy(), n), -1)
+                    np.add.at(edge, np.maximum(starts, 0), 1)
+                    np.add.at(edge, np.minimum(ends, n), -1)
                     keep = np.cumsum(edge[:n]) == 0
                     gone = n - int(keep.sum())
                     words = [x for x, k in zip(words, keep.tolist()) if k]
@@ -160,14 +163,25 @@ def _cut(window: int):
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, key, text)`` of rows with a doc_id.  The key tells different texts of one doc_id apart, if there are any in the table."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    key = F.coalesce(F.xxhash64("text"), F.lit(0))
+    several = text.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a < b")
+    return text.select("doc_id", (F.lit(0).cast("long") if several.isEmpty() else key).alias("key"), "text")
+
+
 def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
-    """``(doc_id, lo, hi)``: word ranges of documents that repeat text of a document with a smaller doc_id.  Ranges may overlap."""
+    """``(doc_id, key, lo, hi)``: word ranges of documents that repeat text of a document with a smaller doc_id.  Ranges may overlap."""
+    return _ranges(_keyed(docs), window)
+
+
+def _ranges(text: DataFrame, window: int) -> DataFrame:
     if not SEED <= window <= 32:
         raise ValueError("window must be 5 to 32 words")
     reach = window - SEED
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hot, salts = _hot(text, window)
-    seeds = map_arrow(text, _seeds(window, hot, salts), "anchor long, salt int, context long, doc_id long, pos int")
+    seeds = map_arrow(text, _seeds(window, hot, salts), "anchor long, salt int, context long, doc_id long, key long, pos int")
     by_anchor = Window.partitionBy("anchor", "salt")
     met = (
         seeds.repartition("anchor", "salt")
@@ -177,14 +191,14 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         .where("first_doc < doc_id or several")
     )
     again = _again(met, hot, "context")
-    around = lambda df: df.where("first_doc < doc_id").select("doc_id", (F.col("pos") - reach).alias("lo"), (F.col("pos") + window).alias("hi"))
+    around = lambda df: df.where("first_doc < doc_id").select("doc_id", "key", (F.col("pos") - reach).alias("lo"), (F.col("pos") + window).alias("hi"))
     # Only where an anchor has several contexts can a match end inside one; the first document of each gets its windows compared.
-    first = met.where("first_doc = doc_id and salt = 0").select("doc_id", "pos").unionByName(again.where("first_doc = doc_id").select("doc_id", "pos")) if len(hot) else met.where("first_doc = doc_id")
-    opened = first.groupBy("doc_id").agg(F.collect_set("pos").alias("open"))
+    first = met.where("first_doc = doc_id and salt = 0").select("doc_id", "key", "pos").unionByName(again.where("first_doc = doc_id").select("doc_id", "key", "pos")) if len(hot) else met.where("first_doc = doc_id")
+    opened = first.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("open"))
     # a left join, as in drop_repeats: with the same rows on the left, both read one shuffle of the texts
-    found = map_arrow(text.repartition("doc_id").join(opened, "doc_id", "left"), _windows(window, hot, salts), "anchor long, salt int, win long, doc_id long, pos int")
+    found = map_arrow(text.repartition("doc_id", "key").join(opened, ["doc_id", "key"], "left"), _windows(window, hot, salts), "anchor long, salt int, win long, doc_id long, key long, pos int")
     ended = found.withColumn("first_doc", F.first("doc_id").over(_first("anchor", "salt", "win")))
-    inside = lambda df: df.where("first_doc < doc_id").select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + window).alias("hi"))
+    inside = lambda df: df.where("first_doc < doc_id").select("doc_id", "key", F.col("pos").alias("lo"), (F.col("pos") + window).alias("hi"))
     out = around(met).unionByName(inside(ended))
     return out.unionByName(around(again)).unionByName(inside(_again(ended, hot, "win"))) if len(hot) else out
 
@@ -204,7 +218,7 @@ def _hot(text: DataFrame, window: int) -> tuple[np.ndarray, int]:
     """Hot anchors, sorted, and how many salts they get."""
     parts = max(2, int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     some = text.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0)
-    counted = map_arrow(some, _seeds(window, np.empty(0, U), 1), "anchor long, salt int, context long, doc_id long, pos int").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    counted = map_arrow(some, _seeds(window, np.empty(0, U), 1), "anchor long, salt int, context long, doc_id long, key long, pos int").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     most = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "anchor").limit(SHARE * parts).collect()
     if not most:
         return np.empty(0, U), parts
@@ -214,7 +228,11 @@ def _hot(text: DataFrame, window: int) -> tuple[np.ndarray, int]:
 
 def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_words, n_removed, kept_sha256, kept_text)`` for every input row."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = repeats(docs, window).groupBy("doc_id").agg(F.collect_list("lo").alias("starts"), F.collect_list("hi").alias("ends"))
+    text = _keyed(docs)
+    # a set: equal rows of one doc_id give the same ranges
+    ranges = _ranges(text, window).groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    placed = text.repartition("doc_id", "key").join(ranges, ["doc_id", "key"], "left").select("doc_id", "text", "ranges")
+    unnamed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast(placed.schema["ranges"].dataType).alias("ranges"))
     # the ends of a text bound a context's range: words before its start or after its end don't exist
-    return map_arrow(text.repartition("doc_id").join(ranges, "doc_id", "left"), _cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    return map_arrow(placed, _cut(window), ddl).unionByName(map_arrow(unnamed, _cut(window), ddl))

@@ -1,7 +1,7 @@
 """Word splitting and hashing of whole Arrow text columns with numpy, without a Python loop over words.
 
 Texts are taken in blocks of a bounded number of bytes (one longer text is a block of its own).  A word's hash is a
-prefix-sum polynomial over random 64-bit byte values, so any word costs two look-ups, whatever its length.
+prefix-sum polynomial over random 64-bit byte values, so a word costs two look-ups; very long ones are hashed byte by byte.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20250701))
@@ -59,6 +60,10 @@ class Block:
         return Words(self, word, lower)
 
 
+#: Bytes from which a word's hash is taken from its bytes one by one.
+LONG_WORD = 512
+
+
 class Words:
     """``start``/``end`` bytes, ``doc`` (index within the block) and ``hash`` of each word; ``first``: each text's first word."""
 
@@ -83,6 +88,9 @@ class Words:
         total = np.zeros(n + 1, U)
         np.cumsum(_BYTE[data] * up[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        # long words can be made that every polynomial modulo 2^64 takes as equal
+        for i in np.flatnonzero(self.end - self.start >= LONG_WORD):
+            self.hash[i] = xxhash.xxh3_64_intdigest(data[self.start[i] : self.end[i]].tobytes())
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of k words within one text."""

@@ -612,3 +612,46 @@ def test_whole_licence_files_and_wrapped_notices(spark):
     assert got[200].own_license == "GPL-2.0" and not got[200].license_file
     assert got[201].own_license == "GPL-3.0" and not got[201].license_file
     assert got[202].own_license is None and not got[202].license_file
+
+
+def test_substring_keeps_apart_texts_of_one_id(spark):
+    """A row loses what its own text repeats, whatever other rows of its doc_id hold; equal rows in any number lose the same."""
+    words = lambda tag, n=40: " ".join(f"{tag}{i}" for i in range(n))
+    x, y, z = words("x"), words("y"), words("z")
+    rows = [(1, x), (5, x), (5, y), (5, x + " " + y), (7, y), (8, z)] + [(8, z)] * 30 + [(9, z)] * 30 + [(None, x)] * 3
+    got = Counter((r.doc_id, r.kept_text, r.n_removed) for r in substring.drop_repeats(made(spark, rows)).collect())
+    assert got == Counter([(1, x, 0), (5, "", 40), (5, y, 0), (5, y, 40), (7, "", 40)] + [(8, z, 0)] * 31 + [(9, "", 40)] * 30 + [(None, x, 0)] * 3)
+
+
+def test_minhash_links_every_text_of_one_id(spark):
+    words = lambda tag: [f"{tag}{i}" for i in range(60)]
+    a, b, c = words("a"), words("b"), words("c")
+    near = lambda w: " ".join([*w, "more"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (8, near(b)), (9, " ".join(c)), (9, ""), (3, near(c)), (12, near(c)), (5, " ".join(a)), (6, ""), (6, " ".join(words("d")))]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(made(spark, rows).repartition(3)).collect())
+        assert got == Counter({(5, 5, True): 3, (7, 5, False): 1, (8, 5, False): 1, (9, 3, False): 1, (9, 9, True): 1, (3, 3, True): 1, (12, 3, False): 1, (6, 6, True): 2})
+    # two documents that only a third one, with two texts, brings together
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(made(spark, [(9, " ".join(a)), (9, " ".join(b)), (7, near(a)), (8, near(b))])).collect()}
+    assert got == {(7, 7), (8, 7), (9, 7)}
+
+
+def test_language_reads_no_label_of_held_out_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    junk = spark.range(12).select((F.col("id") + 100_000).alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 256) for i in range(4)]).alias("text"), F.lit("en").alias("lang"), F.lit("junk").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    docs = docs.unionByName(junk)
+    hidden = docs.withColumn("lang", F.when(~language.held_out(F.col("doc_id")), F.col("lang")))
+    key = lambda df: sorted(tuple(str(x) for x in r) for r in language.accepted(df).collect())
+    assert key(docs) == key(hidden)
+
+
+def test_long_words_of_a_polynomials_blind_spot():
+    """Two words of 2,048 bytes in the Thue-Morse pattern and its opposite, which polynomials modulo 2^64 can't tell apart."""
+    from readloom.llm.textnp import SPACED, blocks
+
+    pattern = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    import pyarrow as pa
+
+    w = next(blocks(pa.array([pattern + " " + pattern.translate(str.maketrans("ab", "ba")) + " " + pattern]))).words(SPACED)
+    assert len(set(w.hash.tolist())) == 2 and w.hash[0] == w.hash[2]
