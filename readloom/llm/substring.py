@@ -168,7 +168,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     key = F.coalesce(F.xxhash64("text"), F.lit(0))
     several = text.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a < b")
-    return text.select("doc_id", (F.lit(0).cast("long") if several.isEmpty() else key).alias("key"), "text")
+    # a zero that the optimizer doesn't know: a literal would drop out of the joins' keys, and they would shuffle the texts anew
+    none = F.col("doc_id") - F.col("doc_id")
+    return text.select("doc_id", (none if several.isEmpty() else key).alias("key"), "text")
 
 
 def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
