@@ -249,7 +249,7 @@ class Beams:
         return min((self.sequence(c, x[0], x[2]), x[3]) for x in rows if x[1] == top)
 
 
-def _choose(beams: Beams, c: int, design: int, exact: str | None, common: str | None) -> tuple[str, int, float | None]:
+def choose(beams: Beams, c: int, design: int, exact: str | None, common: str | None) -> tuple[str, int, float | None]:
     lo, hi = beams.soft[c]
     inside = lambda n: lo <= n <= hi
     if inside(design) and (x := beams.best(c, (design,))):
@@ -271,6 +271,16 @@ def _favourites(reads: list[bytes], n: list[int], design: int) -> tuple[str | No
     return top([x for x in rows if len(x[1]) == design]), top(rows)
 
 
+def decode_lists(ids: list[str], design: list[int], reads: list[list[bytes]], n: list[list[int]], cfg: Config) -> pa.RecordBatch:
+    """Decode clusters whose different reads and their counts are at hand."""
+    e = Evidence.of_reads(reads, n, cfg.k)
+    beams, out = Beams(e, design, cfg), []
+    for c, name in enumerate(ids):
+        seq, family, score = choose(beams, c, design[c], *_favourites(reads[c], n[c], design[c]))
+        out.append((name, design[c], sum(e.hist[c].values()), seq, family, score))
+    return _batch(out, DECODED)
+
+
 DECODED = "cluster_id string, design_length int, total_reads long, sequence string, family int, score double"
 CANDIDATES = "cluster_id string, length int, place int, sequence string, score double, soft boolean, window boolean"
 FRONTIER = "cluster_id string, length int, place int, sequence string"
@@ -322,7 +332,7 @@ def _decode(cfg: Config, what: str, from_ledger: bool):
         else:
             out = []
             for c, name in enumerate(ids):
-                seq, family, score = _choose(beams, c, design[c], *favourite[c])
+                seq, family, score = choose(beams, c, design[c], *favourite[c])
                 out.append((name, design[c], sum(e.hist[c].values()), seq, family, score))
             yield _batch(out, DECODED)
 
@@ -345,17 +355,19 @@ def _gathered(mult: DataFrame) -> DataFrame:
 DECODING = ("edge", "start", "end")
 
 
-def shaped(rows: DataFrame) -> DataFrame:
+def shaped(rows: DataFrame, counts: bool = False) -> DataFrame:
     """Rows of ``counters(..., DECODING, reads=True)`` with ``design_length``, by cluster, as the decoder takes them.
 
-    At most 4^(k+1) grams a cluster, however many reads it has, and a row for each length of its reads.
+    At most 4^(k+1) grams a cluster, however many reads it has, and a row for each length of its reads; with ``counts`` also
+    all reads of that length, which a caller has to bound.
     """
     read = F.col("kind") == READ
     slot = F.when(read, F.length("seq")).otherwise(F.lit(-1))
     gram = F.when(~read, F.struct("kind", "code", "support"))
     best = F.min(F.when(read, F.struct((-F.col("support")).alias("m"), F.col("seq").alias("seq"))))
-    by = rows.groupBy("cluster_id", slot.alias("len")).agg(F.max("design_length").alias("design_length"), F.collect_list(gram).alias("grams"), F.sum(F.when(read, F.col("support"))).alias("n"), best.alias("best"))
-    length = F.when(F.col("len") >= 0, F.struct("len", "n", (-F.col("best.m")).alias("most"), F.col("best.seq").alias("seq")))
+    every = [F.collect_list(F.when(read, F.struct("seq", F.col("support").alias("n")))).alias("counts")] if counts else []
+    by = rows.groupBy("cluster_id", slot.alias("len")).agg(F.max("design_length").alias("design_length"), F.collect_list(gram).alias("grams"), F.sum(F.when(read, F.col("support"))).alias("n"), best.alias("best"), *every)
+    length = F.when(F.col("len") >= 0, F.struct("len", "n", (-F.col("best.m")).alias("most"), F.col("best.seq").alias("seq"), *(["counts"] if counts else [])))
     return by.groupBy("cluster_id").agg(F.max("design_length").alias("design_length"), F.collect_list(length).alias("lengths"), F.flatten(F.collect_list("grams")).alias("grams"))
 
 
@@ -379,12 +391,24 @@ def _run(reads: DataFrame, cfg: Config, what: str, ddl: str, split: int | None)
     # asks for one answer, yes or no, after partial counts: without large clusters the plan has one branch and one shuffle
     if split is None or reads.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).isEmpty():
         return _gathered(mult).mapInArrow(_decode(cfg, what, False), ddl)
+    return _branches(mult, cfg, what, ddl, split)
+
+
+def _branches(mult: DataFrame, cfg: Config, what: str, ddl: str, split: int) -> DataFrame:
+    """Large clusters from their ledgers, the others from their reads."""
     big = mult.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > split).select("cluster_id")
     small = _gathered(mult.join(big, "cluster_id", "left_anti")).mapInArrow(_decode(cfg, what, False), ddl)
     large = _ledgers(mult.join(big, "cluster_id", "left_semi"), cfg.k).mapInArrow(_decode(cfg, what, True), ddl)
     return small.unionByName(large)
 
 
+def decode_counted(mult: DataFrame, cfg: Config = Config(), split: int = SPLIT) -> DataFrame:
+    """``decode`` of reads that are counted already: ``(cluster_id, design_length, seq, n)``, canonical, each once."""
+    if mult.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > split).isEmpty():
+        return _gathered(mult).mapInArrow(_decode(cfg, "decode", False), DECODED)
+    return _branches(mult, cfg, "decode", DECODED, split)
+
+
 def decode(reads: DataFrame, cfg: Config = Config(), split: int | None = SPLIT) -> DataFrame:
     """``reads(cluster_id, design_length, read_sequence)`` -> one row a cluster: sequence, family, score.
 

@@ -12,8 +12,9 @@ from readloom.operators import decode as de
 from readloom.operators import evaluate as ev
 from readloom.operators import evidence as e
 from readloom.operators import order as od
-from readloom.operators import store
+from readloom.operators import prefix, store
 from readloom.operators import validate as va
+from readloom.operators.clustered import decode_in_place
 from readloom.plans.staging import scratch
 from readloom.schema import READS, Config
 from readloom.sources import tsv
@@ -240,6 +241,14 @@ def reconstruct_from_store(spark, d):
     return store.decode_stored(spark, path).select("cluster_id", "sequence", "family")
 
 
+@_query(f"{_beam_sql(Config())} SELECT cluster_id, sequence, family FROM chosen")
+def reconstruct_in_place(spark, d):
+    """Reads written as lines, each cluster a run of them, and decoded by the tasks that read them."""
+    path = scratch(spark, "runs")
+    tsv.write_tsv(reads(spark, d).select(*READS.fieldNames()).repartitionByRange("cluster_id").sortWithinPartitions("cluster_id"), path)
+    return decode_in_place(spark, path).select("cluster_id", "sequence", "family")
+
+
 @_query(f"{_beam_sql(Config())} SELECT cluster_id, len AS length, path AS sequence FROM beam WHERE len > {K}")
 def beam_frontier(spark, d):
     return de.frontier(reads(spark, d)).select("cluster_id", "length", "sequence")
@@ -415,6 +424,32 @@ def prefix_evidence(spark, d):
     return e.prefix_support(reads(spark, d), "ts")
 
 
+@_query(f"""{_READS} SELECT cluster_id, read_id, CAST(row_number() OVER w AS INT) AS arrival, median(length(seq)) OVER w AS median_length, round(sum(ln(length(seq))) OVER w, 6) AS log_sum, round(sum(ln(length(seq)) * ln(length(seq))) OVER w, 6) AS log_sq_sum
+FROM c WINDOW w AS (PARTITION BY cluster_id ORDER BY ts, read_id ROWS UNBOUNDED PRECEDING)""")
+def prefix_lengths(spark, d):
+    s = prefix.prefix_lengths(reads(spark, d), "ts")
+    return s.withColumn("log_sum", F.round("log_sum", 6)).withColumn("log_sq_sum", F.round("log_sq_sum", 6))
+
+
+@_query()
+def prefix_reconstruct(spark, d):
+    """Every prefix decoded; tests hold each against decoding its reads alone."""
+    return prefix.prefix_decode(reads(spark, d), "ts")
+
+
+@_query(f"{_beam_sql(Config())} SELECT cluster_id, CAST(reads AS INT) AS arrival, sequence, family FROM chosen JOIN stat USING (cluster_id)")
+def prefix_last(spark, d):
+    """The last prefix is the whole cluster."""
+    rows = prefix.prefix_decode(reads(spark, d), "ts")
+    return rows.groupBy("cluster_id").agg(F.max(F.struct("arrival", "sequence", "family")).alias("x")).select("cluster_id", "x.arrival", "x.sequence", "x.family")
+
+
+@_query()
+def candidate_switches(spark, d):
+    """How often a cluster's sequence changed as its reads came in; counted from tested prefixes."""
+    return ev.switches(prefix.prefix_decode(reads(spark, d), "ts"), "arrival", "sequence")
+
+
 @_query(f"""{_PRED}, ln_ AS (SELECT cluster_id || chr(9) || reconstructed_sequence AS l FROM pred), sl AS (SELECT substr(sha256(l), 1, 3) AS s, sha256(string_agg(l, chr(10) ORDER BY l)) AS dg, count(*) AS n FROM ln_ GROUP BY 1)
 SELECT sha256(string_agg(s || dg, chr(10) ORDER BY s || dg)) AS sha256, CAST(sum(n) AS BIGINT) AS lines FROM sl""")
 def prediction_fingerprint(spark, d):

@@ -13,7 +13,9 @@ from readloom.functions.distance import distances
 from readloom.operators import evaluate as ev
 from readloom.operators import evidence as e
 from readloom.operators import order as od
+from readloom.operators import prefix
 from readloom.operators import validate as va
+from readloom.operators.clustered import decode_in_place
 from readloom.operators.decode import buckets, decode
 from readloom.plans.session import run
 from readloom.schema import PREDICTION, READS, Config, parse_threads
@@ -347,3 +349,71 @@ def test_packed_counters_equal_single_ones(spark):
         assert {(r.cluster_id, r.kind, r.code): r.support for r in e.ledger(mult, k).collect()} == want
         own = e.counters(mult, k, ("edge",), reads=True).where("kind = 5").collect()
         assert {(r.cluster_id, r.seq): r.support for r in own} == Counter((c, s) for c, _, s in reads)
+
+
+def _reads_file(path, rows):
+    """A file of reads of ``(cluster, length, sequence)`` in their order."""
+    lines = ["\t".join(READS.fieldNames())] + ["\t".join(["d", c, str(i), s, "", "", str(n)]) for i, (c, n, s) in enumerate(rows)]
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+@pytest.fixture
+def cut(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    yield lambda size: spark.conf.set(name, str(size))
+    spark.conf.set(name, before)
+
+
+def test_decoding_in_place_gives_the_same_for_any_cuts(spark, tmp_path, cut):
+    rows, _ = clusters(n=30, reads=8)
+    rows += [("hot", 40, s) for _, _, s in clusters(n=1, reads=400, seed=3)[0]] + [("one", 40, "ACGTACGTAC")]
+    path = _reads_file(tmp_path / "reads.tsv", rows)
+    want = sequences(spark, rows)
+    got = lambda **kw: {r.cluster_id: (r.sequence, r.family) for r in decode_in_place(spark, path, **kw).collect()}
+    size = (tmp_path / "reads.tsv").stat().st_size
+    for parts in (1, 3, 50):
+        cut(size // parts + 1)
+        assert got() == want
+    assert got(split=20) == want  # the hot cluster goes over many blocks and is decoded from its ledger
+    cut(1 << 27)
+    shuffled = decode_in_place(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert shuffled.split("Union")[1].split("\n")[1].strip().startswith(":- MapInArrow") and "Exchange" not in shuffled.split("\n+- ")[0]
+
+
+def test_clusters_that_are_not_one_run_are_found(spark, tmp_path, cut):
+    rows, _ = clusters(n=12, reads=6)
+    bad = {
+        "twice in a block": rows + rows[:2],
+        "twice, far apart": rows[:6] + rows[6:] * 1 + [rows[0]],
+        "two lengths": rows[:6] + [(rows[6][0], 41, rows[6][2])] + rows[7:],
+    }
+    for name, x in bad.items():
+        for parts in (1, 5, 20):
+            path = _reads_file(tmp_path / f"{name}{parts}.tsv", x)
+            cut((tmp_path / f"{name}{parts}.tsv").stat().st_size // parts + 1)
+            with pytest.raises(Exception, match="comes twice|not one run|several design"):
+                decode_in_place(spark, path).collect()
+    for line in ("d\tc\t1\tACGT\t\t\tx", "d\tc\t1\tACGT\t\t", "d\tc\t1\t\t\t\t40"):
+        (tmp_path / "bad.tsv").write_text("\t".join(READS.fieldNames()) + "\n" + line + "\n")
+        with pytest.raises(Exception, match="not a read"):
+            decode_in_place(spark, str(tmp_path / "bad.tsv")).collect()
+
+
+@pytest.mark.parametrize("chunk", [4, 2048])
+def test_prefixes_equal_their_reads_alone(spark, monkeypatch, chunk):
+    """Chunks and blocks smaller than a cluster, repeated reads, reads without grams, exact and other lengths."""
+    monkeypatch.setattr(prefix, "BLOCK", 3)
+    rows, _ = clusters(n=4, reads=11)
+    rows += [("odd", 12, s) for s in ("ACG", "NNNNNNNNNNNN", "ACGTACGTACGT", "ACGTACGTACGA", "ACGTACGTACGA", "acgtacgtacgt", "ACG", "TTTTTTTTTTTTTTTT", "TTTTTTTTTTTTTTTT", "TTTTTTTTTTTTTTTT")]
+    df = spark.createDataFrame([(c, n, s, i) for i, (c, n, s) in enumerate(rows)], SCHEMA + ", at int").withColumn("read_id", F.col("at").cast("string"))
+    got = {(r.cluster_id, r.arrival): (r.sequence, r.family) for r in prefix.prefix_decode(df.repartition(3), "at", chunk=chunk).collect()}
+    heads, seen = [], Counter()
+    by = {}
+    for c, n, s in rows:
+        seen[c] += 1
+        by.setdefault(c, []).append(s)
+        heads += [(f"{c}/{seen[c]}", n, x) for x in by[c]]
+    want = sequences(spark, heads)
+    assert {f"{c}/{i}": x for (c, i), x in got.items()} == want
