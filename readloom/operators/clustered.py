@@ -46,7 +46,11 @@ class _Run:
 
     def __init__(self, cluster: str, design: int, place: tuple, first: bool):
         self.cluster, self.design, self.place, self.first, self.last = cluster, design, place, first, False
-        self.reads: Counter[str] = Counter()
+        self.parts: list[pa.Array] = []
+
+    @property
+    def reads(self) -> Counter[str]:
+        return Counter(x for part in self.parts for x in part.to_pylist())
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
@@ -61,7 +65,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
         new[1:] = np.any([x[1:] != x[:-1] for x in code], axis=0)
         at = np.flatnonzero(new)
         design, size = batch.column("design_length").to_numpy(), batch.column("size")
-        seq = batch.column("seq").to_pylist()
+        seq = batch.column("seq")
         for lo, hi in zip(at.tolist(), [*at[1:].tolist(), batch.num_rows]):
             cluster, place = ids[lo].as_py(), (file[lo].as_py(), block[lo].as_py(), size[lo].as_py())
             if run is None or (run.cluster, run.place) != (cluster, place):
@@ -76,7 +80,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
                 run = _Run(cluster, int(design[lo]), place, fresh)
             if (design[lo:hi] != run.design).any():
                 raise ValueError(f"cluster {cluster} has several design lengths")
-            run.reads.update(seq[lo:hi])
+            run.parts.append(seq.slice(lo, hi - lo))
     if run is not None:
         run.last = True
         yield run
@@ -98,7 +102,8 @@ def _inside(cfg: Config) -> Callable:
 
 
 def _decoded(runs: list[_Run], cfg: Config) -> pa.RecordBatch:
-    return decode_lists([r.cluster for r in runs], [r.design for r in runs], [[x.encode() for x in r.reads] for r in runs], [list(r.reads.values()) for r in runs], cfg)
+    counted = [r.reads for r in runs]
+    return decode_lists([r.cluster for r in runs], [r.design for r in runs], [[x.encode() for x in c] for c in counted], [list(c.values()) for c in counted], cfg)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

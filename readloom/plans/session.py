@@ -7,12 +7,10 @@
 from __future__ import annotations
 
 import argparse
-import os
 import secrets
 import time
 import uuid
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +20,7 @@ from readloom.operators import order as od
 from readloom.operators.decode import decode, predictions, stop_points
 from readloom.operators.validate import blocks, evaluation_violations, id_differences, require, truth_violations, violations
 from readloom.schema import LEAST_K, MOST_K, MOST_LENGTH, Config, parse_threads
-from readloom.sources import tsv
+from readloom.sources import files, tsv
 
 METRICS = ["exact", "accuracy", "mean_ed"]
 TIMES = ["engine_time_s", "round_time_s"]
@@ -43,35 +41,48 @@ def closure(reads: DataFrame, pred: DataFrame, truth: DataFrame | None) -> dict[
     return {"input_rows": n_in[0], "input_unique_clusters": n_in[1], "pred_rows": n_pred[0], "pred_unique_clusters": n_pred[1], "truth_rows": n_truth[0], "truth_unique_clusters": n_truth[1], "duplicate_input": 0, **twice, "missing_pred": 0, "extra_pred": 0, "missing_truth": none, "extra_truth": none, "metric_closure": "PASS"}
 
 
-def identity(data: str) -> dict[str, list[int]]:
-    """Device, number, size and times of a session's input files, to see that they stay the same."""
-    found = {n: os.stat(f"{data}/{n}") for n in ("reads.tsv", "truth.tsv") if os.path.exists(f"{data}/{n}")}
-    return {n: [s.st_dev, s.st_ino, s.st_size, s.st_mtime_ns, s.st_ctime_ns] for n, s in found.items()}
+def identity(spark: SparkSession, data: str, digest: bool = False) -> dict[str, list]:
+    """Size and time of change of a session's input files, with ``digest`` their content too, to see that they stay the same."""
+    found = {}
+    for name in ("reads.tsv", "truth.tsv"):
+        if now := files.files(spark, f"{data}/{name}"):
+            found[name] = [sorted(now.items()), *(tsv.content(spark, f"{data}/{name}") if digest else [])]
+    return found
 
 
 def _kinds(row: dict) -> str:
-    return ", ".join(f"{c} {'double' if c in (*METRICS, *TIMES) else 'string' if isinstance(x, str) else 'long'}" for c, x in row.items())
+    return ", ".join(f"{c} {'double' if c in (*METRICS, *TIMES, 'total_wall_seconds') else 'string' if isinstance(x, str) else 'long'}" for c, x in row.items())
 
 
-def run(spark: SparkSession, data: str, results: str, aim: bool = False, length: int | None = None, k: int = 9, threads: list[int] | None = None, seeds: list[str] | None = None, rounds: int = 1) -> Path:
-    """Returns the session's folder.  Results don't depend on threads, which only set the number of shuffle partitions."""
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """Written and read back: what is asked again and again is made once, and outlives executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run(spark: SparkSession, data: str, results: str, aim: bool = False, length: int | None = None, k: int = 9, threads: list[int] | None = None, seeds: list[str] | None = None, rounds: int = 1, digest: bool = False, prefix: str = od.PREFIX) -> str:
+    """Returns the session's folder.  Both folders may be on any file system that Spark reaches.
+
+    Results don't depend on ``threads``, which set the number of shuffle partitions; without any, Spark's own setting
+    stays.  ``prefix`` begins what replay orders are seeded with.
+    """
     if length is not None and not k <= length <= MOST_LENGTH:
         raise ValueError(f"length must be {k} to {MOST_LENGTH}")
     if seeds is not None and not seeds or rounds < 1:
         raise ValueError("at least one seed or round is needed")
-    cfg, began = Config(k=k), datetime.now(timezone.utc)
+    cfg, began, results = Config(k=k), datetime.now(timezone.utc), results.rstrip("/")
     name = began.strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
-    stage = Path(results) / f".{name}.partial"
-    stage.mkdir(parents=True)
-    manifest = {"config": cfg.name, "data": str(data), "started": began.isoformat(), "aim": aim, "length": length}
+    stage, setting = f"{results}/.{name}.partial", "spark.sql.shuffle.partitions"
+    partitions = spark.conf.get(setting)
+    manifest = {"config": cfg.name, "data": data, "started": began.isoformat(), "aim": aim, "length": length, "order_prefix": prefix}
     try:
-        before = identity(data)
-        reads = tsv.read_reads(spark, f"{data}/reads.tsv", length).cache()
+        before = identity(spark, data, digest)
+        reads = tsv.read_reads(spark, f"{data}/reads.tsv", length)
         require(violations(reads, k), "reads are not valid")
         require(blocks(reads).where("n_blocks > 1"), "clusters are not contiguous")
         dataset = reads.first()["dataset_id"]
         truth = None
-        if os.path.exists(f"{data}/truth.tsv"):
+        if "truth.tsv" in before:
             truth = tsv.read_truth(spark, f"{data}/truth.tsv")
             require(truth_violations(truth), "truth is not valid")
         elif aim:
@@ -80,48 +91,52 @@ def run(spark: SparkSession, data: str, results: str, aim: bool = False, length:
         modal = ev.modal_length(reads.withColumn("_at", F.monotonically_increasing_id()), "_at").first()[0]
         rows = []
         for seed, i in labels:
-            tsv.write_orders(od.orders(reads, seed, dataset), str(stage / ".orders" / f"round_{i}"))
-        for n in threads or [1]:
+            tsv.write_orders(od.orders(reads, seed, dataset, prefix), f"{stage}/.orders/round_{i}")
+        for n in threads or [spark.sparkContext.defaultParallelism]:
+            if threads:
+                spark.conf.set(setting, str(n))
             for seed, i in labels:
                 t0 = time.time()
-                spark.conf.set("spark.sql.shuffle.partitions", str(max(1, n)))
-                order = tsv.read_orders(spark, str(stage / ".orders" / f"round_{i}"))
+                order = tsv.read_orders(spark, f"{stage}/.orders/round_{i}")
                 require(od.broken(order, reads), "the replay order is not one of the reads")
-                pred = predictions(decode(reads, cfg), dataset).cache()
-                out = stage / f"threads_{n}_round_{i}"
-                tsv.write_rows(pred, out / "pred.tsv", "cluster_id")
-                tsv.write_rows(stop_points(pred, str(i)), out / "STOP_POINT_WALL.tsv", "cluster_id")
+                label = f"threads_{n}_round_{i}"
+                out = f"{stage}/{label}"
+                pred = _kept(predictions(decode(reads, cfg), dataset), f"{stage}/.kept/pred_{label}")
+                tsv.write_rows(pred, f"{out}/pred.tsv", "cluster_id")
+                tsv.write_rows(stop_points(pred, str(i)), f"{out}/STOP_POINT_WALL.tsv", "cluster_id")
                 engine = time.time() - t0
                 row = {"dataset": dataset, "threads": n, "round": i, "seed": seed, "design_length": modal} | dict.fromkeys([*METRICS, "evaluated_clusters", "exact_count", "total_ed", "total_truth_bases"])
                 if truth is not None:
-                    scored = ev.evaluate(pred, truth).cache()
-                    tsv.write_rows(scored, out / "evaluation.tsv", "cluster_id")
+                    scored = _kept(ev.evaluate(pred, truth), f"{stage}/.kept/scored_{label}")
+                    tsv.write_rows(scored, f"{out}/evaluation.tsv", "cluster_id")
                     require(evaluation_violations(scored), "distances are not valid")
                     row |= ev.summary(scored).first().asDict()
-                row |= {"engine_time_s": engine, "round_time_s": time.time() - t0, "pred": f"threads_{n}_round_{i}/pred.tsv"} | closure(reads, pred, truth)
-                total = ev.totals(pred).select(F.lit(dataset).alias("dataset"), F.lit(str(i)).alias("round_id"), F.lit(n).alias("workers"), "*", F.lit(time.time() - t0).alias("total_wall_seconds")).cache()
-                tsv.write_rows(total, out / "RUN_METRICS.tsv")
-                tsv.write_rows(ev.by_task(pred), out / "WORKER_LEDGER.tsv", "worker_id")
-                if total.first()["status"] != "PASS":
+                row |= {"engine_time_s": engine, "round_time_s": time.time() - t0, "pred": f"{label}/pred.tsv"} | closure(reads, pred, truth)
+                total = ev.totals(pred).first().asDict()
+                whole = {"dataset": dataset, "round_id": str(i), "workers": n} | total | {"total_wall_seconds": time.time() - t0}
+                tsv.write_rows(spark.createDataFrame([tuple(whole.values())], _kinds(whole)), f"{out}/RUN_METRICS.tsv")
+                tsv.write_rows(ev.by_task(pred), f"{out}/WORKER_LEDGER.tsv", "worker_id")
+                if total["status"] != "PASS":
                     raise ValueError("a cluster has no sequence, or reads that weren't consumed")
-                tsv.write_rows(spark.createDataFrame([tuple(row.values())], _kinds(row)), out / "summary.tsv")
+                tsv.write_rows(spark.createDataFrame([tuple(row.values())], _kinds(row)), f"{out}/summary.tsv")
                 rows.append(row)
-                pred.unpersist()
         table = spark.createDataFrame([tuple(r.values()) for r in rows], _kinds(rows[0]))
-        after = identity(data)
-        if after != before:
+        if identity(spark, data, digest) != before:
             raise ValueError("input files changed while the session ran")
         manifest["files"] = before
-        tsv.write_rows(ev.with_means(table, [*METRICS, *TIMES]), stage / "SUMMARY.tsv")
-        tsv.write_json(manifest, stage / "RUN_MANIFEST.json")
-        tsv.write_json({"status": "COMPLETED"}, stage / "RUN_STATUS.json")
+        tsv.write_rows(ev.with_means(table, [*METRICS, *TIMES]), f"{stage}/SUMMARY.tsv")
+        files.delete(spark, f"{stage}/.kept")
+        tsv.write_json(spark, manifest, f"{stage}/RUN_MANIFEST.json")
+        tsv.write_json(spark, {"status": "COMPLETED"}, f"{stage}/RUN_STATUS.json")
     except BaseException as e:
         end = "interrupted" if isinstance(e, KeyboardInterrupt) else "failed"
-        tsv.write_json({"status": end.upper(), "error": str(e)[:2000]}, stage / "RUN_STATUS.json")
-        os.replace(stage, Path(results) / f"{name}.{end}")
+        tsv.write_json(spark, {"status": end.upper(), "error": str(e)[:2000]}, f"{stage}/RUN_STATUS.json")
+        files.move(spark, stage, f"{results}/{name}.{end}")
         raise
-    os.replace(stage, Path(results) / name)
-    return Path(results) / name
+    finally:
+        spark.conf.set(setting, partitions)
+    files.move(spark, stage, f"{results}/{name}")
+    return f"{results}/{name}"
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -132,11 +147,13 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--aim", action=argparse.BooleanOptionalAction, default=False)
     r.add_argument("--length", type=int)
     r.add_argument("--k", type=int, choices=range(LEAST_K, MOST_K + 1), default=9)
-    r.add_argument("--threads", type=parse_threads, default=[1])
+    r.add_argument("--threads", type=parse_threads, help="numbers of shuffle partitions; Spark's setting stays without")
+    r.add_argument("--digest", action="store_true", help="compare the input's content too, before and after")
+    r.add_argument("--order-prefix", default=od.PREFIX)
     group = r.add_mutually_exclusive_group()
     group.add_argument("--seeds", type=lambda s: [x for x in s.split(",") if x])
     group.add_argument("--rounds", type=int, default=1)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("readloom").getOrCreate()
-    print(run(spark, a.data, a.results, a.aim, a.length, a.k, a.threads, a.seeds, a.rounds))
+    print(run(spark, a.data, a.results, a.aim, a.length, a.k, a.threads, a.seeds, a.rounds, a.digest, a.order_prefix))
     return 0

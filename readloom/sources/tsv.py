@@ -1,22 +1,23 @@
 """Tab-separated reads, truth, predictions and evaluator rows; JSON-lines replay orders.  Explicit schemas, checked headers.
 
-Files are read by Spark (gzip included) and stay distributed.  Small results are written as one file, atomically.
+Files are read by Spark (gzip included) and stay distributed.  Results are written by tasks, a single file by
+one of them, and become visible by a rename.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
-from collections.abc import Iterable
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readloom.operators.validate import prediction_violations, require
 from readloom.schema import ORDER, PREDICTION, READS, TRUTH, TRUTH_KEYED
+from readloom.sources import files
 
 
 def _lines_of(spark: SparkSession, path: str) -> DataFrame:
@@ -94,38 +95,53 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").options(sep="\t", header=True, quote="", emptyValue="").csv(path)
 
 
-def _publish(path: Path, lines: Iterable[str]) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    with part.open("w", encoding="utf-8", newline="") as f:
-        f.writelines(lines)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(part, path)
-
-
 def text(value: object, digits: bool = False) -> str:
     """``digits``: floating point numbers in 12 digits."""
     return "NA" if value is None else f"{value:.12g}" if digits and isinstance(value, float) else str(value)
 
 
-def write_rows(df: DataFrame, path: str | Path, order: str | None = None) -> None:
-    """One TSV file; rows come to the driver a partition at a time."""
-    _publish(Path(path), _lines(df.orderBy(order) if order else df))
-
+def _formatted(names: list[str], key: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = []
+            for row in batch.select(names).to_pylist():
+                mean = row.get("round") == "MEAN"
+                lines.append("\t".join(text(x, mean) for x in row.values()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key], pa.array(lines, pa.string())], names=[*key, "_line"])
 
-def _lines(df: DataFrame) -> Iterable[str]:
-    yield "\t".join(df.columns) + "\n"
-    for row in df.toLocalIterator():
-        mean = "round" in df.columns and row["round"] == "MEAN"
-        yield "\t".join(text(x, mean) for x in row) + "\n"
+    return run
 
 
-def write_json(value: object, path: str | Path) -> None:
-    _publish(Path(path), [json.dumps(value, indent=2, sort_keys=True) + "\n"])
+def write_rows(df: DataFrame, path: str, order: str | None = None) -> None:
+    """One TSV file with a header, on any file system: tasks make the lines, one task merges them, a rename makes the file visible.
 
-
-def file_identity(spark: SparkSession, path: str) -> DataFrame:
-    """Size, modification time and SHA-256 of files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    Rows stand in the order of a column, or else as they lie.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("_key", F.col(order) if order else F.monotonically_increasing_id())
+    kind = keyed.schema["_key"].dataType.simpleString()
+    rows = keyed.mapInArrow(_formatted(df.columns, ["_key"]), f"_key {kind}, _line string").select(F.lit(1).alias("_at"), "_key", "_line")
+    head = spark.createDataFrame([("\t".join(df.columns),)], "_line string").select(F.lit(0).alias("_at"), F.lit(None).cast(kind).alias("_key"), "_line")
+    folder, _, name = path.rpartition("/")
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    # one task, but no collection of it: its sort spills
+    head.unionByName(rows).repartition(1).sortWithinPartitions("_at", "_key").select("_line").write.option("lineSep", "\n").text(part, compression="none")
+    made = [x for x in files.files(spark, part) if x.startswith("part-")]
+    if len(made) != 1:
+        raise OSError(f"{part}: expected one part, found {made}")
+    files.move(spark, f"{part}/{made[0]}", path)
+    files.delete(spark, part)
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small value as a new file, under its name only when it is whole."""
+    folder, _, name = path.rpartition("/")
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    files.write(spark, part, json.dumps(value, indent=2, sort_keys=True) + "\n")
+    files.move(spark, part, path)
+
+
+def content(spark: SparkSession, path: str) -> list[int]:
+    """Number of lines and a sum of their hashes, by tasks: equal for equal lines in any order."""
+    total = _lines_of(spark, path).agg(F.count(F.lit(1)), F.sum(F.xxhash64("value").cast("decimal(38,0)"))).first()
+    return [total[0], int(total[1] or 0)]

@@ -160,7 +160,7 @@ def write_session(folder: Path, rows, truth):
 def test_session(spark, tmp_path):
     rows, truth = clusters(5)
     write_session(tmp_path / "data", rows, truth)
-    out = run(spark, str(tmp_path / "data"), str(tmp_path / "out"), aim=True, threads=[1, 2], seeds=["a", "b"])
+    out = Path(run(spark, str(tmp_path / "data"), str(tmp_path / "out"), aim=True, threads=[1, 2], seeds=["a", "b"]))
     table = [x.split("\t") for x in (out / "SUMMARY.tsv").read_text().splitlines()]
     at = {c: i for i, c in enumerate(table[0])}
     assert sorted(r[at["round"]] for r in table[1:]) == ["1", "1", "2", "2", "MEAN", "MEAN"]
@@ -182,8 +182,11 @@ def test_session(spark, tmp_path):
     assert ev.canonical_digest(pred) == hashlib.sha256("".join(f"{k}\t{ids[k]}\n" for k in sorted(ids)).encode()).hexdigest()
     # truth, quality and provenance play no part in predictions
     write_session(tmp_path / "other", rows, {c: "T" * 40 for c in truth})
-    again = run(spark, str(tmp_path / "other"), str(tmp_path / "out"), seeds=["z"])
-    assert (again / "threads_1_round_1" / "pred.tsv").read_text() in preds
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    again = Path(run(spark, str(tmp_path / "other"), str(tmp_path / "out"), seeds=["z"], digest=True))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+    assert not [p for p in again.rglob(".*") if p.name not in (".orders",) and not p.name.endswith(".crc")]
+    assert (again / f"threads_{spark.sparkContext.defaultParallelism}_round_1" / "pred.tsv").read_text() in preds
 
 
 def test_failed_sessions_are_marked(spark, tmp_path):
@@ -417,3 +420,57 @@ def test_prefixes_equal_their_reads_alone(spark, monkeypatch, chunk):
         heads += [(f"{c}/{seen[c]}", n, x) for x in by[c]]
     want = sequences(spark, heads)
     assert {f"{c}/{i}": x for (c, i), x in got.items()} == want
+
+
+@pytest.fixture
+def remote(spark, tmp_path):
+    """A path that only Hadoop's file systems resolve, and the local folder behind it."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.kept.link./in", f"file://{tmp_path}")
+    conf.set("fs.viewfs.impl.disable.cache", "true")
+    return "viewfs://kept/in", tmp_path
+
+
+def test_sessions_on_another_file_system(spark, remote):
+    """Truth is found there, results are published there, and nothing of it is written elsewhere."""
+    url, local = remote
+    rows, truth = clusters(4)
+    write_session(local / "data", rows, truth)
+    out = run(spark, f"{url}/data", f"{url}/out", aim=True, threads=[2], seeds=["a"])
+    folder = local / "out" / out.rsplit("/", 1)[1]
+    table = [x.split("\t") for x in (folder / "SUMMARY.tsv").read_text().splitlines()]
+    assert dict(zip(*table))["evaluated_clusters"] == "4" and out.startswith(url)
+    assert '"COMPLETED"' in (folder / "RUN_STATUS.json").read_text()
+    pred = [x.split("\t")[2] for x in (folder / "threads_2_round_1" / "pred.tsv").read_text().splitlines()]
+    assert pred == ["cluster_id", "0", "1", "2", "3"]
+
+
+def test_input_that_changes_fails_a_session(spark, remote, monkeypatch):
+    url, local = remote
+    rows, _ = clusters(3)
+    write_session(local / "data", rows, None)
+    whole = ev.totals
+
+    def changed(pred):
+        write_session(local / "data", rows[::-1], None)
+        return whole(pred)
+
+    monkeypatch.setattr(ev, "totals", changed)
+    with pytest.raises(ValueError, match="changed while"):
+        run(spark, f"{url}/data", f"{url}/out", seeds=["a"], digest=True)
+    assert [p.name.rsplit(".", 1)[1] for p in (local / "out").iterdir() if not p.name.startswith(".")] == ["failed"]
+
+
+def test_nothing_is_visible_before_the_rename(spark, tmp_path, monkeypatch):
+    from readloom.sources import files
+
+    def broken(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(files, "move", broken)
+    with pytest.raises(OSError, match="lost"):
+        tsv.write_rows(spark.range(3), str(tmp_path / "x.tsv"))
+    assert all(p.name.startswith(".") for p in tmp_path.iterdir())
+    monkeypatch.undo()
+    tsv.write_rows(spark.range(3).selectExpr("3 - id AS n", "IF(id = 1, NULL, 0.1 * id) AS x"), str(tmp_path / "x.tsv"), "n")
+    assert (tmp_path / "x.tsv").read_text() == "n\tx\n1\t0.2\n2\tNA\n3\t0.0\n"
