@@ -265,7 +265,7 @@ def choose(beams: Beams, c: int, design: int, exact: str | None, common: str | N
     return common or "", 5, None
 
 
-def _favourites(reads: list[bytes], n: list[int], design: int) -> tuple[str | None, str | None]:
+def favourites(reads: list[bytes], n: list[int], design: int) -> tuple[str | None, str | None]:
     top = lambda rows: min(rows)[1].decode() if rows else None
     rows = [(-m, r) for r, m in zip(reads, n)]
     return top([x for x in rows if len(x[1]) == design]), top(rows)
@@ -276,7 +276,7 @@ def decode_lists(ids: list[str], design: list[int], reads: list[list[bytes]], n:
     e = Evidence.of_reads(reads, n, cfg.k)
     beams, out = Beams(e, design, cfg), []
     for c, name in enumerate(ids):
-        seq, family, score = choose(beams, c, design[c], *_favourites(reads[c], n[c], design[c]))
+        seq, family, score = choose(beams, c, design[c], *favourites(reads[c], n[c], design[c]))
         out.append((name, design[c], sum(e.hist[c].values()), seq, family, score))
     return _batch(out, DECODED)
 
@@ -313,7 +313,7 @@ def _decode(cfg: Config, what: str, from_ledger: bool):
             rows = batch.column("reads").to_pylist()
             reads, n = [[x["seq"].encode() for x in r] for r in rows], [[x["n"] for x in r] for r in rows]
             e = Evidence.of_reads(reads, n, cfg.k)
-            favourite = [_favourites(r, m, d) for r, m, d in zip(reads, n, design)]
+            favourite = [favourites(r, m, d) for r, m, d in zip(reads, n, design)]
         beams = Beams(e, design, cfg, what == "frontier")
         if what == "frontier":
             name = np.array(ids, object)

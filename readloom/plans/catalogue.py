@@ -19,6 +19,7 @@ from readloom.plans.staging import scratch
 from readloom.schema import READS, Config
 from readloom.sources import tsv
 from readloom.sources.derived import LENGTH, event_reads
+from readloom.streaming.maps import state_store, stream_clusters
 from readloom.streaming.reads import stream_decode, stream_multiplicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,3 +597,11 @@ def stream_counts(spark, d):
 def stream_reconstruct(spark, d):
     sizes = reads(spark, d).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("total_reads"))
     return _finished(stream_decode(_stream(spark, d).join(sizes, "cluster_id")), spark, "append")
+
+
+@_query(f"{_beam_sql(Config())} SELECT cluster_id, reads AS total_reads, sequence, family, TRUE AS complete FROM chosen JOIN stat USING (cluster_id)")
+def stream_reconstruct_maps(spark, d):
+    """As stream_reconstruct, with state in maps."""
+    sizes = reads(spark, d).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("total_reads"))
+    with state_store(spark):
+        return _finished(stream_clusters(_stream(spark, d).join(sizes, "cluster_id")), spark, "append")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from readloom.functions.columns import canonical
-from readloom.operators.decode import Beams, Evidence, choose, _favourites
+from readloom.operators.decode import Beams, Evidence, choose, favourites
 from readloom.schema import Config
 
 
@@ -37,7 +37,7 @@ def stream_decode(reads: DataFrame, cfg: Config = Config()) -> DataFrame:
         if not done and sum(held.values()) >= total:
             reads = [s.encode() for s in held]
             beams = Beams(Evidence.of_reads([reads], [list(held.values())], cfg.k), [length], cfg)
-            seq, family, _ = choose(beams, 0, length, *_favourites(reads, list(held.values()), length))
+            seq, family, _ = choose(beams, 0, length, *favourites(reads, list(held.values()), length))
             state.update(([], [], True))
             yield pd.DataFrame({"cluster_id": [key[0]], "total_reads": [total], "sequence": [seq], "family": [family]})
         elif not done:

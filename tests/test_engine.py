@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -20,6 +21,7 @@ from readloom.operators.decode import buckets, decode
 from readloom.plans.session import run
 from readloom.schema import PREDICTION, READS, Config, parse_threads
 from readloom.sources import tsv
+from readloom.streaming.maps import CLOSED, state_store, stream_clusters
 
 SCHEMA = "cluster_id string, design_length int, read_sequence string"
 
@@ -474,3 +476,51 @@ def test_nothing_is_visible_before_the_rename(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     tsv.write_rows(spark.range(3).selectExpr("3 - id AS n", "IF(id = 1, NULL, 0.1 * id) AS x"), str(tmp_path / "x.tsv"), "n")
     assert (tmp_path / "x.tsv").read_text() == "n\tx\n1\t0.2\n2\tNA\n3\t0.0\n"
+
+
+def _into(spark, source, rows, name):
+    spark.createDataFrame(rows, SCHEMA + ", total_reads long").coalesce(1).write.parquet(f"{source}/{name}")
+
+
+def _streamed(spark, source, out):
+    """Runs the stream over what is new, a file a batch; its progress."""
+    stream = spark.readStream.schema(SCHEMA + ", total_reads long").option("maxFilesPerTrigger", 1).parquet(f"{source}/*/*.parquet")
+    with state_store(spark):
+        query = stream_clusters(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return [p for p in query.recentProgress if p["numInputRows"] or p["stateOperators"]]
+
+
+def test_state_in_maps_over_restarts(spark, tmp_path):
+    rows, _ = clusters(n=6, reads=10)
+    total = [(*r, 10) for r in rows]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    want = sequences(spark, rows)
+    got = lambda: sorted((r.cluster_id, r.sequence, r.family, r.total_reads, r.complete) for r in spark.read.parquet(out).collect())
+    _into(spark, source, [r for i, r in enumerate(total) if i % 10 < 8], "a")  # eight of ten reads of each
+    _streamed(spark, source, out)
+    assert got() == []
+    _into(spark, source, [r for i, r in enumerate(total) if r[0] == "0" and i % 10 >= 8], "b")
+    progress = _streamed(spark, source, out)  # another query, from the checkpoint
+    assert [x[0] for x in got()] == ["0"]
+    # what a batch writes is its own: two reads and the cluster's value, and not the eight of five other clusters
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in progress) <= 8
+    _into(spark, source, [r for i, r in enumerate(total) if r[0] != "0" and i % 10 >= 8] + total[:3], "c")  # late reads of a closed cluster
+    _streamed(spark, source, out)
+    assert got() == sorted((c, s, f, 10, True) for c, (s, f) in want.items())
+
+
+def test_clusters_that_never_end_are_sent_out_once(spark, tmp_path):
+    rows, _ = clusters(n=2, reads=6)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _into(spark, source, [(*r, 99 if r[0] == "1" else 6) for r in rows], "a")
+    found = lambda: sorted((r.cluster_id, r.total_reads, r.complete) for r in spark.read.schema(CLOSED).parquet(out).collect())
+    stream = spark.readStream.schema(SCHEMA + ", total_reads long").parquet(f"{source}/*/*.parquet")
+    for wait in (60, 3):  # from the checkpoint a second time, when nothing is left to send out
+        with state_store(spark):  # timers keep a stream at work, so this one is stopped
+            query = stream_clusters(stream, patience_ms=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(processingTime="200 milliseconds").start()
+        end = time.time() + wait
+        while time.time() < end and (wait == 3 or not Path(out).exists() or len(found()) < 2):
+            time.sleep(0.5)
+        query.stop()
+        assert query.exception() is None and found() == [("0", 6, True), ("1", 6, False)]
