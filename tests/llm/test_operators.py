@@ -655,3 +655,42 @@ def test_long_words_of_a_polynomials_blind_spot():
 
     w = next(blocks(pa.array([pattern + " " + pattern.translate(str.maketrans("ab", "ba")) + " " + pattern]))).words(SPACED)
     assert len(set(w.hash.tolist())) == 2 and w.hash[0] == w.hash[2]
+
+
+def test_quality_verdicts_against_brute_force(spark, sf):
+    """Ratios and verdicts by a loop of their own over the bands, and how many good documents the bands reject."""
+    import zstandard
+
+    def ratio(data):
+        return len(data) / len(zstandard.compress(data, quality.LEVEL)) if data else 1.0
+
+    def inside(data):
+        low, high = next((lo, hi) for below, lo, hi in quality.BANDS if len(data) < below)
+        return low <= ratio(data) <= high
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    extra = [(9001, "ab" * 40_000), (9002, "".join(chr(33 + (i * i * 31 + i // 7) % 90) for i in range(30_000))), (9003, " ".join(f"w{i}" for i in range(3000))), (9004, None), (9005, "word " * 4000)]
+    texts = {**{r.doc_id: r.text for r in docs}, **dict(extra)}
+    for g in quality.quality(made(spark, list(texts.items()))).collect():
+        data = (texts[g.doc_id] or "").encode()
+        chunks = [data[i : i + quality.CHUNK_BYTES] for i in range(0, len(data), quality.CHUNK_BYTES)] if len(data) > quality.CHUNK_BYTES else []
+        odd = sum(len(c) for c in chunks if not inside(c)) / max(1, len(data))
+        assert g.ratio == ratio(data) and g.odd_chunk_share == odd, g.doc_id
+        fine = not data or (inside(data) and odd <= quality.CHUNK_SHARE)
+        assert g.kept == (fine and not g.base_failed), g.doc_id
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    judged = [g for g in QUERIES["op9_quality"](spark, sf).collect() if g.doc_id in good and not g.base_failed]
+    assert sum(not g.kept for g in judged) <= 0.02 * len(judged)
+
+
+def test_shards_equal_a_plain_sort(spark):
+    """Without overfull ranges the shards are those of one sort by key and a running sum of sizes."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int"))).alias("text"))
+    keys = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("doc_id", F.lit(1)).alias("b"), (F.octet_length("text") + 16).alias("size")).collect()
+    total, seen, want, slots = sum(r["size"] for r in keys), 0, {}, Counter()
+    for r in sorted(keys, key=lambda r: (r.a, r.b, r.doc_id)):
+        shard = min(39, int((seen + r["size"] / 2) * 40 // total))
+        want[r.doc_id] = (shard, slots[shard])
+        slots[shard] += 1
+        seen += r["size"]
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs).collect()} == want
