@@ -219,7 +219,7 @@ def _again(met: DataFrame, hot: np.ndarray, key: str) -> DataFrame | None:
 def _hot(text: DataFrame, window: int) -> tuple[np.ndarray, int]:
     """Hot anchors, sorted, and how many salts they get."""
     parts = max(2, int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    some = text.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0)
+    some = text.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0).select("doc_id", F.lit(0).cast("long").alias("key"), "text")
     counted = map_arrow(some, _seeds(window, np.empty(0, U), 1), "anchor long, salt int, context long, doc_id long, key long, pos int").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     most = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "anchor").limit(SHARE * parts).collect()
     if not most:
