@@ -134,7 +134,7 @@ _TEMPLATES = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(license
 _TERM = licenses.TERM
 _OP3 = rf"""
 WITH f AS (SELECT doc_id, '/' || source || '/' || CAST(doc_id // 100 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) AS path,
-             '/' || source || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir, '/' || source AS top, coalesce(text, '') AS text FROM documents),
+             '/' || source || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir, '/' || source AS top, regexp_replace(coalesce(text, ''), '{licenses.TAG}', ' ', 'g') AS text FROM documents),
 t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS v(template, license, unit)),
 tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM t) GROUP BY 1, 2, 3),
 idf AS (SELECT term, ln({1 + len(licenses.TEMPLATES)}.0 / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
@@ -148,7 +148,9 @@ hw AS (SELECT doc_id, unit_no, term, tf * coalesce(idf, ln({1 + len(licenses.TEM
 hn AS (SELECT doc_id, unit_no, sqrt(sum(w * w)) AS norm FROM hw GROUP BY 1, 2),
 cos AS (SELECT hw.doc_id, hw.unit_no, tw.template, tw.license, round(sum(hw.w * tw.w) / any_value(hn.norm * tn.norm), 4) AS score
         FROM hw JOIN tw USING (term) JOIN hn ON hn.doc_id = hw.doc_id AND hn.unit_no = hw.unit_no JOIN tn ON tn.template = tw.template GROUP BY 1, 2, 3, 4),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY score DESC, license) AS r FROM cos) WHERE r = 1 AND score >= {licenses.LEAST}),
+lic AS (SELECT doc_id, unit_no, license, max(score) AS score FROM cos GROUP BY 1, 2, 3),
+best AS (SELECT * FROM (SELECT *, row_number() OVER o AS r, coalesce(lead(score) OVER o, 0) AS second FROM lic WINDOW o AS (PARTITION BY doc_id, unit_no ORDER BY score DESC, license))
+         WHERE r = 1 AND score >= {licenses.LEAST} AND round((score - second) * 10000) >= {round(licenses.MARGIN * 10000)}),
 own AS (SELECT * FROM (SELECT doc_id, license AS own_license, score AS own_score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, unit_no) AS r FROM best) WHERE r = 1),
 covered AS (SELECT best.doc_id, sum(len(u.terms)) AS c FROM best JOIN u ON u.doc_id = best.doc_id AND u.unit_no = best.unit_no GROUP BY 1),
 j AS (SELECT f.*, own_license, own_score, coalesce(2 * c >= len(regexp_extract_all(lower(f.text), '{_TERM}')), FALSE) AS license_file

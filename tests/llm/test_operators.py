@@ -694,3 +694,28 @@ def test_shards_equal_a_plain_sort(spark):
         slots[shard] += 1
         seen += r["size"]
     assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs).collect()} == want
+
+
+def test_licences_in_code_expressions_and_readmes(spark):
+    from readloom.llm.license_texts import TEXTS
+
+    text, code = dict(TEXTS), "\nstatic int add(int a, int b) { return a + b; }\n" * 60
+    comment = lambda t, lead: "\n".join(lead + x for x in t.strip().split("\n"))
+    files = [
+        ("/*\n" + text["MIT"] + "\n*/" + code, "MIT"),
+        (comment(text["BSD-3-Clause"], "# ") + code, "BSD-3-Clause"),
+        (comment(text["BSD-2-Clause"], "// ") + code, "BSD-2-Clause"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n" + code, "MIT OR Apache-2.0"),
+        ("# SPDX-License-Identifier: GPL-2.0-only\n" + code, "GPL-2.0"),
+        ("# SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0\n" + code, "GPL-2.0"),
+        ("# SPDX-License-Identifier: BSD-2-Clause\n" + code, "BSD-2-Clause"),
+        ("# SPDX-License-Identifier: MIT OR Foo-9.9\n" + code, None),
+        ('<p>Licensed under the <a href="http://x.org/l">Apache License, Version 2.0</a>.</p>\n' + code, "Apache-2.0"),
+        ("A tool.\nlicensed under the MIT license - see the LICENSE file\n" + code, "MIT"),
+        ("This project is licensed under the Foo License - see the LICENSE file for details.\n" + code, None),
+        ("See the LICENSE file for details.\n" + code, None),
+    ]
+    rows = [(i, f"/c{i}/x", t) for i, (t, _) in enumerate(files)] + [(100, "/t/LICENSE", "Copyright (c) 2020 A. Body\n\n" + text["BSD-2-Clause"]), (101, "/same/a", files[0][0]), (101, "/same/b", "no words on it")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert Counter((r.doc_id, r.path, r.own_license) for r in got) == Counter([(i, f"/c{i}/x", x) for i, (_, x) in enumerate(files)] + [(100, "/t/LICENSE", "BSD-2-Clause"), (101, "/same/a", "MIT"), (101, "/same/b", None)])
+    assert [r.doc_id for r in got if r.license_file] == [100]
