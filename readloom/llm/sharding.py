@@ -2,11 +2,13 @@
 
 Rows are ordered by (hash of text, hash of doc_id), so equal texts lie together and one text's copies can still be parted.
 Splitters: keys are drawn with a chance in proportion to their size, quantiles of the draw cut the key space into many
-more ranges than shards.  Ranges over twice their share (one key repeated, or an unlucky draw) are subdivided by a hash.
+more ranges than shards.  Ranges over twice their share of bytes, or over twice ``RANGE_ROWS`` rows (one key repeated, an
+unlucky draw, or more rows than the first level has ranges for), are subdivided by a hash: the second level.
 Ranges' exact bytes and rows then give every range its place; a row's place in its range gives its shard and slot.  So
 shards' sizes differ by about one row's size, whatever was drawn, and no task sorts more than one range.
 
-The draw is ``DRAWS`` keys a range on average and ranges are at most ``MOST_RANGES``: that bounds what the driver holds.
+The draw is ``DRAWS`` keys a range on average and the first level has at most ``MOST_RANGES``: that bounds what the driver
+holds.  It bounds nothing else: whatever the number of rows, a piece of the second level has about ``RANGE_ROWS`` at most.
 
 A null text has size 16 and the empty text's hash and checksum.  Rows that repeat a doc_id get a slot each.  Law ``bytes``.
 """
@@ -58,10 +60,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             cuts.append((h1, h2))
             seen = max(seen, (len(cuts)) * each)
     keyed = keys.withColumn("range", _range(cuts))
-    sizes = keyed.groupBy("range").agg(F.sum("size").alias("bytes"))
+    sizes = keyed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     share = F.lit(max(total, 1) / ranges)
-    parts = F.when(F.col("bytes") > 2 * share, F.ceil(F.col("bytes") / share)).otherwise(F.lit(1)).alias("parts")
-    # at most ``ranges`` rows, then at most three times as many
+    over = lambda x, least: F.when(x > 2 * least, F.ceil(x / least)).otherwise(F.lit(1))
+    parts = F.greatest(over(F.col("bytes"), share), over(F.col("n"), F.lit(RANGE_ROWS))).alias("parts")
+    # at most ``ranges`` rows, then a row for each piece
     placed = staged(keyed.join(F.broadcast(sizes.select("range", parts)), "range").withColumn("part", F.pmod(F.xxhash64("h2", "doc_id", F.lit(3)), F.col("parts"))).drop("parts"), "ranges")
     before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = placed.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))

@@ -719,3 +719,25 @@ def test_licences_in_code_expressions_and_readmes(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
     assert Counter((r.doc_id, r.path, r.own_license) for r in got) == Counter([(i, f"/c{i}/x", x) for i, (_, x) in enumerate(files)] + [(100, "/t/LICENSE", "BSD-2-Clause"), (101, "/same/a", "MIT"), (101, "/same/b", None)])
     assert [r.doc_id for r in got if r.license_file] == [100]
+
+
+def test_sharding_beyond_the_first_level(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' ELSE repeat('x', CAST(id % 97 AS INT)) END AS text")
+    monkeypatch.setattr(sharding, "LEAST_RANGES", 2)
+    monkeypatch.setattr(sharding, "MOST_RANGES", 4)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
+    pieces = []
+    whole = sharding.staged
+    monkeypatch.setattr(sharding, "staged", lambda df, tag: pieces.append(whole(df, tag)) or pieces[-1])
+    rows = sharding.shard(docs).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(3000))
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r)
+    assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
+    sizes = [sum(r.size for r in by.get(i, [])) for i in range(40)]
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in rows)
+    # four ranges for 3,000 rows, yet no task sorts many more than 50 of them
+    placed = next(p for p in pieces if "part" in p.columns)
+    assert placed.select("range").distinct().count() <= 4
+    assert max(r["count"] for r in placed.groupBy("range", "part").count().collect()) <= 150
