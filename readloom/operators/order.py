@@ -41,6 +41,36 @@ def broken(order: DataFrame, reads: DataFrame) -> DataFrame:
     return order.join(sizes, "cluster_id", "full_outer").where(~F.coalesce(right, F.lit(False))).select("cluster_id")
 
 
+def numbered(rows: DataFrame, by: str, folder: str) -> DataFrame:
+    """Rows with their ``ordinal`` (from 0, gapless) in the order of ``by``, whose values are distinct.
+
+    Rows are dealt to ranges of ``by`` and written to ``folder`` with their range, so that counting ranges and placing rows
+    see the same ones.  A row's ordinal is what all earlier ranges count, and its place in its own: no task sees more
+    than one range, but for the sums over one row a range.
+    """
+    rows.repartitionByRange(by).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    ranged = rows.sparkSession.read.parquet(folder)
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
+    return ranged.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn("ordinal", F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+
+
+def misplaced(order: DataFrame, reads: DataFrame, at: str, folder: str) -> DataFrame:
+    """``(cluster_id, read_ordinal, order_ordinal, state)`` where a pack's clusters aren't those of the reads in their order.
+
+    Both sides have a column ``at``; a cluster of the reads stands where its first read does.  States: ``moved``,
+    ``missing`` from the pack, ``extra`` in it, and ``repeated`` for a cluster that the pack has again, at its later places.
+    """
+    first = reads.groupBy("cluster_id").agg(F.min(at).alias("_at"))
+    a = numbered(first, "_at", f"{folder}/reads").select("cluster_id", F.col("ordinal").alias("read_ordinal"))
+    b = numbered(order.select("cluster_id", F.col(at).alias("_at")), "_at", f"{folder}/order").select("cluster_id", F.col("ordinal").alias("order_ordinal"))
+    again = F.row_number().over(Window.partitionBy("cluster_id").orderBy("order_ordinal")) > 1
+    state = F.when(F.col("again"), "repeated").when(F.col("order_ordinal").isNull(), "missing").when(F.col("read_ordinal").isNull(), "extra").otherwise("moved")
+    both = a.join(b.withColumn("again", again), "cluster_id", "full_outer").where("again OR NOT read_ordinal <=> order_ordinal")
+    return both.select("cluster_id", "read_ordinal", "order_ordinal", state.alias("state"))
+
+
 def replay(reads: DataFrame, order: DataFrame, at: str) -> DataFrame:
     """Reads with their ``arrival`` (from 1): positions in the order of ``at`` meet the permutation by an equi-join."""
     placed = reads.withColumn("_i", F.row_number().over(Window.partitionBy("cluster_id").orderBy(at)) - 1)

@@ -110,6 +110,15 @@ def id_differences(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return a.join(b, "cluster_id", "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, "cluster_id", "left_anti").withColumn("side", F.lit("extra")))
 
 
+#: Fixed value: why a reference has no part in an evaluation.
+NO_READS = "TRUTH_ONLY_NO_READS"
+
+
+def without_reads(truth: DataFrame, reads: DataFrame) -> DataFrame:
+    """``(cluster_id, reason)``: references whose cluster has no read."""
+    return truth.select("cluster_id").distinct().join(reads.select("cluster_id"), "cluster_id", "left_anti").withColumn("reason", F.lit(NO_READS))
+
+
 def require(found: DataFrame, what: str) -> None:
     """Raises with the first ten rows in order, and how many there are."""
     first = found.orderBy(*found.columns).limit(10).collect()

@@ -507,6 +507,26 @@ def broken_orders(spark, d):
     return od.broken(n.where(kind != 2).select("cluster_id", F.when(kind == 0, right).otherwise(F.transform(right, lambda _: F.lit(0))).alias("permutation")), r)
 
 
+@_query(f"""{_READS}, f AS (SELECT cluster_id, CAST(cluster_id AS BIGINT) % 11 AS k, min(e) AS p FROM c GROUP BY 1),
+a AS (SELECT cluster_id, row_number() OVER (ORDER BY p) - 1 AS read_ordinal FROM f),
+b AS (SELECT cluster_id, row_number() OVER (ORDER BY CASE WHEN k = 4 THEN p + 1000000000000 ELSE p END) - 1 AS order_ordinal FROM f WHERE k <> 7)
+SELECT coalesce(a.cluster_id, b.cluster_id) AS cluster_id, read_ordinal, order_ordinal, CASE WHEN order_ordinal IS NULL THEN 'missing' ELSE 'moved' END AS state
+FROM a LEFT JOIN b ON a.cluster_id = b.cluster_id WHERE read_ordinal IS DISTINCT FROM order_ordinal""")
+def misplaced_orders(spark, d):
+    """A pack that lacks some clusters and has others at its end."""
+    r = reads(spark, d).withColumn("at", F.col("read_id").cast("long"))
+    k = F.col("cluster_id").cast("long") % 11
+    pack = r.where(k != 7).groupBy("cluster_id").agg(F.min("at").alias("at")).withColumn("at", F.when(k == 4, F.col("at") + 1_000_000_000_000).otherwise(F.col("at")))
+    return od.misplaced(pack, r, "at", scratch(spark, "orders"))
+
+
+@_query(f"{_READS} SELECT DISTINCT cluster_id, 'TRUTH_ONLY_NO_READS' AS reason FROM c WHERE cluster_id NOT IN (SELECT cluster_id FROM c WHERE length(seq) = design_length AND e % 3 = 0)")
+def truth_without_reads(spark, d):
+    r = reads(spark, d)
+    some = r.where((F.length("read_sequence") == F.col("design_length")) & (F.col("read_id").cast("long") % 3 == 0))
+    return va.without_reads(_truth(spark, d), some)
+
+
 _MATRIX = "SELECT CAST(cluster_id AS BIGINT) % 7 AS d, CAST(cluster_id AS BIGINT) % 4 AS t, count(*) AS n, sum(length(seq)) AS m FROM c"
 
 

@@ -524,3 +524,18 @@ def test_clusters_that_never_end_are_sent_out_once(spark, tmp_path):
             time.sleep(0.5)
         query.stop()
         assert query.exception() is None and found() == [("0", 6, True), ("1", 6, False)]
+
+
+def test_order_of_clusters(spark, tmp_path):
+    reads = spark.createDataFrame([(c, i) for i, c in enumerate("aabbbcdde")], "cluster_id string, at long").repartition(5)
+    pack = lambda s: spark.createDataFrame([(c, 10 * i - 7) for i, c in enumerate(s)], "cluster_id string, at long").repartition(3)
+    found = lambda s, i: {(r.cluster_id, r.read_ordinal, r.order_ordinal, r.state) for r in od.misplaced(pack(s), reads, "at", str(tmp_path / str(i))).collect()}
+    assert found("abcde", 0) == set()
+    assert found("abdce", 1) == {("c", 2, 3, "moved"), ("d", 3, 2, "moved")}
+    assert found("abcd", 2) == {("e", 4, None, "missing")}
+    assert found("abcdex", 3) == {("x", None, 5, "extra")}
+    assert found("abcdea", 4) == {("a", 0, 5, "repeated")}
+    many = spark.range(10_000).selectExpr("id * id AS at", "id").repartition(7)
+    rows = od.numbered(many, "at", str(tmp_path / "many"))
+    assert rows.where("ordinal = id").count() == 10_000
+    assert od.numbered(many.limit(0), "at", str(tmp_path / "none")).count() == 0
