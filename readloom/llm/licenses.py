@@ -116,7 +116,7 @@ def _marked(column: str) -> Column:
 def _weighted(units: DataFrame, key: list[str], idf: DataFrame) -> DataFrame:
     """Rows of ``(kind, key, term, w)`` with the unit's length ``norm``."""
     key = ["kind", *key]
-    tf = units.select(*key, F.explode(_terms("unit")).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = units.select(*key, F.explode(_terms("unit")).alias("term")).where("term is not null").groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     unknown = _of_kind({kind: math.log(1 + len(t)) + 1 for kind, (t, _, _) in KINDS.items()})
     w = tf.join(F.broadcast(idf), ["kind", "term"], "left").withColumn("w", F.col("tf") * F.coalesce("idf", unknown))
     norm = w.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
