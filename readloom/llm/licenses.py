@@ -95,7 +95,7 @@ TAG = r"</?[A-Za-z][^<>\n]*>"
 EXPRESSION = r"(?i)SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+(?:[ \t()]+(?:OR|AND|WITH)[ \t()]+[A-Za-z0-9.+-]+)*+)"
 MARK = "(?i)licen[sc]|copyright|spdx|public domain"
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
-LEAST, TEXT_LEAST, MARGIN, BLOCK_TERMS = 0.7, 0.9, 0.005, 50
+LEAST, TEXT_LEAST, MARGIN, BLOCK_TERMS, SALTS = 0.7, 0.9, 0.005, 50, 16
 NOTICE, PARAGRAPH, BLOCK, WHOLE = range(4)
 #: Templates, least cosine and margin of each kind of unit.
 KINDS = {NOTICE: (TEMPLATES, LEAST, MARGIN), PARAGRAPH: (HEADERS, LEAST, MARGIN), BLOCK: (TEXTS, TEXT_LEAST, 0.0), WHOLE: (TEXTS, TEXT_LEAST, 0.0)}
@@ -194,7 +194,10 @@ def scan(files: DataFrame) -> DataFrame:
     )
     terms = marked.select("text_key", F.size(_terms("text")).alias("terms"))
     own = own.join(terms, "text_key").select("text_key", F.col("best.license").alias("own_license"), F.col("best.score").alias("own_score"), (F.col("whole") | F.coalesce(2 * F.col("covered") >= F.col("terms"), F.lit(False))).alias("license_file"))
-    judged = rows.join(own, "text_key", "left").drop("text_key").withColumn("license_file", F.coalesce("license_file", F.lit(False)))
+    # one text may be that of very many rows: these are spread, and the few answers repeated
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)).cast("int"))
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = salted.join(own, ["text_key", "salt"], "left").drop("text_key", "salt").withColumn("license_file", F.coalesce("license_file", F.lit(False)))
     homes = judged.where("license_file and dir is not null").groupBy("dir").agg(F.max_by("own_license", F.struct("own_score", -F.col("doc_id"))).alias("dir_license"))
     dirs = rows.select("dir").where("dir is not null").distinct()
     parts = F.split("dir", "/")
