@@ -14,10 +14,12 @@ bases shorter or longer, both at once, nearest first, (4) paths of the reads' ow
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,33 @@ def _length_model(hist: dict[int, int], cfg: Config):
     return (lo, hi), score
 
 
+def _bands(first: np.ndarray, succ: np.ndarray, support: np.ndarray, steps: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First step of each cluster's band, and the one after its last.
+
+    A walk takes the most frequent base at every step up to the design length (of equal ones the first in the alphabet); the
+    weakest step is the first one whose best base leads its next one by the least.  As the totals cancel, a lead is measured
+    by the ratio of both counts, each plus one.  The band lies around that step as far as there are steps on both sides.
+    """
+    rows = np.arange(len(support))
+    letter = support.argmax(axis=1)
+    top = support[rows, letter]
+    rest = support.copy()
+    rest[rows, letter] = 0
+    second = rest.max(axis=1)
+    lead = np.where(second > 0, (top + 1) / (second + 1), np.inf)
+    ahead = np.where(top > 0, succ[rows, letter], -1)
+    at, weakest, least = first.copy(), np.zeros(len(first), np.int64), np.full(len(first), np.inf)
+    for t in range(int(steps.max(initial=0))):
+        at[t >= steps] = -1
+        if not (at >= 0).any():
+            break
+        weaker = (at >= 0) & (lead[at] < least)
+        weakest[weaker], least[weaker] = t, lead[at[weaker]]
+        at = np.where(at >= 0, ahead[at], -1)
+    stop = np.minimum(steps, np.maximum(0, weakest - width // 2) + width)
+    return np.maximum(0, stop - width), stop
+
+
 class Beams:
     """All steps of all clusters of a batch.
 
@@ -145,13 +174,23 @@ class Beams:
         end = np.zeros(len(node) + 1)
         end[np.searchsorted(node, e.end)] = e.end_n
         bonus = 0.05 * np.log1p(end)
+        steps = np.maximum(0, np.array(design, np.int64) - k)
 
         owner = e.start >> 32
         order = np.lexsort((e.start & 0xFFFFFFFF, -e.start_n, owner))
         owner, key, n = owner[order], e.start[order], e.start_n[order].astype(float)
         total, kinds = np.bincount(owner, n, C), np.bincount(owner, minlength=C)
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        keep = place < B
+        if cfg.band:
+            counts = np.zeros((len(node) + 1, 4))
+            counts[at, base] = support
+            first = np.full(C, -1, np.int64)
+            first[owner[place == 0]] = np.searchsorted(node, key[place == 0])
+            lo, hi = _bands(first, succ, counts, steps, cfg.band)
+            width = lambda t, c: np.where((lo[c] <= t) & (t < hi[c]), B, 1)
+        else:
+            width = lambda t, c: np.full(len(c), B)
+        keep = place < width(0, owner)
         owner, key, n = owner[keep], key[keep], n[keep]
         order = np.argsort(key, kind="stable")
         owner, key, n = owner[order], key[order], n[order]
@@ -201,7 +240,7 @@ class Beams:
             worst[ok] = -buckets(score[ok])
             best = worst.argsort(axis=1, kind="stable")[:, :B]
             rows = np.arange(len(live))[:, None]
-            best = np.where(ok[rows, best], best, 4 * B)
+            best = np.where(ok[rows, best] & (np.arange(best.shape[1]) < width(length - k, live)[:, None]), best, 4 * B)
             best.sort(axis=1)
             good = best < 4 * B
             best = np.minimum(best, 4 * B - 1)
@@ -282,6 +321,8 @@ def decode_lists(ids: list[str], design: list[int], reads: list[list[bytes]], n:
 
 
 DECODED = "cluster_id string, design_length int, total_reads long, sequence string, family int, score double"
+#: With the task that decoded the cluster, and the cluster's share of the time that its batch took there.
+TIMED = DECODED + ", task int, seconds double"
 CANDIDATES = "cluster_id string, length int, place int, sequence string, score double, soft boolean, window boolean"
 FRONTIER = "cluster_id string, length int, place int, sequence string"
 
@@ -293,6 +334,7 @@ def _decode(cfg: Config, what: str, from_ledger: bool):
                 yield from one(batch.slice(lo, 512))
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        began = time.perf_counter()
         ids, design = batch.column("cluster_id").to_pylist(), batch.column("design_length").to_pylist()
         if from_ledger:
             e, own = Evidence(len(ids), cfg.k), np.arange(len(ids))
@@ -334,7 +376,11 @@ def _decode(cfg: Config, what: str, from_ledger: bool):
             for c, name in enumerate(ids):
                 seq, family, score = choose(beams, c, design[c], *favourite[c])
                 out.append((name, design[c], sum(e.hist[c].values()), seq, family, score))
-            yield _batch(out, DECODED)
+            if what == "timed":
+                each = (TaskContext.get().partitionId(), (time.perf_counter() - began) / max(1, len(out)))
+                yield _batch([(*row, *each) for row in out], TIMED)
+            else:
+                yield _batch(out, DECODED)
 
     return run
 
@@ -409,13 +455,13 @@ def decode_counted(mult: DataFrame, cfg: Config = Config(), split: int = SPLIT)
     return _branches(mult, cfg, "decode", DECODED, split)
 
 
-def decode(reads: DataFrame, cfg: Config = Config(), split: int | None = SPLIT) -> DataFrame:
+def decode(reads: DataFrame, cfg: Config = Config(), split: int | None = SPLIT, timed: bool = False) -> DataFrame:
     """``reads(cluster_id, design_length, read_sequence)`` -> one row a cluster: sequence, family, score.
 
     ``split``: distinct reads from which a cluster is decoded from its summed ledger; None where clusters are known to be
-    small, which spares counting them.
+    small, which spares counting them.  ``timed``: with the columns ``task`` and ``seconds`` too.
     """
-    return _run(reads, cfg, "decode", DECODED, split)
+    return _run(reads, cfg, "timed", TIMED, split) if timed else _run(reads, cfg, "decode", DECODED, split)
 
 
 def candidates(reads: DataFrame, cfg: Config = Config(), split: int | None = SPLIT) -> DataFrame:
@@ -428,8 +474,8 @@ def frontier(reads: DataFrame, cfg: Config = Config(), split: int | None = SPLIT
     return _run(reads, cfg, "frontier", FRONTIER, split)
 
 
-def predictions(decoded: DataFrame, dataset: str) -> DataFrame:
-    """Prediction rows; every read is consumed."""
+def predictions(decoded: DataFrame, dataset: str, *more: str) -> DataFrame:
+    """Prediction rows; every read is consumed.  ``more``: columns to keep beside them."""
     n = F.col("total_reads")
     alias = F.least(F.lit(20), n).cast("int")
     return decoded.select(
@@ -442,6 +488,7 @@ def predictions(decoded: DataFrame, dataset: str) -> DataFrame:
         n.alias("total_reads"),
         F.col("sequence").alias("reconstructed_sequence"),
         F.when(F.col("sequence") != "", "completed_nonempty").otherwise("completed_empty").alias("status"),
+        *more,
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.distance import edit_distance
@@ -56,22 +56,35 @@ def canonical_digest(pred: DataFrame) -> str:
     return digest.hexdigest()
 
 
-def totals(pred: DataFrame) -> DataFrame:
-    """One row for a run: clusters, reads, clusters stopped early or without a sequence, repeated ids; it passes if all was consumed."""
-    n = pred.agg(
+def measures() -> list[Column]:
+    """Sums over the predictions of a run that need no grouping, so a job that writes them can observe them on its way."""
+    return [
         F.count(F.lit(1)).alias("clusters"),
         F.sum("total_reads").alias("total_reads"),
         F.sum("consumed_reads").alias("consumed_reads"),
         F.count_if(F.col("consumed_reads") < F.col("total_reads")).alias("early_clusters"),
         F.count_if(F.col("status") == "completed_empty").alias("completed_empty"),
-        (F.count(F.lit(1)) - F.count_distinct("cluster_id")).alias("duplicates"),
-    )
+    ]
+
+
+def totals(run: DataFrame | Observation) -> DataFrame | dict:
+    """Of a run: clusters, reads, clusters stopped early or without a sequence, repeated ids; it passes if all was consumed.
+
+    ``run``: predictions, which give one row, or what was observed of their ``measures``, which gives a dictionary, without
+    repeated ids and without a job.
+    """
+    if isinstance(run, Observation):
+        n = run.get
+        return n | {"status": "PASS" if n["completed_empty"] == 0 and n["consumed_reads"] == n["total_reads"] else "FAIL"}
+    n = run.agg(*measures(), (F.count(F.lit(1)) - F.count_distinct("cluster_id")).alias("duplicates"))
     return n.withColumn("status", F.when((F.col("completed_empty") == 0) & (F.col("consumed_reads") == F.col("total_reads")), "PASS").otherwise("FAIL"))
 
 
-def by_task(pred: DataFrame) -> DataFrame:
-    """Clusters and reads of each partition, as it lies."""
-    return pred.groupBy(F.spark_partition_id().alias("worker_id")).agg(F.count(F.lit(1)).alias("clusters"), F.sum("consumed_reads").alias("reads_consumed"))
+def by_task(pred: DataFrame, task: str | None = None) -> DataFrame:
+    """Clusters, reads, and seconds where there are any, of each value of ``task``; without it of each partition as it lies."""
+    worker = F.col(task) if task else F.spark_partition_id()
+    spent = [F.sum("seconds").alias("seconds")] if "seconds" in pred.columns else []
+    return pred.groupBy(worker.alias("worker_id")).agg(F.count(F.lit(1)).alias("clusters"), F.sum("consumed_reads").alias("reads_consumed"), *spent)
 
 
 def matrix(frames: dict[str, DataFrame], keys: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import columns as C
@@ -181,8 +181,28 @@ def exact_length_read(spark, d):
     return e.most_frequent_read(e.multiplicity(reads(spark, d)), exact=True)
 
 
+def _band_sql(cfg: Config) -> str:
+    """Walks along the most frequent bases; ``band``: steps ``lo`` to ``hi - 1`` have the whole beam."""
+    k, w, steps = cfg.k, cfg.band, LENGTH - cfg.k
+    return f"""
+succ AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, context ORDER BY support DESC, base) AS r FROM edge),
+ahead AS (SELECT cluster_id, context, max(base) FILTER (WHERE r = 1) AS base,
+   CAST(1 + max(support) FILTER (WHERE r = 1) AS DOUBLE) / CAST(1 + max(support) FILTER (WHERE r = 2) AS DOUBLE) AS lead FROM succ GROUP BY ALL),
+walk(cluster_id, t, context, base, lead) AS (
+  SELECT s.cluster_id, 0, s.context, a.base, a.lead FROM ranked s JOIN ahead a ON a.cluster_id = s.cluster_id AND a.context = s.context WHERE s.place = 1
+  UNION ALL
+  SELECT w.cluster_id, w.t + 1, a.context, a.base, a.lead FROM walk w JOIN ahead a ON a.cluster_id = w.cluster_id AND a.context = substr(w.context, 2) || w.base WHERE w.t + 1 < {steps}),
+weak AS (SELECT r.cluster_id, coalesce(min(x.t), 0) AS t FROM (SELECT DISTINCT cluster_id FROM ranked) r LEFT JOIN
+  (SELECT cluster_id, t, row_number() OVER (PARTITION BY cluster_id ORDER BY lead, t) AS p FROM walk WHERE lead IS NOT NULL) x ON x.cluster_id = r.cluster_id AND x.p = 1 GROUP BY ALL),
+band AS (SELECT cluster_id, greatest(0, least({steps}, greatest(0, t - {w // 2}) + {w}) - {w}) AS lo, least({steps}, greatest(0, t - {w // 2}) + {w}) AS hi FROM weak),"""
+
+
 def _beam_sql(cfg: Config) -> str:
     k, L = cfg.k, LENGTH
+    bands, join, width = "", "", lambda t: str(cfg.beam)
+    if cfg.band:
+        bands, join = _band_sql(cfg), "JOIN band ON band.cluster_id = {}.cluster_id"
+        width = lambda t: f"CASE WHEN {t} >= lo AND {t} < hi THEN {cfg.beam} ELSE 1 END"
     if cfg.prior == "median_band":
         score = "-0.75 * abs(b.len - stat.med) / greatest(3, floor(0.15 * stat.med + 0.5))"
         window = _window_sql("median_band")
@@ -191,16 +211,16 @@ def _beam_sql(cfg: Config) -> str:
         window = _window_sql("lognormal")
     window = window.replace(f"greatest({K},", f"greatest({k},")
     prior = "" if cfg.prior == "median_band" else "JOIN prior ON prior.cluster_id = b.cluster_id"
-    return f"""{_evidence(k)}, {_STARTS}, {window},
+    return f"""{_evidence(k)}, {_STARTS}, {window},{bands}
 gain AS (SELECT edge.cluster_id, edge.context, base, ln((edge.support + 1.0) / (outg.support + 4.0)) + 0.15 * ln(1.0 + edge.support) AS g FROM edge JOIN outg ON outg.cluster_id = edge.cluster_id AND outg.context = edge.context),
 beam(cluster_id, len, path, cum) AS (
-  SELECT cluster_id, {k}, context, ln((support + 1.0) / (total + greatest(1, kinds))) + 0.15 * ln(1.0 + support) FROM ranked WHERE place <= {cfg.beam}
+  SELECT ranked.cluster_id, {k}, context, ln((support + 1.0) / (total + greatest(1, kinds))) + 0.15 * ln(1.0 + support) FROM ranked {join.format("ranked")} WHERE place <= {width("0")}
   UNION ALL
   SELECT cluster_id, len, path, cum FROM (
-    SELECT b.cluster_id, b.len + 1 AS len, b.path || gain.base AS path, b.cum + gain.g AS cum,
+    SELECT b.cluster_id, b.len + 1 AS len, b.path || gain.base AS path, b.cum + gain.g AS cum,{" band.lo, band.hi," if cfg.band else ""}
            row_number() OVER (PARTITION BY b.cluster_id ORDER BY CAST(round((b.cum + gain.g) * 1e12) AS BIGINT) DESC, b.path || gain.base) AS r
-    FROM beam b JOIN gain ON gain.cluster_id = b.cluster_id AND gain.context = right(b.path, {k}) JOIN win ON win.cluster_id = b.cluster_id
-    WHERE b.len < greatest(win.hi, {L + 5})) WHERE r <= {cfg.beam}),
+    FROM beam b JOIN gain ON gain.cluster_id = b.cluster_id AND gain.context = right(b.path, {k}) JOIN win ON win.cluster_id = b.cluster_id {join.format("b")}
+    WHERE b.len < greatest(win.hi, {L + 5})) WHERE r <= {width(f"(len - {k + 1})")}),
 cand AS (SELECT b.cluster_id, b.len, b.path, b.cum / greatest(1, b.len - {k} + 1) + ({score}) + 0.05 * ln(1.0 + coalesce(end_.support, 0)) AS score,
            b.len BETWEEN {L - 5} AND {L + 5} AS soft, b.len BETWEEN win.lo AND win.hi AS win
          FROM beam b JOIN win ON win.cluster_id = b.cluster_id JOIN stat ON stat.cluster_id = b.cluster_id {prior}
@@ -222,7 +242,7 @@ def _reconstruct(name: str, cfg: Config) -> None:
     _query(f"{_beam_sql(cfg)} SELECT * FROM chosen")(run)
 
 
-for _name, _cfg in {"reconstruct": Config(), "reconstruct_k5": Config(k=5), "reconstruct_k12": Config(k=12), "reconstruct_k15": Config(k=15), "reconstruct_b4": Config(beam=4), "reconstruct_b8": Config(beam=8), "reconstruct_median_band": Config(prior="median_band")}.items():
+for _name, _cfg in {"reconstruct": Config(), "reconstruct_k5": Config(k=5), "reconstruct_k12": Config(k=12), "reconstruct_k15": Config(k=15), "reconstruct_b4": Config(beam=4), "reconstruct_b8": Config(beam=8), "reconstruct_median_band": Config(prior="median_band"), "reconstruct_banded": Config(band=8), "reconstruct_full_band": Config(band=LENGTH)}.items():
     _reconstruct(_name, _cfg)
 
 
@@ -475,6 +495,21 @@ def worker_totals(spark, d):
     return ev.by_task(_pred(spark, d)).agg(F.sum("clusters").alias("clusters"), F.sum("reads_consumed").alias("reads_consumed"))
 
 
+@_query(f"{_PRED} SELECT CAST(CAST(cluster_id AS BIGINT) % 8 AS INT) AS worker_id, count(*) AS clusters, CAST(sum(consumed_reads) AS BIGINT) AS reads_consumed FROM pred GROUP BY 1")
+def worker_ledger(spark, d):
+    """Clusters dealt to eight workers by their ids, and what each of them did."""
+    return ev.by_task(_pred(spark, d).withColumn("task", (F.col("cluster_id").cast("long") % 8).cast("int")), "task")
+
+
+@_query(f"{_PRED} SELECT count(*) AS clusters, CAST(sum(total_reads) AS BIGINT) AS total_reads, CAST(sum(consumed_reads) AS BIGINT) AS consumed_reads, count(*) FILTER (WHERE consumed_reads < total_reads) AS early_clusters, count(*) FILTER (WHERE status = 'completed_empty') AS completed_empty FROM pred")
+def observed_totals(spark, d):
+    """Measured by the job that writes the predictions, without one of its own."""
+    seen = Observation()
+    _pred(spark, d).observe(seen, *ev.measures()).write.parquet(scratch(spark, "observed"))
+    row = seen.get
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} long" for c in row))
+
+
 @_query(f"{_PRED} SELECT sha256(string_agg(cluster_id || chr(9) || reconstructed_sequence || chr(10), '' ORDER BY cluster_id)) AS sha256 FROM pred")
 def canonical_prediction_digest(spark, d):
     return spark.createDataFrame([(ev.canonical_digest(_pred(spark, d)),)], "sha256 string")

@@ -12,7 +12,7 @@ import time
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators import evaluate as ev
@@ -51,7 +51,7 @@ def identity(spark: SparkSession, data: str, digest: bool = False) -> dict[str,
 
 
 def _kinds(row: dict) -> str:
-    return ", ".join(f"{c} {'double' if c in (*METRICS, *TIMES, 'total_wall_seconds') else 'string' if isinstance(x, str) else 'long'}" for c, x in row.items())
+    return ", ".join(f"{c} {'double' if c in (*METRICS, *TIMES, 'total_wall_seconds', 'task_wall_seconds') else 'string' if isinstance(x, str) else 'long'}" for c, x in row.items())
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
@@ -101,7 +101,11 @@ def run(spark: SparkSession, data: str, results: str, aim: bool = False, length:
                 require(od.broken(order, reads), "the replay order is not one of the reads")
                 label = f"threads_{n}_round_{i}"
                 out = f"{stage}/{label}"
-                pred = _kept(predictions(decode(reads, cfg), dataset), f"{stage}/.kept/pred_{label}")
+                # the job that writes the predictions counts them too; a partition counts once, however often it is tried
+                seen = Observation()
+                timed = predictions(decode(reads, cfg, timed=True), dataset, "task", "seconds").observe(seen, *ev.measures(), F.sum("seconds").alias("task_wall_seconds"))
+                timed = _kept(timed, f"{stage}/.kept/pred_{label}")
+                pred = timed.drop("task", "seconds")
                 tsv.write_rows(pred, f"{out}/pred.tsv", "cluster_id")
                 tsv.write_rows(stop_points(pred, str(i)), f"{out}/STOP_POINT_WALL.tsv", "cluster_id")
                 engine = time.time() - t0
@@ -112,11 +116,13 @@ def run(spark: SparkSession, data: str, results: str, aim: bool = False, length:
                     require(evaluation_violations(scored), "distances are not valid")
                     row |= ev.summary(scored).first().asDict()
                 row |= {"engine_time_s": engine, "round_time_s": time.time() - t0, "pred": f"{label}/pred.tsv"} | closure(reads, pred, truth)
-                total = ev.totals(pred).first().asDict()
-                whole = {"dataset": dataset, "round_id": str(i), "workers": n} | total | {"total_wall_seconds": time.time() - t0}
+                total = ev.totals(seen)
+                spent, status = total.pop("task_wall_seconds"), total.pop("status")
+                total |= {"duplicates": row["duplicate_pred"], "status": status}
+                whole = {"dataset": dataset, "round_id": str(i), "workers": n} | total | {"total_wall_seconds": time.time() - t0, "task_wall_seconds": spent}
                 tsv.write_rows(spark.createDataFrame([tuple(whole.values())], _kinds(whole)), f"{out}/RUN_METRICS.tsv")
-                tsv.write_rows(ev.by_task(pred), f"{out}/WORKER_LEDGER.tsv", "worker_id")
-                if total["status"] != "PASS":
+                tsv.write_rows(ev.by_task(timed, "task"), f"{out}/WORKER_LEDGER.tsv", "worker_id")
+                if status != "PASS":
                     raise ValueError("a cluster has no sequence, or reads that weren't consumed")
                 tsv.write_rows(spark.createDataFrame([tuple(row.values())], _kinds(row)), f"{out}/summary.tsv")
                 rows.append(row)

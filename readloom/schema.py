@@ -24,26 +24,30 @@ LEAST_K, MOST_K, DEFAULT_K, MOST_LENGTH = 5, 15, 9, 1_000_000
 
 @dataclass(frozen=True)
 class Config:
-    """Context size, beam width, and prior over lengths (``lognormal`` or ``median_band``)."""
+    """Context size, beam width, and prior over lengths (``lognormal`` or ``median_band``).
+
+    ``band``: steps around a cluster's weakest one that have the whole beam, all others keep one path; 0 for no band.
+    """
 
     k: int = DEFAULT_K
     beam: int = 16
     prior: str = "lognormal"
+    band: int = 0
 
     def __post_init__(self):
-        if not (LEAST_K <= self.k <= MOST_K and self.beam in (4, 8, 16) and self.prior in ("lognormal", "median_band")):
+        if not (LEAST_K <= self.k <= MOST_K and self.beam in (4, 8, 16) and self.prior in ("lognormal", "median_band") and self.band >= 0):
             raise ValueError(f"unsupported configuration: {self}")
 
     @property
     def name(self) -> str:
-        return f"kmc_k{self.k}_b{self.beam}_{self.prior}"
+        return f"kmc_k{self.k}_b{self.beam}_{self.prior}" + (f"_band{self.band}" if self.band else "")
 
     @classmethod
     def parse(cls, name: str) -> Config:
-        m = re.fullmatch(r"kmc_k(\d+)_b(4|8|16)_(median_band|lognormal)", name)
+        m = re.fullmatch(r"kmc_k(\d+)_b(4|8|16)_(median_band|lognormal)(?:_band([1-9]\d*))?", name)
         if not m:
             raise ValueError(f"not a configuration name: {name!r}")
-        return cls(int(m[1]), int(m[2]), m[3])
+        return cls(int(m[1]), int(m[2]), m[3], int(m[4] or 0))
 
 
 def parse_threads(text: str) -> list[int]:

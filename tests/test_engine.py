@@ -1,8 +1,10 @@
 import gzip
 import hashlib
+import math
 import random
 import time
 from collections import Counter
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +19,7 @@ from readloom.operators import order as od
 from readloom.operators import prefix
 from readloom.operators import validate as va
 from readloom.operators.clustered import decode_in_place
-from readloom.operators.decode import buckets, decode
+from readloom.operators.decode import buckets, decode, frontier
 from readloom.plans.session import run
 from readloom.schema import PREDICTION, READS, Config, parse_threads
 from readloom.sources import tsv
@@ -82,6 +84,62 @@ def test_families(spark):
     assert got["far"] == (near, 4)
 
 
+def plain_band(reads, design, k, width, beam):
+    """Limits of all steps, by walking one cluster as dictionaries."""
+    edge, start = Counter(), Counter()
+    for r in reads:
+        good = [r[i : i + k] for i in range(len(r) - k + 1) if set(r[i : i + k]) <= set("ACGT")]
+        start.update(good[:1])
+        edge.update(x for x in (r[i : i + k + 1] for i in range(len(r) - k)) if set(x) <= set("ACGT"))
+    steps, at, weakest, least = max(0, design - k), min(start, key=lambda x: (-start[x], x), default=None), 0, None
+    for t in range(steps if at else 0):
+        ways = sorted((-edge[at + b], b) for b in "ACGT" if edge[at + b])
+        if not ways:
+            break
+        if len(ways) > 1:
+            lead = Fraction(1 - ways[0][0], 1 - ways[1][0])
+            if least is None or lead < least:
+                least, weakest = lead, t
+        at = at[1:] + ways[0][1]
+    stop = min(steps, max(0, weakest - width // 2) + width)
+    return start, edge, lambda t: beam if max(0, stop - width) <= t < stop else 1
+
+
+def plain_frontier(reads, design, cfg, most):
+    start, edge, limit = plain_band(reads, design, cfg.k, cfg.band, cfg.beam)
+    total = sum(start.values())
+    score = lambda n, all_, kinds: math.log((n + 1) / (all_ + kinds)) + 0.15 * math.log1p(n)
+    paths = [(s, score(start[s], total, len(start))) for s in sorted(start, key=lambda s: (-start[s], s))[: limit(0)]]
+    out = set()
+    for t in range(most - cfg.k):
+        ahead = [(p + b, c + score(edge[p[-cfg.k :] + b], sum(edge[p[-cfg.k :] + x] for x in "ACGT"), 4)) for p, c in paths for b in "ACGT" if edge[p[-cfg.k :] + b]]
+        paths = sorted(ahead, key=lambda x: (-round(x[1] * 1e12), x[0]))[: limit(t)]
+        out |= {p for p, _ in paths}
+    return out
+
+
+@pytest.mark.parametrize("band", [1, 4, 11, 100])
+def test_bands_against_plain_walks(spark, band):
+    rows = [(f"{n}-{c}", n - n % 3, s) for n in (7, 23, 40) for c, _, s in clusters(8, length=n, seed=n)[0]]
+    rows += [("none", 12, "ACGTNACGTNAC"), ("short", 4, "ACGTACGTAC"), ("one", 30, "A" * 30)]
+    cfg = Config(k=5, beam=4, band=band)
+    found = {}
+    for r in frontier(spark.createDataFrame(rows, SCHEMA), cfg).collect():
+        found.setdefault(r.cluster_id, set()).add(r.sequence)
+    for c in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == c]
+        most = max(map(len, found.get(c, {"": 0})), default=0)
+        assert found.get(c, set()) == plain_frontier([r[2] for r in own], own[0][1], cfg, max(most, cfg.k)), c
+    assert sequences(spark, rows, cfg=cfg, split=0) == sequences(spark, rows, cfg=cfg)
+
+
+def test_a_band_over_all_steps_is_the_whole_beam(spark):
+    rows, _ = clusters(12)
+    whole, banded = sequences(spark, rows), sequences(spark, rows, cfg=Config(band=40))
+    assert {c: x for c, x in whole.items() if x[1] < 3} == {c: x for c, x in banded.items() if x[1] < 3} and len(whole) == len(banded)
+    assert Config.parse("kmc_k9_b8_lognormal_band12") == Config(beam=8, band=12) and Config(beam=8, band=12).name == "kmc_k9_b8_lognormal_band12"
+
+
 @pytest.mark.parametrize("k", [5, 12, 15])
 def test_context_sizes(spark, k):
     rows, truth = clusters(4, reads=15)
@@ -178,6 +236,10 @@ def test_session(spark, tmp_path):
     assert len((out / "threads_1_round_1" / "STOP_POINT_WALL.tsv").read_text().splitlines()) == 6
     total = [x.split("\t") for x in (out / "threads_1_round_1" / "RUN_METRICS.tsv").read_text().splitlines()]
     assert dict(zip(*total))["status"] == "PASS" and dict(zip(*total))["consumed_reads"] == str(len(rows))
+    assert float(dict(zip(*total))["task_wall_seconds"]) > 0 and dict(zip(*total))["clusters"] == "5"
+    head, *tasks = [x.split("\t") for x in (out / "threads_2_round_1" / "WORKER_LEDGER.tsv").read_text().splitlines()]
+    assert head == ["worker_id", "clusters", "reads_consumed", "seconds"] and len({x[0] for x in tasks}) == len(tasks)
+    assert sum(int(x[1]) for x in tasks) == 5 and sum(int(x[2]) for x in tasks) == len(rows) and all(float(x[3]) > 0 for x in tasks)
     lines = sorted((out / "threads_1_round_1" / "pred.tsv").read_text().splitlines()[1:])
     ids = {x.split("\t")[2]: x.split("\t")[7] for x in lines}
     pred = tsv.read_predictions(spark, str(out / "threads_1_round_1" / "pred.tsv"))
