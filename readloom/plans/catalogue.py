@@ -12,6 +12,7 @@ from readloom.operators import decode as de
 from readloom.operators import evaluate as ev
 from readloom.operators import evidence as e
 from readloom.operators import order as od
+from readloom.operators import pool as po
 from readloom.operators import prefix, store
 from readloom.operators import validate as va
 from readloom.operators.clustered import decode_in_place
@@ -501,6 +502,47 @@ def worker_ledger(spark, d):
     return ev.by_task(_pred(spark, d).withColumn("task", (F.col("cluster_id").cast("long") % 8).cast("int")), "task")
 
 
+def _pool_evidence(t: str, where: str) -> str:
+    """Counters of the reads ``where``, all named with ``t``; ``p``: points of edges."""
+    gram = lambda size: f"(SELECT *, substr(seq, i, {size}) AS gram FROM (SELECT *, unnest(range(1, length(seq) - {size} + 2)) AS i FROM m{t}) WHERE substr(seq, i, {size}) NOT LIKE '%N%')"
+    return f"""
+m{t} AS (SELECT cluster_id, seq, count(*) AS n FROM c WHERE {where} GROUP BY ALL),
+x{t} AS (SELECT cluster_id, substr(gram, 1, {K}) AS context, substr(gram, {K + 1}, 1) AS base, CAST(sum(n) AS BIGINT) AS support FROM {gram(K + 1)} GROUP BY ALL),
+p{t} AS (SELECT cluster_id, context, base, CAST(round((ln((support + 1.0) / (CAST(sum(support) OVER (PARTITION BY cluster_id, context) AS BIGINT) + 4.0)) + 0.15 * ln(1.0 + support)) * 1e12) AS BIGINT) AS points FROM x{t}),
+q{t} AS (SELECT cluster_id, seq, max(n) AS n, arg_min(gram, i) AS a, arg_max(gram, i) AS z FROM {gram(K)} GROUP BY ALL),
+a{t} AS (SELECT cluster_id, a AS context, CAST(sum(n) AS BIGINT) AS support FROM q{t} GROUP BY ALL),
+z{t} AS (SELECT cluster_id, z AS context, CAST(sum(n) AS BIGINT) AS support FROM q{t} GROUP BY ALL),
+t{t} AS (SELECT cluster_id, CAST(sum(support) AS BIGINT) AS total, count(*) AS kinds FROM a{t} GROUP BY ALL),
+l{t} AS (SELECT cluster_id, avg(ln(length(seq))) AS mu, greatest(0.08, sqrt(greatest(0.0, avg(ln(length(seq)) * ln(length(seq))) - avg(ln(length(seq))) * avg(ln(length(seq)))))) AS sg FROM c WHERE {where} GROUP BY 1)"""
+
+
+def _pool_best(t: str, name: str, candidates: str) -> str:
+    """The best 16 of the candidates ``(cluster_id, path)`` by the counters ``t``."""
+    return f"""
+{name}_i AS (SELECT DISTINCT cluster_id, path FROM ({candidates}) WHERE regexp_full_match(path, '[ACGT]{{{K + 1},}}')),
+{name}_s AS (SELECT d.cluster_id, d.path, CAST(sum(p.points) AS BIGINT) AS points FROM (SELECT *, unnest(range(1, length(path) - {K} + 1)) AS i FROM {name}_i) d
+  LEFT JOIN p{t} p ON p.cluster_id = d.cluster_id AND p.context = substr(d.path, d.i, {K}) AND p.base = substr(d.path, d.i + {K}, 1) GROUP BY ALL HAVING count(p.points) = length(d.path) - {K}),
+{name}_v AS (SELECT s.cluster_id, s.path, s.points, (ln((coalesce(a.support, 0) + 1.0) / (t.total + t.kinds)) + 0.15 * ln(1.0 + coalesce(a.support, 0)) + s.points * 1e-12) / (length(s.path) - {K - 1})
+  - 0.375 * ((ln(length(s.path)) - l.mu) / l.sg) * ((ln(length(s.path)) - l.mu) / l.sg) + 0.05 * ln(1.0 + coalesce(z.support, 0)) AS score
+  FROM {name}_s s JOIN t{t} t ON t.cluster_id = s.cluster_id JOIN l{t} l ON l.cluster_id = s.cluster_id
+  LEFT JOIN a{t} a ON a.cluster_id = s.cluster_id AND a.context = left(s.path, {K}) LEFT JOIN z{t} z ON z.cluster_id = s.cluster_id AND z.context = right(s.path, {K})),
+{name} AS (SELECT cluster_id, path, points, score FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY CAST(round(score * 1e12) AS HUGEINT) DESC, path) AS r FROM {name}_v) WHERE r <= 16)"""
+
+
+@_query(f"""{_READS},{_pool_evidence("1", "e % 2 = 0")},{_pool_evidence("2", "e % 2 = 1")},{_pool_evidence("3", "TRUE")},{_pool_best("1", "old", "SELECT cluster_id, seq AS path FROM m1")},
+step AS (SELECT cluster_id, path, i, substr(path, i, {K}) AS context, substr(path, i + {K}, 1) AS base FROM (SELECT *, unnest(range(1, length(path) - {K} + 1)) AS i FROM old)),
+gain AS (SELECT s.cluster_id, s.path, s.i, o.base, o.points - p.points AS g FROM step s JOIN p3 p ON p.cluster_id = s.cluster_id AND p.context = s.context AND p.base = s.base
+  JOIN p3 o ON o.cluster_id = s.cluster_id AND o.context = s.context WHERE o.points > p.points AND (s.cluster_id, s.context) IN (SELECT (cluster_id, context) FROM x2)),
+fixed AS (SELECT cluster_id, substr(path, 1, i + {K - 1}) || base || substr(path, i + {K + 1}) AS path FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, path ORDER BY g DESC, base, i) AS r FROM gain) WHERE r = 1),
+{_pool_best("3", "new", "SELECT cluster_id, path FROM old WHERE cluster_id IN (SELECT cluster_id FROM m2) UNION ALL SELECT cluster_id, seq FROM m2 UNION ALL SELECT cluster_id, path FROM fixed")}
+SELECT cluster_id, path AS sequence, round(score, 9) AS score FROM new UNION ALL SELECT cluster_id, path, round(score, 9) FROM old WHERE cluster_id NOT IN (SELECT cluster_id FROM m2)""")
+def candidate_pool(spark, d):
+    """Every other read first, then the others as a batch; SQL scores all candidates from nothing."""
+    first, path = F.col("read_id").cast("long") % 2 == 0, scratch(spark, "pool")
+    before, batch = e.multiplicity(reads(spark, d).where(first)), e.multiplicity(reads(spark, d).where(~first))
+    return po.advance(po.advance(None, None, before, f"{path}/1"), before, batch, f"{path}/2").select("cluster_id", "sequence", F.round("score", 9).alias("score"))
+
+
 @_query(f"{_PRED} SELECT count(*) AS clusters, CAST(sum(total_reads) AS BIGINT) AS total_reads, CAST(sum(consumed_reads) AS BIGINT) AS consumed_reads, count(*) FILTER (WHERE consumed_reads < total_reads) AS early_clusters, count(*) FILTER (WHERE status = 'completed_empty') AS completed_empty FROM pred")
 def observed_totals(spark, d):
     """Measured by the job that writes the predictions, without one of its own."""
