@@ -7,7 +7,8 @@ Patterns then go back to the pieces by rank: the r-th piece of a length takes th
 that length.
 
 Ranks within a length come in two levels, so a length that a third of all documents have is no single task's work:
-pieces are ranked within (length, slice), slices being a hash of the document, and the slices' counts give the bases.
+pieces are ranked within (length, slice), slices being a hash of the piece, as many as a length's pieces ask for, and the
+slices' counts give the bases.
 
 A null or empty text is the end token alone.  Rows that repeat a doc_id are packed once for each row.
 """
@@ -32,7 +33,8 @@ from readloom.llm.common import map_arrow, staged
 END_ID, SIZE = 1, 2048
 #: Words whose ids a worker remembers (two generations of this many).
 REMEMBERED = 500_000
-SLICES = 64
+#: Pieces of a length that a slice has on average, at most.
+SLICE_ROWS = 50_000
 #: Marks behind a word that the pre-tokenizer takes as one unit.
 MARKS = ".,;:!?*#%&$|"
 
@@ -218,19 +220,17 @@ def _places(found: list[tuple[int, dict[int, int]]], first: int) -> list[tuple[i
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` for every piece of every document."""
     spark = docs.sparkSession
-    cut = staged(pieces(docs, tokenizer, size), "pieces").withColumn("slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SLICES)).cast("int"))
-    counts = cut.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size * SLICES rows
-    total: dict[int, int] = {}
-    bases = []
-    for r in sorted(counts, key=lambda r: (r["length"], r["slice"])):
-        bases.append((r["length"], r["slice"], total.get(r["length"], 0)))
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
+    cut = staged(pieces(docs, tokenizer, size), "pieces")
+    total = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
+    sizes = spark.createDataFrame([(x, n // SLICE_ROWS + 1) for x, n in sorted(total.items())], "length long, slices long")
+    cut = cut.join(F.broadcast(sizes), "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("slices"))).drop("slices")
+    earlier = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n")).select("length", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     full = total.pop(size, 0)
     places = [(size, 0, full, 1, 0, 0), *_places(patterns(total, size), full)]
-    base = spark.createDataFrame(bases, T.StructType.fromDDL("length long, slice int, base long"))
     place = spark.createDataFrame(places, T.StructType.fromDDL("length long, lo long, hi long, each long, offset0 long, first long"))
     by = Window.partitionBy("length", "slice").orderBy("doc_id", "start")
-    ranked = cut.withColumn("rank", F.row_number().over(by)).join(F.broadcast(base), ["length", "slice"]).withColumn("rank", F.col("base") + F.col("rank") - 1)
+    ranked = cut.withColumn("rank", F.row_number().over(by)).join(base, ["length", "slice"]).withColumn("rank", F.col("base") + F.col("rank") - 1)
     put = ranked.join(F.broadcast(place), "length").where("rank >= lo and rank < hi")
     within = F.col("rank") - F.col("lo")
     return put.select(
