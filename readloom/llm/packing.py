@@ -7,8 +7,8 @@ Patterns then go back to the pieces by rank: the r-th piece of a length takes th
 that length.
 
 Ranks within a length come in two levels, so a length that a third of all documents have is no single task's work:
-pieces are ranked within (length, slice), slices being a hash of the piece, as many as a length's pieces ask for, and the
-slices' counts give the bases.
+pieces are ranked within (length, slice), slices being a hash of the piece, and the slices' counts give the bases.  A
+length of n pieces has some sqrt(n) slices, so neither a slice nor the list of slices is long.
 
 A null or empty text is the end token alone.  Rows that repeat a doc_id are packed once for each row.
 """
@@ -16,6 +16,7 @@ A null or empty text is the end token alone.  Rows that repeat a doc_id are pack
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,6 @@ from readloom.llm.common import map_arrow, staged
 END_ID, SIZE = 1, 2048
 #: Words whose ids a worker remembers (two generations of this many).
 REMEMBERED = 500_000
-#: Pieces of a length that a slice has on average, at most.
-SLICE_ROWS = 50_000
 #: Marks behind a word that the pre-tokenizer takes as one unit.
 MARKS = ".,;:!?*#%&$|"
 
@@ -222,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     spark = docs.sparkSession
     cut = staged(pieces(docs, tokenizer, size), "pieces")
     total = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
-    sizes = spark.createDataFrame([(x, n // SLICE_ROWS + 1) for x, n in sorted(total.items())], "length long, slices long")
+    sizes = spark.createDataFrame([(x, math.isqrt(n) + 1) for x, n in sorted(total.items())], "length long, slices long")
     cut = cut.join(F.broadcast(sizes), "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("slices"))).drop("slices")
     earlier = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = cut.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n")).select("length", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))

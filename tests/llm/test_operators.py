@@ -448,8 +448,7 @@ def test_proximity_against_brute_force(spark):
             assert set(got[d]["items"]) == want and set(got[d].hits) == hits, (slop, t)
 
 
-def test_packing_with_many_slices_of_a_length(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SLICE_ROWS", 3)
+def test_packing_with_many_slices_of_a_length(spark):
     docs = spark.createDataFrame([(i % 40 if i % 7 else None, "same words " * (1 + i % 3)) for i in range(120)] + [(900, "word " * 300)], "doc_id long, text string")
     rows = packing.pack(docs, tokenizer_path(), 64).collect()
     assert sum(r.start == 0 for r in rows) == 121 and len({r.length for r in rows}) == 5
