@@ -33,6 +33,8 @@ from readloom.llm.textnp import _MULT, ALNUM, U, blocks, mix
 PART_BYTES = 4 << 20
 #: Bytes of document text in one index segment, and of a row group of the stored index.
 SEGMENT_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+#: Segments of a row group: Parquet looks at a group's bytes only from its hundredth row on, and readers take a group at once.
+GROUP_ROWS = 4
 #: Candidate positions of a segment that are intersected at a time.
 CANDIDATES = 1 << 20
 
@@ -74,7 +76,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def index(docs: DataFrame) -> DataFrame:
     """The stored index of all terms of ``docs(doc_id, text, ...)``, for any number of searches."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return staged(map_arrow(text, _index, INDEX), "postings", **{"parquet.block.size": str(GROUP_BYTES)})
+    return staged(map_arrow(text, _index, INDEX), "postings", **{"parquet.block.size": str(GROUP_BYTES), "parquet.block.row.count.limit": str(GROUP_ROWS)})
 
 
 class Query:
