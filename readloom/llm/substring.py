@@ -195,7 +195,7 @@ def _ranges(text: DataFrame, window: int) -> DataFrame:
     again = _again(met, hot, "context")
     around = lambda df: df.where("first_doc < doc_id").select("doc_id", "key", (F.col("pos") - reach).alias("lo"), (F.col("pos") + window).alias("hi"))
     # Only where an anchor has several contexts can a match end inside one; the first document of each gets its windows compared.
-    first = met.where("first_doc = doc_id and salt = 0").select("doc_id", "key", "pos").unionByName(again.where("first_doc = doc_id").select("doc_id", "key", "pos")) if len(hot) else met.where("first_doc = doc_id")
+    first = met.where("if(first_doc = doc_id, salt, -1) = 0").select("doc_id", "key", "pos").unionByName(again.where("first_doc = doc_id").select("doc_id", "key", "pos")) if len(hot) else met.where("first_doc = doc_id")
     opened = first.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("open"))
     # a left join, as in drop_repeats: with the same rows on the left, both read one shuffle of the texts
     found = map_arrow(text.repartition("doc_id", "key").join(opened, ["doc_id", "key"], "left"), _windows(window, hot, salts), "anchor long, salt int, win long, doc_id long, key long, pos int")
@@ -210,10 +210,14 @@ def _first(*keys: str):
 
 
 def _again(met: DataFrame, hot: np.ndarray, key: str) -> DataFrame | None:
-    """The first rows of salted groups, compared over all salts."""
+    """The first rows of salted groups, compared over all salts.
+
+    Filters on the salt, here and for the salt 0, hang on ``first_doc``: a plain one would be pushed below the window and the
+    exchange, which each reader would then write anew instead of sharing one.
+    """
     if not len(hot):
         return None
-    return met.where("first_doc = doc_id and salt > 0").drop("first_doc").withColumn("first_doc", F.first("doc_id").over(_first("anchor", key)))
+    return met.where("if(first_doc = doc_id, salt, -1) > 0").drop("first_doc").withColumn("first_doc", F.first("doc_id").over(_first("anchor", key)))
 
 
 def _hot(text: DataFrame, window: int) -> tuple[np.ndarray, int]:

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from readloom.llm import decontaminate
+from readloom.llm import decontaminate, substring
 from readloom.llm.common import map_arrow
 
 
@@ -24,3 +24,13 @@ def test_batches_of_large_rows_are_small(spark):
     rows = spark.range(10, 50).coalesce(1).select(F.repeat(F.col("id").cast("string"), 1 << 19).alias("text"))
     got = [r["rows"] for r in map_arrow(rows, count, "rows int").collect()]
     assert sum(got) == 40 and max(got) <= 20
+
+
+def test_salted_and_plain_anchors_share_one_shuffle(spark, monkeypatch):
+    """No filter on the salt below a window: such ones would make several shuffles of one."""
+    for name, value in (("SAMPLE", 1), ("LEAST", 2), ("SHARE", 100)):
+        monkeypatch.setattr(substring, name, value)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 20}" for j in range(i % 7, 60))) for i in range(40)], "doc_id long, text string")
+    plan = substring.repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x and "salt" in x]
+    assert filters and all("first_doc" in x for x in filters)
