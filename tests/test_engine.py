@@ -601,3 +601,19 @@ def test_order_of_clusters(spark, tmp_path):
     rows = od.numbered(many, "at", str(tmp_path / "many"))
     assert rows.where("ordinal = id").count() == 10_000
     assert od.numbered(many.limit(0), "at", str(tmp_path / "none")).count() == 0
+
+
+def test_scores_are_those_of_sql():
+    """Bit by bit: the last one decides between paths of equal scores."""
+    import duckdb
+
+    from readloom.operators import decode as de
+
+    r = np.random.default_rng(5)
+    n, total = r.integers(1, 500, 4000), r.integers(500, 5000, 4000)
+    got = de._ln((n + 1.0) / (total + 4.0)) + 0.15 * de._ln(1.0 + n)
+    sql = "SELECT ln((n + 1.0) / (t + 4.0)) + 0.15 * ln(1.0 + n) FROM (SELECT unnest($1::BIGINT[]) AS n, unnest($2::BIGINT[]) AS t)"
+    assert got.tolist() == [x for (x,) in duckdb.execute(sql, [n.tolist(), total.tolist()]).fetchall()]
+    sums = np.concatenate([got, 16 * got, -50 * got])
+    rounded = duckdb.execute("SELECT CAST(round(x * 1e12) AS BIGINT) FROM (SELECT unnest($1::DOUBLE[]) AS x)", [sums.tolist()]).fetchall()
+    assert buckets(sums).tolist() == [x for (x,) in rounded]
