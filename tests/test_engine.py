@@ -617,3 +617,14 @@ def test_scores_are_those_of_sql():
     sums = np.concatenate([got, 16 * got, -50 * got])
     rounded = duckdb.execute("SELECT CAST(round(x * 1e12) AS BIGINT) FROM (SELECT unnest($1::DOUBLE[]) AS x)", [sums.tolist()]).fetchall()
     assert buckets(sums).tolist() == [x for (x,) in rounded]
+
+
+def test_grams_are_taken_by_cluster(spark):
+    """Reads are dealt by cluster below the explosion, and by no column that the grouping above could take for its own."""
+    from readloom.operators import evidence as e
+
+    reads = spark.createDataFrame([(str(c), 8, "ACGTACGT" if i % 3 else "ACGNTACG") for c in range(5) for i in range(40)], "cluster_id string, design_length int, read_sequence string")
+    for rows in (e.nodes(e.multiplicity(reads), 5), e.ledger(e.multiplicity(reads), 5)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("RebalancePartitions") and "RebalancePartitions [cluster_id" not in plan
+    assert {(r["cluster_id"], r["context"]): r["support"] for r in e.nodes(e.multiplicity(reads), 5).collect()} == {(str(c), g): 26 for c in range(5) for g in ("ACGTA", "CGTAC", "GTACG", "TACGT")}
