@@ -22,12 +22,17 @@ from readloom.schema import Config
 POOL = "cluster_id string, sequence string, points long, score double"
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for the right side of a join that shuffles: a table of few compressed bytes is large in a driver that broadcasts it."""
+    return df.hint("merge")
+
+
 def _points(mult: DataFrame, k: int) -> DataFrame:
     """``(cluster_id, context, base, points)`` of all edges."""
     edge = edges(mult, k)
     total = outgoing(edge).withColumnRenamed("support", "total")
     score = C.edge_score(F.col("support"), F.col("total"))
-    return edge.join(total, ["cluster_id", "context"]).select("cluster_id", "context", "base", F.round(score * 1e12).cast("long").alias("points"))
+    return edge.join(_shuffled(total), ["cluster_id", "context"]).select("cluster_id", "context", "base", F.round(score * 1e12).cast("long").alias("points"))
 
 
 def uses(pool: DataFrame, k: int) -> DataFrame:
@@ -39,7 +44,7 @@ def uses(pool: DataFrame, k: int) -> DataFrame:
 def _from_nothing(found: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """``(cluster_id, sequence, points)`` of candidates all of whose steps have reads."""
     fit = found.where(F.col("sequence").rlike(f"^[ACGT]{{{k},}}$"))
-    summed = uses(fit, k).join(points, ["cluster_id", "context", "base"]).groupBy("cluster_id", "sequence").agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("steps"))
+    summed = uses(fit, k).join(_shuffled(points), ["cluster_id", "context", "base"]).groupBy("cluster_id", "sequence").agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("steps"))
     whole = summed.where(F.col("steps") == F.length("sequence") - k).drop("steps")
     return whole.unionByName(fit.where(F.length("sequence") == k).select("cluster_id", "sequence", F.lit(0).cast("long").alias("points")))
 
@@ -53,9 +58,9 @@ def _scored(sums: DataFrame, mult: DataFrame, cfg: Config) -> DataFrame:
     total = start.groupBy("cluster_id").agg(F.sum("support").alias("_total"), F.count(F.lit(1)).alias("_kinds"))
     head, tail = F.substring("sequence", 1, k), F.substring("sequence", F.length("sequence") - k + 1, F.lit(k))
     rows = sums.withColumns({"_head": head, "_tail": tail})
-    rows = rows.join(start.select("cluster_id", F.col("context").alias("_head"), F.col("support").alias("_start")), ["cluster_id", "_head"], "left")
-    rows = rows.join(ends(mult, k).select("cluster_id", F.col("context").alias("_tail"), F.col("support").alias("_end")), ["cluster_id", "_tail"], "left")
-    rows = rows.join(total, "cluster_id", "left").join(stat, "cluster_id")
+    rows = rows.join(_shuffled(start.select("cluster_id", F.col("context").alias("_head"), F.col("support").alias("_start"))), ["cluster_id", "_head"], "left")
+    rows = rows.join(_shuffled(ends(mult, k).select("cluster_id", F.col("context").alias("_tail"), F.col("support").alias("_end"))), ["cluster_id", "_tail"], "left")
+    rows = rows.join(_shuffled(total), "cluster_id", "left").join(_shuffled(stat), "cluster_id")
     zero = lambda c, least=0: F.coalesce(F.col(c), F.lit(least))
     first = C.start_score(zero("_start"), F.greatest(F.lit(1), zero("_total")), zero("_kinds"))
     prior = C.length_score(F.length("sequence"), F.col("_n"), F.col("_logs"), F.col("_squares"), F.col("_median"), cfg.prior)
@@ -70,18 +75,18 @@ def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
 def refreshed(pool: DataFrame, points_before: DataFrame, points: DataFrame, changed: DataFrame, k: int) -> DataFrame:
     """``(cluster_id, sequence, points)`` of a pool, with only the steps through ``changed(cluster_id, context)`` scored again."""
     on = ["cluster_id", "context", "base"]
-    step = uses(pool, k).join(changed, ["cluster_id", "context"], "left_semi").groupBy("sequence", *on).agg(F.count(F.lit(1)).alias("times"))
+    step = uses(pool, k).join(_shuffled(changed), ["cluster_id", "context"], "left_semi").groupBy("sequence", *on).agg(F.count(F.lit(1)).alias("times"))
     old = points_before.withColumnRenamed("points", "old")
-    delta = step.join(points, on).join(old, on).groupBy("cluster_id", "sequence").agg(F.sum(F.col("times") * (F.col("points") - F.col("old"))).alias("delta"))
-    return pool.join(delta, ["cluster_id", "sequence"], "left").select("cluster_id", "sequence", (F.col("points") + F.coalesce("delta", F.lit(0))).alias("points"))
+    delta = step.join(_shuffled(points), on).join(_shuffled(old), on).groupBy("cluster_id", "sequence").agg(F.sum(F.col("times") * (F.col("points") - F.col("old"))).alias("delta"))
+    return pool.join(_shuffled(delta), ["cluster_id", "sequence"], "left").select("cluster_id", "sequence", (F.col("points") + F.coalesce("delta", F.lit(0))).alias("points"))
 
 
 def repaired(pool: DataFrame, points: DataFrame, changed: DataFrame, k: int) -> DataFrame:
     """``(cluster_id, sequence)``: each candidate's best change of one base behind a changed context, where one gains."""
-    step = uses(pool, k).join(changed, ["cluster_id", "context"], "left_semi")
-    own = step.join(points, ["cluster_id", "context", "base"]).withColumnRenamed("points", "own").drop("base")
+    step = uses(pool, k).join(_shuffled(changed), ["cluster_id", "context"], "left_semi")
+    own = step.join(_shuffled(points), ["cluster_id", "context", "base"]).withColumnRenamed("points", "own").drop("base")
     gain = (F.col("points") - F.col("own")).alias("gain")
-    best = own.join(points, ["cluster_id", "context"]).select("cluster_id", "sequence", "at", "base", gain).where("gain > 0").groupBy("cluster_id", "sequence").agg(F.min(F.struct((-F.col("gain")).alias("g"), "base", "at")).alias("x"))
+    best = own.join(_shuffled(points), ["cluster_id", "context"]).select("cluster_id", "sequence", "at", "base", gain).where("gain > 0").groupBy("cluster_id", "sequence").agg(F.min(F.struct((-F.col("gain")).alias("g"), "base", "at")).alias("x"))
     return best.select("cluster_id", F.overlay("sequence", "x.base", F.col("x.at") + k, F.lit(1)).alias("sequence")).distinct()
 
 
@@ -100,13 +105,13 @@ def advance(pool: DataFrame | None, before: DataFrame | None, batch: DataFrame,
     batch = _kept(batch, f"{folder}/batch")
     touched = batch.select("cluster_id").distinct()
     if before is not None:
-        before = _kept(before.join(touched, "cluster_id", "left_semi"), f"{folder}/before")
+        before = _kept(before.join(_shuffled(touched), "cluster_id", "left_semi"), f"{folder}/before")
     after = batch if before is None else _kept(_merged(before, batch), f"{folder}/after")
     points = _kept(_points(after, k), f"{folder}/points")
     if pool is None or before is None:
         sums = _from_nothing(batch.select("cluster_id", F.col("seq").alias("sequence")).distinct(), points, k)
     else:
-        mine = pool.join(touched, "cluster_id", "left_semi")
+        mine = pool.join(_shuffled(touched), "cluster_id", "left_semi")
         changed = edges(batch, k).select("cluster_id", "context").distinct()
         # one step through the points for all that is scored from nothing
         found = batch.select("cluster_id", F.col("seq").alias("sequence")).unionByName(repaired(mine, points, changed, k)).distinct()
@@ -114,4 +119,4 @@ def advance(pool: DataFrame | None, before: DataFrame | None, batch: DataFrame,
     rows = _scored(sums.groupBy("cluster_id", "sequence").agg(F.max("points").alias("points")), after, cfg)
     by = Window.partitionBy("cluster_id").orderBy(C.bucket(F.col("score")).desc(), "sequence")
     best = rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= cfg.beam).drop("_r")
-    return _kept(best if pool is None else best.unionByName(pool.join(touched, "cluster_id", "left_anti")), f"{folder}/pool")
+    return _kept(best if pool is None else best.unionByName(pool.join(_shuffled(touched), "cluster_id", "left_anti")), f"{folder}/pool")

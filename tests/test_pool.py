@@ -106,3 +106,11 @@ def test_an_empty_batch_changes_nothing(spark, tmp_path):
     pool = po.advance(None, None, first, f"file://{tmp_path}/0", CFG)
     again = po.advance(pool, first, first.where("false"), f"file://{tmp_path}/1", CFG)
     assert sorted(again.collect()) == sorted(pool.collect())
+
+
+def test_large_tables_are_not_broadcast(spark, tmp_path):
+    rows = spark.createDataFrame([r for b in batches() for r in b], SCHEMA)
+    mult = multiplicity(rows)
+    found = po._from_nothing(mult.selectExpr("cluster_id", "seq AS sequence").distinct(), po._points(mult, CFG.k), CFG.k)
+    plan = po._scored(found, mult, CFG)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
