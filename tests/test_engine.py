@@ -2,17 +2,20 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import time
 from collections import Counter
 from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import columns as C
 from readloom.functions.distance import distances
+from readloom.operators import decode as de
 from readloom.operators import evaluate as ev
 from readloom.operators import evidence as e
 from readloom.operators import order as od
@@ -486,6 +489,37 @@ def test_prefixes_equal_their_reads_alone(spark, monkeypatch, chunk):
     assert {f"{c}/{i}": x for (c, i), x in got.items()} == want
 
 
+def test_prefixes_of_clusters_share_blocks(monkeypatch):
+    """Only prefixes without a path of the design length are decoded as clusters of their own; all as their reads alone."""
+    rows, _ = clusters(n=5, reads=30)
+    rows += [("odd", 12, s) for s in ("ACG", "ACGTACGTAC", "ACGTNCGTACGTA", "ACGTACGTACGTAC", "", "ACGTACGTACGT", "ACGTACGTACGA", "ACGAACGTACGT")]
+    by: dict = {}
+    for c, n, s in rows:
+        by.setdefault((c, n), []).append(re.sub("[^ACGT]", "N", s.upper()))
+    lists = lambda: [[{"arrival": i, "seq": s} for i, s in enumerate(x, 1)] for x in by.values()]
+    grams = pa.list_(pa.struct([("kind", pa.int32()), ("code", pa.int64()), ("support", pa.int64())]))
+    reads = pa.array(lists(), pa.list_(pa.struct([("arrival", pa.int32()), ("seq", pa.string())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([c for c, _ in by]), pa.array([n for _, n in by], pa.int32()), reads, pa.array([None] * len(by), grams), pa.array([None] * len(by), grams)], names=["cluster_id", "design_length", "reads", "grams", "lengths"])
+    alone = []
+
+    class Counted(prefix.Beams):
+        def __init__(self, e, *more):
+            alone.append(e.clusters)
+            super().__init__(e, *more)
+
+    for cfg in (Config(), Config(k=5, beam=4, prior="median_band"), Config(band=6)):
+        monkeypatch.setattr(prefix, "Beams", Counted)
+        alone.clear()
+        got = [r for b in prefix._chunks(cfg)(iter([batch])) for r in b.to_pylist()]
+        if not cfg.band:
+            assert sum(alone) < len(rows) / 4 and len(alone) == 1
+        monkeypatch.undo()
+        heads = [(c, n, i, x[:i]) for (c, n), x in by.items() for i in range(1, len(x) + 1)]
+        counted = [Counter(x) for *_, x in heads]
+        want = de.decode_lists([c for c, *_ in heads], [n for _, n, *_ in heads], [[s.encode() for s in x] for x in counted], [list(x.values()) for x in counted], cfg).to_pylist()
+        assert [(r["cluster_id"], r["arrival"], r["sequence"], r["family"]) for r in got] == [(r["cluster_id"], h[2], r["sequence"], r["family"]) for r, h in zip(want, heads)]
+
+
 @pytest.fixture
 def remote(spark, tmp_path):
     """A path that only Hadoop's file systems resolve, and the local folder behind it."""
