@@ -9,6 +9,7 @@ from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ from readloom.operators.decode import buckets, decode, frontier
 from readloom.plans.session import run
 from readloom.schema import PREDICTION, READS, Config, parse_threads
 from readloom.sources import tsv
-from readloom.streaming.maps import CLOSED, state_store, stream_clusters
+from readloom.streaming import reads as streams
+from readloom.streaming.maps import CLOSED, Clusters, state_store, stream_clusters
+from readloom.streaming.reads import WHOLE
 
 SCHEMA = "cluster_id string, design_length int, read_sequence string"
 
@@ -606,6 +609,57 @@ def test_state_in_maps_over_restarts(spark, tmp_path):
     assert got() == sorted((c, s, f, 10, True) for c, (s, f) in want.items())
 
 
+class _State:
+    """A map or a value of the state, which counts what is written."""
+
+    def __init__(self):
+        self.rows, self.last, self.written = {}, None, 0
+
+    def updateValue(self, key, value):
+        self.rows[key], self.written = value, self.written + 1
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def clear(self):
+        self.rows.clear()
+
+    def get(self):
+        return self.last
+
+    def update(self, value):
+        self.last = value
+
+
+def test_a_cluster_that_comes_whole_is_not_written_to_its_map():
+    """Nor are the reads that close it; what goes out are its reads, which are decoded with other clusters'."""
+    from types import SimpleNamespace
+
+    for batches, written in (([["AC", "AC", "GT"]], 0), ([["AC", "GT"], ["AC"]], 2)):
+        one, about = _State(), _State()
+        state = Clusters(None)
+        state.init(SimpleNamespace(getMapState=lambda *_: one, getValueState=lambda *_: about))
+        out = [x for b in batches for x in state.handleInputRows(("c",), iter([pd.DataFrame({"design_length": 2, "total_reads": 3, "seq": b})]), None)]
+        assert [x.to_dict("records") for x in out] == [[{"cluster_id": "c", "design_length": 2, "total_reads": 3, "seqs": ["AC", "GT"], "counts": [2, 1], "complete": True}]]
+        assert one.written == written and not one.rows and about.last[3]
+
+
+def test_clusters_of_a_batch_are_decoded_together(spark, monkeypatch):
+    rows, _ = clusters(n=6, reads=10)
+    want = sequences(spark, rows)
+    by: dict = {}
+    for c, n, s in rows:
+        by.setdefault(c, Counter())[re.sub("[^ACGT]", "N", s)] += 1
+    whole = spark.createDataFrame([(c, 40, 10, list(x), list(x.values()), c != "3") for c, x in by.items()], WHOLE).coalesce(1)
+    for most in (5, 25, 20_000):
+        monkeypatch.setattr(streams, "TOGETHER", most)
+        got = streams.decode_whole(whole, Config()).collect()
+        assert sorted((r.cluster_id, r.sequence, r.family, r.total_reads, r.complete) for r in got) == sorted((c, *x, 10, c != "3") for c, x in want.items())
+
+
 def test_clusters_that_never_end_are_sent_out_once(spark, tmp_path):
     rows, _ = clusters(n=2, reads=6)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
