@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators.decode import DECODING, decode_ledger
-from readloom.operators.evidence import counters, multiplicity
+from readloom.operators.evidence import counters, multiplicity, tasks
 from readloom.schema import Config
 
 PARTS = 64
@@ -29,7 +29,7 @@ def _folder(path: str, k: int) -> str:
 def append(reads: DataFrame, path: str, batch: int, cfg: Config = Config(), parts: int = PARTS) -> None:
     """Count ``reads(cluster_id, design_length, read_sequence)`` and store the counts as ``batch``, in place of what that batch had."""
     named = multiplicity(reads).withColumn("cluster_id", F.struct("cluster_id", "design_length"))
-    rows = counters(named, cfg.k, DECODING, reads=True)
+    rows = counters(named, cfg.k, DECODING, reads=True, many=tasks(reads))
     rows = rows.select("cluster_id.cluster_id", "cluster_id.design_length", "kind", "code", "seq", "support").withColumns({"batch": F.lit(batch).cast("long"), "part": part_of("cluster_id", parts)})
     # a part's rows in one file, or in several of a file's size where a cluster is hot
     rows.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(_folder(path, cfg.k))

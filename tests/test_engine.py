@@ -647,6 +647,21 @@ def test_a_cluster_that_comes_whole_is_not_written_to_its_map():
         assert one.written == written and not one.rows and about.last[3]
 
 
+def test_tasks_for_grams_grow_with_the_reads(spark, monkeypatch):
+    """With many reads their number decides, not their bytes; one large cluster is dealt to several tasks too."""
+    monkeypatch.setattr(e, "A_TASK", 10)
+    rows, _ = clusters(n=2, reads=250)
+    df = spark.createDataFrame(rows, SCHEMA)
+    many, mult = e.tasks(df), e.multiplicity(df)
+    assert many == 50
+    place = e._together(mult, many).select("cluster_id", "seq", F.spark_partition_id().alias("p")).collect()
+    assert max(Counter(r.p for r in place).values()) < 40 and len({r.p for r in place}) > 20
+    counted = lambda x: sorted(map(tuple, x.collect()))
+    assert counted(e.edges(mult, 9, many)) == counted(e.edges(mult, 9))
+    assert counted(e.ledger(mult, 9, many)) == counted(e.ledger(mult, 9))
+    assert sequences(spark, rows, split=0) == sequences(spark, rows)
+
+
 def test_clusters_of_a_batch_are_decoded_together(spark, monkeypatch):
     rows, _ = clusters(n=6, reads=10)
     want = sequences(spark, rows)
