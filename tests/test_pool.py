@@ -114,3 +114,60 @@ def test_large_tables_are_not_broadcast(spark, tmp_path):
     found = po._from_nothing(mult.selectExpr("cluster_id", "seq AS sequence").distinct(), po._points(mult, CFG.k), CFG.k)
     plan = po._scored(found, mult, CFG)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def advanced(spark, folder, rows, **options):
+    """The pool after all batches of ``rows``."""
+    pool, before = None, None
+    for i, x in enumerate(rows):
+        batch = multiplicity(spark.createDataFrame(x, SCHEMA))
+        pool = po.advance(pool, before, batch, f"file://{folder}/{i}", CFG, **options)
+        before = batch if before is None else po._merged(before, batch)
+    return sorted(tuple(r) for r in pool.collect())
+
+
+def test_disk_grows_with_reads_not_with_their_steps(spark, tmp_path):
+    r, reads = random.Random(5), [[], []]
+    for c in range(20):
+        truth = [r.choice("ACGT") for _ in range(200)]
+        for i in range(60):
+            s = list(truth)
+            s[r.randrange(200)] = r.choice("ACGT")
+            reads[i % 2].append((str(c), 200, "".join(s)))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {f.getPath(): f.length() for f in (found.apply(i) for i in range(found.size()))}
+
+    before = files()
+    advanced(spark, tmp_path, reads)
+    written = sum(n for f, n in files().items() if f not in before) + sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert written < 6 * sum(len(x[2]) for b in reads for x in b)
+
+
+def test_gathered_and_joined_clusters_have_equal_pools(spark, tmp_path):
+    rows = batches()
+    gathered = advanced(spark, tmp_path / "gathered", rows)
+    want = [(c, s, p, pytest.approx(x, abs=1e-12)) for c, s, p, x in gathered]
+    assert advanced(spark, tmp_path / "joined", rows, most=0) == want
+    # clusters grow beyond the limit with the second or third batch; "2", which has, is left alone by the third
+    bases = [Counter(), Counter(), Counter()]
+    for i in range(3):
+        for x in {(x[0], x[2].upper()) for x in rows[i]}:
+            for later in bases[i:]:
+                later[x[0]] += len(x[1])
+    most = 200
+    assert max(bases[0].values()) <= most < bases[1]["2"] == bases[2]["2"] and bases[1]["1"] <= most < bases[2]["1"] and bases[2]["tiny"] <= most
+    assert advanced(spark, tmp_path / "both", rows, most=most) == want
+
+
+@pytest.mark.parametrize("most", [po.GATHERED, 0])
+def test_rows_without_cluster_or_sequence_say_nothing(spark, tmp_path, most):
+    mult = "cluster_id string, design_length int, seq string, n long"
+    first = spark.createDataFrame([("a", 8, "ACGTACGG", 2), ("b", 8, "ACGTACGG", 1), ("a", 8, "", 1), (None, 8, "ACGTACGG", 1), ("a", 8, None, 3)], mult)
+    second = spark.createDataFrame([("a", 8, "ACGTACGT", 1), ("b", 8, None, 4), (None, 8, "ACGTACGT", 1)], mult)
+    pool = po.advance(None, None, first, f"file://{tmp_path}/0", CFG, most)
+    after = {(r[0], r[1]): tuple(r) for r in po.advance(pool, first, second, f"file://{tmp_path}/1", CFG, most).collect()}
+    assert set(after) == {("a", "ACGTACGG"), ("a", "ACGTACGT"), ("b", "ACGTACGG")}
+    assert after["b", "ACGTACGG"] in [tuple(r) for r in pool.collect()]
